@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 276 bars back the weight of a span-20 average is below 1e-12.
-EMA_BLOCK = 276
+# 400 bars back the weight of a span-21 average is below 1e-16.
+EMA_BLOCK = 400
 
 
 def with_ema(df: DataFrame, column: str, spans: dict[str, int], key: str = "symbol",
@@ -16,7 +16,7 @@ def with_ema(df: DataFrame, column: str, spans: dict[str, int], key: str = "symb
     Inside a block of `EMA_BLOCK` rows the recursion is a weighted running sum;
     the previous block enters through its last value, whose weight decays with
     the position in the block. Rows two blocks back weigh less than one part in
-    1e12 for spans up to 21, so blocks need only their predecessor.
+    1e16 for spans up to 21, so blocks need only their predecessor.
     """
     pos = (F.col(index) - 1) % EMA_BLOCK
     block = F.floor((F.col(index) - 1) / F.lit(EMA_BLOCK))

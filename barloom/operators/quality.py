@@ -107,11 +107,12 @@ def find_issues(raw: DataFrame, block: Column, seq: str = "row_seq",
     typed = _typed(require_columns(raw)).withColumns({
         "_who": F.coalesce(F.upper(F.trim("symbol")), F.lit("")),
         "_valid_ts": F.when(F.col("_ok"), F.col("_ts")),
+        # Never null, so no null filter is inferred that would parse the row again.
+        "_at": F.coalesce(F.when(F.col("_ok"), F.col("_ts")), F.lit("0001-01-01").cast("timestamp")),
     })
     ordered = running(typed, ["_who"], [seq], block, {"_prev": ("prev", "_valid_ts")})
-    firsts = (typed.filter("_ok").groupBy("_who", "_ts")
-              .agg(F.min(seq).alias("_first")))
-    staged = ordered.join(firsts, ["_who", "_ts"], "left")
+    firsts = typed.groupBy("_who", "_at").agg(F.min(seq).alias("_first"))
+    staged = ordered.join(firsts, ["_who", "_at"], "left")
     ok, ts, prev = F.col("_ok"), F.col("_ts"), F.col("_prev")
     days = F.datediff(ts, prev)
     business = weekdays_before(F.to_date(ts)) - weekdays_before(F.date_add(F.to_date(prev), 1))

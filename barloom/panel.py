@@ -164,3 +164,14 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
         *[_COMBINE[kind][1](F.col(f"_c_{name}"), F.col(f"_l_{name}")).alias(name)
           for name, (kind, _) in outputs.items()],
     )
+
+
+def series_index(df: DataFrame, grain: str = DAILY, key: str = "symbol", time: str = "timestamp",
+                 rows: int = CHUNK_ROWS) -> DataFrame:
+    """Adds `n`, the position of a row in its series, and `total`, its length."""
+    if grain == DAILY:
+        whole = Window.partitionBy(key)
+        return df.withColumns({"n": F.row_number().over(whole.orderBy(time)),
+                               "total": F.count(F.lit(1)).over(whole)})
+    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    return row_index(df, [key], [time], grain_block(grain, rows, time)).join(totals, key)

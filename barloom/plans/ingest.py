@@ -12,9 +12,10 @@ from barloom.sources import readers as R
 from barloom.sources.fixtures import faulty_records, synthetic_bars
 
 _K = ("timestamp", "symbol")
-SEQ_BLOCK = 8 * 65536 * 8192  # row_seq range of 8192 order keys
+SEQ_BLOCK = 8 * 4194304 * 8192  # row_seq range of 8192 order keys
 
-SQL_PARTS["raw"] = """raw AS (SELECT (l_orderkey * 8 + l_linenumber) * 65536 + l_partkey % 65536 AS row_seq,
+SQL_PARTS["raw"] = """raw AS (SELECT (l_orderkey * 8 + l_linenumber) * 4194304 + (l_partkey * 1009 + l_suppkey * 9176
+  + date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) % 4194304 AS row_seq,
   CASE f WHEN 2 THEN 'not-a-date' WHEN 3 THEN NULL WHEN 4 THEN strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S')
          ELSE strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') END AS ts_text,
   CASE f WHEN 1 THEN NULL ELSE upper(trim('s' || CAST(l_suppkey AS VARCHAR) || ' ')) END AS symbol,
@@ -142,7 +143,7 @@ query("norm_symbol", """SELECT event_id, upper(trim(coalesce(CASE WHEN event_typ
 
 @query("norm_timestamp", """SELECT event_id,
   make_timestamp(epoch_us(date_trunc('second', ts))) AS from_seconds,
-  make_timestamp(epoch_ms(ts) * 1000) AS from_millis,
+  make_timestamp(epoch_us(ts) // 1000 * 1000) AS from_millis,
   date_trunc('second', ts) AS from_zulu,
   date_trunc('second', ts) - INTERVAL 330 MINUTE AS from_offset,
   date_trunc('second', ts) - INTERVAL 330 MINUTE AS from_local,

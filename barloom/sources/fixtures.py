@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 FAULTS = 101  # one fault class per residue of the order key
 
 
+def record_seq():
+    """Input order of a line item as one bigint.
+
+    Order and line number alone repeat; the low 22 bits mix in the other keys.
+    """
+    rest = (F.col("l_partkey") * 1009 + F.col("l_suppkey") * 9176
+            + F.datediff("l_shipdate", F.lit("1970-01-01").cast("date")))
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4194304 + F.pmod(rest, F.lit(4194304))
+
+
 def faulty_records(lineitem: DataFrame) -> DataFrame:
     """Every line item as a raw text record, with one kind of fault per residue class.
 
@@ -26,8 +36,7 @@ def faulty_records(lineitem: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("string")
     return lineitem.select(
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 65536
-         + F.pmod(F.col("l_partkey"), F.lit(65536))).alias("row_seq"),
+        record_seq().alias("row_seq"),
         text(F.concat(day, F.lit("T00:00:00Z")), f2=F.lit("not-a-date"), f3=none,
              f4=F.concat(day, F.lit("T00:00:00"))).alias("Date"),
         text(F.concat(F.lit("s"), F.col("l_suppkey"), F.lit(" ")), f1=none).alias("Ticker"),
