@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from barloom.functions.targets import REGISTRY as TARGETS
 from barloom.operators import metrics
 from barloom.operators.splits import panel_split
+from barloom.panel import cut
 from barloom.session import checkpoint_dir
 
 MODEL_TYPES = ("baseline", "logistic_regression", "ridge_regression", "random_forest",
@@ -200,7 +200,8 @@ def run_experiment(labelled: DataFrame, features, target: str, model_type: str,
     """Split on the common calendar, fit on train, and report metrics of every fold."""
     task, gap = infer_task(labelled, target)
     rows = labelled.select("timestamp", "symbol", *features, target).dropna(subset=[*features, target])
-    folded = panel_split(rows, *ratios, gap=gap)
+    # Read by the fit and by every metric pass.
+    folded = cut(panel_split(rows, *ratios, gap=gap))
     model = fit_model(folded.filter("fold = 'train'"), features, target, model_type, task, params, seed)
     scored = model.predict(folded.filter("fold IN ('train', 'validation', 'test')"))
     out = metrics.evaluate(scored, task, ["fold"], y=target, y_hat="y_hat",
@@ -213,6 +214,7 @@ def run_experiment(labelled: DataFrame, features, target: str, model_type: str,
 def compare_models(labelled: DataFrame, features, target: str, model_types, seed: int = 42,
                    params: dict | None = None) -> DataFrame:
     """Metrics of several model types on one target, in one table."""
+    labelled = cut(labelled.select("timestamp", "symbol", *features, target))
     out = None
     for kind in model_types:
         one = run_experiment(labelled, features, target, kind, (params or {}).get(kind), seed)
@@ -226,6 +228,7 @@ def wf_predict(rows: DataFrame, features, target: str, model_type: str, task: st
 
     One fit per fold, seeded with the fold number; `rows` needs imputed test features.
     """
+    rows = cut(rows)
     folds = sorted(r[0] for r in rows.select("fold_idx").distinct().collect())  # at most n_folds
     out = None
     for fold in folds:
@@ -243,5 +246,3 @@ def uncertainty(p: Column) -> Column:
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
-
-ANNUAL = math.sqrt(252)

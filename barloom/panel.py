@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.session import checkpoint_dir
+
 DAILY = "day"
 CHUNK_ROWS = 8192
 # One century of days: the row bound of a symbol at the daily grain.
@@ -121,6 +123,17 @@ def open_frame(bars: DataFrame, back: int, ahead: int = 0, grain: str = DAILY,
     return Frame(chunks, Window.partitionBy(key, "_chunk").orderBy("n"), True)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and continue from there.
+
+    `running` reads its input twice. Where several passes follow one another,
+    cutting between them keeps the work proportional to the number of passes,
+    and a lost executor costs one pass instead of the chain.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
@@ -175,3 +188,22 @@ def series_index(df: DataFrame, grain: str = DAILY, key: str = "symbol", time: s
                                "total": F.count(F.lit(1)).over(whole)})
     totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     return row_index(df, [key], [time], grain_block(grain, rows, time)).join(totals, key)
+
+
+def cumulative(df: DataFrame, outputs: dict[str, tuple[str, str]], grain: str = DAILY,
+               keys=("symbol",), time: str = "timestamp", rows: int = CHUNK_ROWS) -> DataFrame:
+    """`running` over bars: one window per key at the daily grain, two levels otherwise."""
+    keys = list(keys)
+    if grain != DAILY:
+        return running(cut(df), keys, [time], grain_block(grain, rows, time), outputs)
+    past = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    columns = {}
+    for name, (kind, source) in outputs.items():
+        if kind == "last":
+            columns[name] = F.last(source, ignorenulls=True).over(past)
+        elif kind == "prev":
+            columns[name] = F.last(source, ignorenulls=True).over(
+                past.rowsBetween(Window.unboundedPreceding, -1))
+        else:
+            columns[name] = {"sum": F.sum, "max": F.max, "min": F.min}[kind](source).over(past)
+    return df.withColumns(columns)

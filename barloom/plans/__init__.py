@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from barloom.plans import bars_features, ingest, modeling  # noqa: F401
+from barloom.plans import bars_features, ingest, market, modeling, sinks, trading  # noqa: F401
 from barloom.plans.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -249,7 +249,7 @@ _REG = """SELECT fold, count(*) AS rows, round(avg(abs(r - r_hat)) + 1.3e-9, 6)
   round(avg(CASE WHEN sign(r) = sign(r_hat) THEN 1.0 ELSE 0 END) + 1.3e-9, 6) AS directional_accuracy,
   round(corr(r, r_hat) + 1.3e-9, 6) AS pearson_corr FROM scored GROUP BY fold"""
 query("reg_metrics", _SC + _REG)(lambda t: rounded(M.regression(scored(t), ["fold"], "r", "r_hat")))
-query("metrics_dispatch", _SC + ", {clf}, {auc} SELECT fold, symbol, metric, round(value + 1.3e-9, 6) AS value FROM ("
-      "UNPIVOT INCLUDE NULLS (SELECT fold, symbol, accuracy, CAST(precision AS DOUBLE) AS precision, recall, f1, roc_auc, brier_score, log_loss FROM clf JOIN auc "
-      "USING (fold, symbol)) ON accuracy, precision, recall, f1, roc_auc, brier_score, log_loss INTO NAME metric VALUE value)")(
+query("metrics_dispatch", _SC + ", {clf}, {auc}, both_m AS (SELECT * FROM clf JOIN auc USING (fold, symbol)) " + " UNION ALL ".join(
+    f"SELECT fold, symbol, '{c}' AS metric, round({c} + 1.3e-9, 6) AS value FROM both_m"
+    for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "brier_score", "log_loss")))(
     lambda t: rounded(M.evaluate(scored(t), "classification", ["fold", "symbol"])))
