@@ -120,8 +120,7 @@ class Baseline:
         if strategy == "mean":
             value = float(rows.agg(F.avg(target)).first()[0])
         elif strategy == "median":
-            # Distinct values are ranked by the exact percentile aggregate.
-            value = float(rows.agg(F.percentile(target, F.lit(0.5))).first()[0])
+            value = metrics.exact_median(rows, target)
         else:
             value = constant if strategy == "constant" else 0.0
         return cls(task, value, strategy, seed)

@@ -83,7 +83,8 @@ def rounded_sql(source: str, *keep: str, digits: int = 6) -> str:
 
 def nudged(value, digits: int = 6):
     """Round one column for output."""
-    return F.round((F.col(value) if isinstance(value, str) else value) + F.lit(NUDGE), digits)
+    scale = F.lit(float(10 ** digits))
+    return F.rint(((F.col(value) if isinstance(value, str) else value) + F.lit(NUDGE)) * scale) / scale
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -60,7 +60,7 @@ query("asof_quote", """WITH q AS (SELECT user_id, ts, max(value) AS value FROM e
     lambda t: J.asof_join(
         t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"),
         t.events.filter("event_type = 'view'").select("user_id", "ts", "value"),
-        "user_id", "ts", "ts", ["value"], 3600, "event_id"))
+        "user_id", "ts", "ts", ["value"], 300, "event_id"))
 query("forecast_join", """WITH {labelled_n}, f AS (SELECT symbol, timestamp, range_pos_20d AS p FROM labelled WHERE range_pos_20d IS NOT NULL),
   o AS (SELECT o_orderkey AS order_id, n_name AS symbol, o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey)

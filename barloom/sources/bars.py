@@ -23,17 +23,18 @@ def bar_start(time: Column, grain: str) -> Column:
 
 
 def resample_bars(ticks: DataFrame, symbol: Column, time: Column, price: Column,
-                  volume: Column | None, seq: Column, grain: str = "day") -> DataFrame:
+                  volume: Column | None, seq: Column, grain: str = "day", prefix: str = "") -> DataFrame:
     """One bar per symbol and interval.
 
     Open and close are the prices of the lowest and highest `seq` in the bar;
     `seq` should be a unique bigint, which keeps the aggregation hash-based and
     combinable before the shuffle, so a symbol holding most ticks is reduced
-    where it is read. Volume is the tick count when none is given.
+    where it is read. Volume is the tick count when none is given. A numeric
+    `symbol` is grouped as a number and becomes text with `prefix` afterwards.
     """
     vol = F.count(F.lit(1)).cast("double") if volume is None else F.sum("_v")
     trimmed = ticks.select(
-        symbol.alias("symbol"), bar_start(time, grain).alias("timestamp"),
+        symbol.alias("symbol"), (F.to_date(time) if grain == "day" else bar_start(time, grain)).alias("timestamp"),
         price.cast("double").alias("_p"), seq.alias("_s"),
         *([] if volume is None else [volume.cast("double").alias("_v")]),
     )
@@ -41,7 +42,9 @@ def resample_bars(ticks: DataFrame, symbol: Column, time: Column, price: Column,
         trimmed.groupBy("symbol", "timestamp")
         .agg(F.min_by("_p", "_s").alias("open"), F.max("_p").alias("high"),
              F.min("_p").alias("low"), F.max_by("_p", "_s").alias("close"), vol.alias("volume"))
-        .select("timestamp", "symbol", "open", "high", "low", "close", "volume")
+        .select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+                F.concat(F.lit(prefix), F.col("symbol").cast("string")).alias("symbol") if prefix else F.col("symbol"),
+                "open", "high", "low", "close", "volume")
     )
 
 
@@ -50,8 +53,8 @@ def supplier_bars(lineitem: DataFrame) -> DataFrame:
     seq = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 65536
            + F.pmod(F.col("l_partkey"), F.lit(65536)))
     return resample_bars(
-        lineitem, F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.col("l_shipdate"),
-        F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), seq)
+        lineitem, F.col("l_suppkey"), F.col("l_shipdate"),
+        F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), seq, prefix="S")
 
 
 def nation_bars(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:

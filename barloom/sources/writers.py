@@ -17,9 +17,12 @@ def save_mode(overwrite: bool) -> str:
 
 def write_bars(bars: DataFrame, path: str, catalog: str | None = None, provider: str = "", timeframe: str = "1d",
                overwrite: bool = False) -> None:
-    """Snappy Parquet clustered by symbol, so a slice reads few row groups."""
+    """Snappy Parquet ordered by symbol and time, so a slice reads few row groups.
+
+    Ranges are cut inside a symbol too, so a large one is written by many tasks.
+    """
     require_columns(bars)
-    (bars.select(*CANONICAL).repartition("symbol").sortWithinPartitions("symbol", "timestamp")
+    (bars.select(*CANONICAL).repartitionByRange("symbol", "timestamp").sortWithinPartitions("symbol", "timestamp")
      .write.mode(save_mode(overwrite)).option("compression", "snappy").parquet(path))
     if catalog:
         written = bars.sparkSession.read.parquet(path)
@@ -53,7 +56,8 @@ def write_run(path: str, metrics: DataFrame, curve: DataFrame, trades: DataFrame
     """Tables of back-tests, each partitioned by run."""
     tables = {"equity_curve": curve, "trades": trades} | ({"risk_decisions": decisions} if decisions is not None else {})
     for name, df in tables.items():
-        df.repartition("run_id").write.mode(save_mode(overwrite)).partitionBy("run_id").parquet(f"{path}/{name}")
+        by_time = [c for c in ("timestamp", "exit_time") if c in df.columns]
+        df.repartitionByRange("run_id", *by_time).write.mode(save_mode(overwrite)).partitionBy("run_id").parquet(f"{path}/{name}")
     metrics.write.mode(save_mode(overwrite)).parquet(f"{path}/metrics")
 
 
