@@ -40,8 +40,7 @@ def split_by_ratio(df: DataFrame, train: float = 0.6, val: float = 0.2, test: fl
     """Adds `fold` by position in each symbol's own history; rows before a cut are purged."""
     check_ratios(train, val, test)
     indexed = series_index(df, grain)
-    return indexed.withColumn("fold", _fold(F.col("n") - 1, F.col("total"), train, val, gap)).drop(
-        "n", "total")
+    return indexed.select(*df.columns, _fold(F.col("n") - 1, F.col("total"), train, val, gap).alias("fold"))
 
 
 def split_by_date(df: DataFrame, train_end: str, val_end: str | None = None,
@@ -77,7 +76,7 @@ def panel_split(df: DataFrame, train: float = 0.6, val: float = 0.2, test: float
     total = dates.groupBy("_all").agg(F.count(F.lit(1)).alias("total"))
     folds = ranked.join(total, "_all").select(
         "timestamp", _fold(F.col("n") - 1, F.col("total"), train, val, gap).alias("fold"))
-    return df.join(folds, "timestamp")
+    return df.join(folds, "timestamp").select(*df.columns, "fold")
 
 
 def split_summary(df: DataFrame, *by: str) -> DataFrame:

@@ -87,10 +87,10 @@ def nudged(value, digits: int = 6):
     return F.rint(((F.col(value) if isinstance(value, str) else value) + F.lit(NUDGE)) * scale) / scale
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double once, for output."""
+def rounded(df: DataFrame, digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:
+    """Round every double once, for output; `special` columns have their own digits."""
     return df.select(*[
-        nudged(c, digits).alias(c) if isinstance(df.schema[c].dataType, T.DoubleType)
+        nudged(c, (special or {}).get(c, digits)).alias(c) if isinstance(df.schema[c].dataType, T.DoubleType)
         else F.col(c) for c in df.columns])
 
 

@@ -160,9 +160,8 @@ query("min_history", _S + "SELECT symbol, status FROM ind")(lambda t: X.indicato
 query("confluence_score", _S + "SELECT symbol, t1 * 1.0::DOUBLE AS trend_score, t2 * 1.0::DOUBLE AS rsi_score, t3 * 1.0::DOUBLE AS volume_score, "
       "t4 * 1.0::DOUBLE AS structure_score, CASE WHEN b THEN 'BUY' ELSE 'SELL' END AS action, round(probability_up + 1.3e-9, 4) AS probability_up, "
       "round(greatest(probability_up, 1 - probability_up) * 100 + 1.3e-9, 1) AS confluence_pct FROM s3")(
-    lambda t: rounded(X.confluence(X.indicators(t.bars_s)), 4).select(
-        "symbol", "trend_score", "rsi_score", "volume_score", "structure_score", "action", "probability_up",
-        F.round("confluence_pct", 1).alias("confluence_pct")))
+    lambda t: rounded(X.confluence(X.indicators(t.bars_s)), 4, {"confluence_pct": 1}).select(
+        "symbol", "trend_score", "rsi_score", "volume_score", "structure_score", "action", "probability_up", "confluence_pct"))
 query("trade_plan", _S + "SELECT symbol, setup, entry_low, entry_high, stop_loss, target_1, target_2 FROM plan")(
     lambda t: X.trade_plan(X.confluence(X.indicators(t.bars_s))).select(
         "symbol", "setup", "entry_low", "entry_high", "stop_loss", "target_1", "target_2"))

@@ -302,8 +302,7 @@ _RK = "WITH {risk} "
 query("risk_decisions", _RK + """SELECT order_id AS decision_id, timestamp, symbol, action, status, quantity AS requested_quantity,
   round(approved + 1.3e-9, 6) AS approved_quantity, round(quantity * price + 1.3e-9, 4) AS requested_value, round(approved * price + 1.3e-9, 4) AS approved_value,
   constraint_triggered, round(gross_value / equity + 1.3e-9, 6) AS portfolio_exposure_pct, round(pv / equity + 1.3e-9, 6) AS position_concentration_pct FROM decided""")(
-    lambda t: rounded(K.evaluate_orders(orders(t), LIMITS)).withColumns({
-        "requested_value": F.round("requested_value", 4), "approved_value": F.round("approved_value", 4)}).select(
+    lambda t: rounded(K.evaluate_orders(orders(t), LIMITS), 6, {"requested_value": 4, "approved_value": 4}).select(
         "decision_id", "timestamp", "symbol", "action", "status", "requested_quantity", "approved_quantity", "requested_value",
         "approved_value", "constraint_triggered", "portfolio_exposure_pct", "position_concentration_pct"))
 for _name, _constraint in {"risk_sanity": "order_sanity", "risk_sell": "held_position_limit", "risk_drawdown": "max_drawdown_limit",
@@ -395,8 +394,7 @@ def book(t):
 query("positions_from_fills", "WITH {fills} SELECT account, symbol, fills, round(z.held + 1.3e-9, 4) AS quantity, "
       "round(CASE WHEN z.held > 0 THEN z.avg ELSE 0 END + 1.3e-9, 4) AS average_cost, round(z.pnl + 1.3e-9, 2) AS realized_pnl, "
       "round(fees + 1.3e-9, 2) AS total_fees FROM folded")(
-    lambda t: rounded(book(t), 4).withColumns({"realized_pnl": F.round("realized_pnl", 2),
-                                               "total_fees": F.round("total_fees", 2)}))
+    lambda t: rounded(book(t), 4, {"realized_pnl": 2, "total_fees": 2}))
 query("latest_price", "WITH {bars_s} SELECT symbol, round(max_by(close, timestamp) + 1.3e-9, 6) AS current_price FROM bars_s GROUP BY 1")(
     lambda t: rounded(L.latest_prices(t.bars_s)))
 SQL_PARTS["marked"] = """px AS (SELECT symbol, max_by(close, timestamp) AS cp FROM bars_n GROUP BY 1),
@@ -413,8 +411,8 @@ def marked(t):
 query("mark_positions", """WITH {fills}, {marked} SELECT symbol, round(quantity * cp + 1.3e-9, 2) AS market_value,
   round(quantity * (cp - average_cost) + 1.3e-9, 2) AS unrealized_pnl,
   round(CASE WHEN quantity * average_cost > 0 THEN (cp - average_cost) / average_cost * 100 ELSE 0 END + 1.3e-9, 4) AS unrealized_pct FROM marked""")(
-    lambda t: rounded(marked(t).select("symbol", F.round(F.col("market_value") + 1.3e-9, 2).alias("market_value"),
-                                       F.round(F.col("unrealized_pnl") + 1.3e-9, 2).alias("unrealized_pnl"), "unrealized_pct"), 4))
+    lambda t: rounded(marked(t).select("symbol", "market_value", "unrealized_pnl", "unrealized_pct"), 4,
+                      {"market_value": 2, "unrealized_pnl": 2}))
 query("cash_ledger", """WITH {fills} SELECT account, symbol, seq, round(1000000 + sum(CASE WHEN act = 'BUY' THEN -quantity * price ELSE quantity * price END - fee)
   OVER w + 1.3e-9, 2) AS cash, round(sum(fee) OVER w + 1.3e-9, 2) AS total_fees FROM fills WINDOW w AS (PARTITION BY account ORDER BY seq ROWS UNBOUNDED PRECEDING)""")(
     lambda t: rounded(L.cash_ledger(fills(t), 1e6, _block()).select("account", "symbol", "seq", "cash", "total_fees"), 2))
