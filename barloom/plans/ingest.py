@@ -219,13 +219,16 @@ query("dq_findings", _FIND + "SELECT row_seq, symbol, timestamp, code, severity,
 query("dq_row_rules", _FIND + "SELECT code, count(*) AS findings FROM findings WHERE code NOT IN "
       "('ERR_UNSORTED_TIMESTAMPS', 'WARN_TRADING_SESSION_GAP', 'ERR_DUPLICATE_TIMESTAMP') GROUP BY code")(
     lambda t: Q.row_findings(raw(t)).groupBy("code").agg(F.count(F.lit(1)).alias("findings")))
+# Rules that look at other rows; the rest is row-local.
+ORDERED = ("ERR_UNSORTED_TIMESTAMPS", "WARN_TRADING_SESSION_GAP", "ERR_DUPLICATE_TIMESTAMP")
 for _code_name in ("ERR_MISSING_VALUE", "ERR_MALFORMED_TIMESTAMP", "ERR_TYPE_MISMATCH", "ERR_NAIVE_TIMESTAMP",
                    "ERR_UNSORTED_TIMESTAMPS", "WARN_TRADING_SESSION_GAP", "ERR_DUPLICATE_TIMESTAMP",
                    "ERR_NON_POSITIVE_PRICE", "ERR_NEGATIVE_VOLUME", "WARN_ZERO_VOLUME",
                    "ERR_INVALID_OHLC_HIGH_OPEN", "ERR_INVALID_OHLC_HIGH_CLOSE", "ERR_INVALID_OHLC_HIGH_LOW",
                    "ERR_INVALID_OHLC_LOW_OPEN", "ERR_INVALID_OHLC_LOW_CLOSE"):
     query("dq_" + _code_name.lower(), _FIND + f"SELECT row_seq, field FROM findings WHERE code = '{_code_name}'")(
-        lambda t, c=_code_name: findings(t).filter(F.col("code") == c).select("row_seq", "field"))
+        lambda t, c=_code_name: (findings(t) if c in ORDERED else Q.row_findings(raw(t)))
+        .filter(F.col("code") == c).select("row_seq", "field"))
 query("dq_err_unexpected_symbol", "WITH {raw}, {findings} SELECT row_seq FROM checked WHERE ok AND symbol <> 'S1'")(
     lambda t: Q.row_findings(raw(t), "S1").filter(F.col("code") == "ERR_UNEXPECTED_SYMBOL").select("row_seq"))
 query("dq_warn_date_range_mismatch", """WITH {bars_s}, b AS (SELECT symbol, CAST(min(timestamp) AS DATE) AS a,
