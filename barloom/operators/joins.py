@@ -60,31 +60,30 @@ def search_universe(universe: DataFrame, text: str, limit: int = 20, position: s
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str,
-              values: list[str], block_seconds: int, tie: str) -> DataFrame:
+              values: list[str], block_seconds: int) -> DataFrame:
     """Latest `right` row at or before each `left` row of the same key.
 
-    Both sides are laid on one time line and the last right row is carried
-    forward in two levels, so nothing is paired and a huge key is cut by time.
-    `tie` is a left column that makes left rows distinct; of right rows at the
-    same instant the one with the greatest values is taken.
+    The distinct left instants and the right rows are laid on one time line and
+    the last right row is carried forward in two levels, so nothing is paired, a
+    huge key is cut by time and left rows sharing an instant enter once. Of right
+    rows at the same instant the one with the greatest values is taken. The
+    result joins the left rows back one-to-many.
     """
-    carried = [right_time, *values]
-    lines_r = right.groupBy(key, right_time).agg(F.max(F.struct(*values)).alias("_v")).select(
+    quotes = right.groupBy(key, right_time).agg(F.max(F.struct(*values)).alias("_v")).select(
         F.col(key).alias("_key"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
-        F.lit(None).cast(left.schema[tie].dataType).alias("_tie"),
         F.struct(F.col(right_time), *[F.col(f"_v.{v}").alias(v) for v in values]).alias("_hit"))
-    lines_l = left.select(
-        F.col(key).alias("_key"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
-        F.col(tie).alias("_tie"), F.struct(*left.columns).alias("_row"))
-    line = lines_r.unionByName(lines_l, allowMissingColumns=True)
-    done = running(line, ["_key"], ["_t", "_side", "_tie"], time_block("_t", block_seconds),
-                   {"_found": ("last", "_hit")})
-    return done.filter("_side = 1").select(
-        "_row.*", *[F.col(f"_found.{c}").alias(f"asof_{c}") for c in carried])
+    asked = left.select(F.col(key).alias("_key"), F.col(left_time).alias("_t")).distinct().withColumn(
+        "_side", F.lit(1))
+    line = quotes.unionByName(asked, allowMissingColumns=True)
+    done = running(line, ["_key"], ["_t", "_side"], time_block("_t", block_seconds),
+                   {"_found": ("last", "_hit")}).filter("_side = 1").select("_key", "_t", "_found")
+    joined = left.join(done, (left[key] == done["_key"]) & (left[left_time] == done["_t"]), "left")
+    return joined.select(*[left[c] for c in left.columns],
+                         *[F.col(f"_found.{c}").alias(f"asof_{c}") for c in [right_time, *values]])
 
 
 def limit_first_touch(orders: DataFrame, bars: DataFrame, grain: str = DAILY,
-                      block_seconds: int = 86400 * 3650, rows: int = TOUCH_ROWS) -> DataFrame:
+                      block_seconds: int = 86400, rows: int = TOUCH_ROWS) -> DataFrame:
     """First bar at or after its creation that reaches each limit order.
 
     Bars are packed into chunks of `rows` with their lowest low and highest
@@ -103,7 +102,7 @@ def limit_first_touch(orders: DataFrame, bars: DataFrame, grain: str = DAILY,
 
     # Position of the last bar before the order: the search starts right after it.
     eve = orders.withColumn("_eve", F.expr("created_at - INTERVAL 1 MICROSECOND"))
-    placed = asof_join(eve, chunked, "symbol", "_eve", "timestamp", ["n"], block_seconds, "order_id")
+    placed = asof_join(eve, chunked, "symbol", "_eve", "timestamp", ["n"], block_seconds)
     start = F.coalesce("asof_n", F.lit(0)) + 1
     df = placed.withColumns({"_from": start, "_chunk": F.floor((start - 1) / F.lit(rows))})
 

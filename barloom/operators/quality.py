@@ -132,6 +132,18 @@ def find_issues(raw: DataFrame, block: Column, seq: str = "row_seq",
         F.inline(F.array_compact(F.array(*rules))))
 
 
+def invalid_records(raw: DataFrame, column: str = "_corrupt_record") -> DataFrame:
+    """Input lines the reader could not take apart, kept by Spark in a column of their own.
+
+    `parsed_fields` counts what could be read; it also makes the reader parse the
+    lines, which Spark demands of queries on that column.
+    """
+    parsed = sum((F.col(c).isNotNull().cast("int") for c in raw.columns if c != column), F.lit(0))
+    return raw.filter(F.col(column).isNotNull()).select(
+        F.lit("ERR_INVALID_RECORD_TYPE").alias("code"), F.lit(ERROR).alias("severity"), F.col(column).alias("message"),
+        parsed.alias("parsed_fields"))
+
+
 def date_range_issues(bars: DataFrame, start: str, end: str) -> DataFrame:
     """Symbols whose data begin or end more than a week inside the requested range."""
     span = bars.groupBy("symbol").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))

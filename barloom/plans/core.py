@@ -71,6 +71,8 @@ def expand(sql: str) -> str:
 
 # Added before rounding output: decimal ties (…5) then round alike in every engine.
 NUDGE = 1.3e-9
+# The same for sums of money in cents, whose last binary digit is coarser.
+MONEY_NUDGE = 1.3e-6
 
 
 def rounded_sql(source: str, *keep: str, digits: int = 6) -> str:
@@ -84,7 +86,8 @@ def rounded_sql(source: str, *keep: str, digits: int = 6) -> str:
 def nudged(value, digits: int = 6):
     """Round one column for output."""
     scale = F.lit(float(10 ** digits))
-    return F.rint(((F.col(value) if isinstance(value, str) else value) + F.lit(NUDGE)) * scale) / scale
+    nudge = NUDGE if digits > 2 else MONEY_NUDGE
+    return F.rint(((F.col(value) if isinstance(value, str) else value) + F.lit(nudge)) * scale) / scale
 
 
 def rounded(df: DataFrame, digits: int = 6, special: dict[str, int] | None = None) -> DataFrame:

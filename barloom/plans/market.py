@@ -19,14 +19,14 @@ from barloom.plans.core import SQL_PARTS, query, rounded
 SQL_PARTS["universe"] = """universe AS (SELECT s_suppkey AS position, CASE WHEN s_suppkey % 10 = 0 THEN '^S' ELSE 'S' END || CAST(s_suppkey AS VARCHAR) AS symbol,
   s_name AS name, n_name AS exchange, CASE WHEN s_nationkey % 2 = 0 THEN 'INR' ELSE 'USD' END AS currency,
   CASE WHEN s_suppkey % 10 = 0 THEN 'INDEX' ELSE 'EQUITY' END AS asset_type, CASE WHEN s_nationkey % 2 = 0 THEN 'IN' ELSE 'US' END AS country,
-  r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 3 <> 2)"""
+  r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 def universe(t):
-    """Suppliers as listed instruments; every third one is left unlisted."""
+    """Suppliers as listed instruments."""
     nation = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     index, rupee = F.col("s_suppkey") % 10 == 0, F.col("s_nationkey") % 2 == 0
-    return t.supplier.filter("s_suppkey % 3 <> 2").join(
+    return t.supplier.join(
         F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("position"),
         F.concat(F.when(index, "^S").otherwise("S"), F.col("s_suppkey").cast("string")).alias("symbol"),
@@ -36,13 +36,23 @@ def universe(t):
         F.when(rupee, "IN").otherwise("US").alias("country"), F.col("r_name").alias("sector"))
 
 
-query("enrich_instruments", """WITH {universe}, s AS (SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS symbol, count(*) AS rows FROM lineitem GROUP BY 1)
-  SELECT s.symbol, rows, coalesce(a.symbol, b.symbol, s.symbol) AS instrument, coalesce(a.name, b.name, s.symbol) AS name,
-  coalesce(a.exchange, b.exchange, 'US') AS exchange, coalesce(a.currency, b.currency, 'USD') AS currency,
-  coalesce(a.asset_type, b.asset_type, 'EQUITY') AS asset_type, coalesce(a.country, b.country, 'US') AS country,
-  coalesce(a.sector, b.sector, 'Unspecified') AS sector FROM s LEFT JOIN universe a ON a.symbol = s.symbol LEFT JOIN universe b ON b.symbol = '^' || s.symbol""")(
-    lambda t: J.enrich_instruments(t.lineitem.groupBy(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol")).agg(F.count(F.lit(1)).alias("rows")), universe(t)))
+_SUFFIX = {"A": "", "R": ".NS", "N": ".bo"}  # unlisted forms for two of the three return flags
+
+
+@query("enrich_instruments", """WITH {universe}, s AS (SELECT 'S' || CAST(l_suppkey AS VARCHAR) || CASE l_returnflag WHEN 'R' THEN '.NS' WHEN 'N' THEN '.bo' ELSE '' END AS symbol,
+  count(*) AS rows FROM lineitem GROUP BY 1), u AS (SELECT *, upper(symbol) AS k FROM s)
+  SELECT u.symbol, rows, coalesce(a.symbol, b.symbol, k) AS instrument, coalesce(a.name, b.name, k) AS name,
+  coalesce(a.exchange, b.exchange, CASE right(k, 3) WHEN '.NS' THEN 'NSE' WHEN '.BO' THEN 'BSE' ELSE 'US' END) AS exchange,
+  coalesce(a.currency, b.currency, CASE WHEN right(k, 3) IN ('.NS', '.BO') THEN 'INR' ELSE 'USD' END) AS currency,
+  coalesce(a.asset_type, b.asset_type, 'EQUITY') AS asset_type, coalesce(a.country, b.country, CASE WHEN right(k, 3) IN ('.NS', '.BO') THEN 'IN' ELSE 'US' END) AS country,
+  coalesce(a.sector, b.sector, 'Unspecified') AS sector FROM u LEFT JOIN universe a ON a.symbol = k LEFT JOIN universe b ON b.symbol = '^' || k""")
+def _enrich(t):
+    suffix = F.coalesce(*[F.when(F.col("l_returnflag") == f, s) for f, s in _SUFFIX.items()], F.lit(""))
+    symbols = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("c")).groupBy(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), suffix).alias("symbol")).agg(F.sum("c").alias("rows"))
+    return J.enrich_instruments(symbols, universe(t))
+
+
 query("universe", "WITH {universe} SELECT symbol, name, exchange, currency, asset_type, country, sector FROM universe")(
     lambda t: universe(t).drop("position"))
 query("search_universe", """WITH {universe} SELECT symbol, name, CASE WHEN symbol = 'S1' THEN 1 WHEN starts_with(symbol, 'S1') THEN 2 ELSE 3 END AS tier
@@ -60,7 +70,7 @@ query("asof_quote", """WITH q AS (SELECT user_id, ts, max(value) AS value FROM e
     lambda t: J.asof_join(
         t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"),
         t.events.filter("event_type = 'view'").select("user_id", "ts", "value"),
-        "user_id", "ts", "ts", ["value"], 300, "event_id"))
+        "user_id", "ts", "ts", ["value"], 300))
 query("forecast_join", """WITH {labelled_n}, f AS (SELECT symbol, timestamp, range_pos_20d AS p FROM labelled WHERE range_pos_20d IS NOT NULL),
   o AS (SELECT o_orderkey AS order_id, n_name AS symbol, o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey)
@@ -74,8 +84,7 @@ def _nation_orders(t):
 
 def _forecast_join(t):
     forecasts = compute_features(t.bars_n, ["range_pos_20d"]).dropna().withColumnRenamed("range_pos_20d", "p")
-    return rounded(J.asof_join(_nation_orders(t).drop("price"), forecasts, "symbol", "created_at", "timestamp", ["p"],
-                               86400 * 366, "order_id"))
+    return rounded(J.asof_join(_nation_orders(t).drop("price"), forecasts, "symbol", "created_at", "timestamp", ["p"], 86400))
 
 
 SQL_PARTS["touch"] = """{bars_n}, lo AS (SELECT o_orderkey AS order_id, n_name AS symbol, o_orderdate AS created_at,
@@ -215,6 +224,8 @@ query("latest_model", """WITH m AS (SELECT o_orderkey AS experiment_id, o_orderd
 query("runs", """WITH {chain_n}, {perf} SELECT run_id, created_at, trade_count, round(win_rate + 1.3e-9, 4) AS win_rate FROM perf
   JOIN (SELECT run_id, max(timestamp) AS created_at FROM curve GROUP BY 1) USING (run_id)""")(
     lambda t: rounded(R.runs(trading.metrics(t), trading.run_catalog(t)).select("run_id", "created_at", "trade_count", "win_rate"), 4))
+query("model_record")(lambda t: R.model_records(ml.run_experiment(
+    modeling.labelled(t), modeling.FEATS, modeling.Y, "logistic_regression"), modeling.FEATS))
 query("evidence_bundle")(lambda t: R.evidence_bundle(
     R.experiments(experiment_table(t)), trading.metrics(t).select("run_id", "win_rate"), t.bars_n))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions import targets as TG
 from barloom.functions.features import compute_features
 
 from barloom.operators import normalize as N
+from barloom.operators import quality as Q
 from barloom.operators.dataset import ModelingDataset
 from barloom.plans import ingest, modeling, trading  # noqa: F401
 from barloom.plans.core import SQL_PARTS, query, rounded, rounded_sql
@@ -89,13 +91,47 @@ def _csv(t):
 
 @query("scan_json", "SELECT o_orderkey AS row_seq, o_totalprice AS close FROM orders")
 def _json(t):
-    path = SB.scratch(t.spark, "json") + ".json"
-    t.orders.select("o_orderkey", F.struct(F.col("o_orderkey").alias("row_seq"), F.col("o_totalprice").alias("close")).alias("r")) \
-        .groupBy((F.col("o_orderkey") % 64).alias("g")).agg(F.collect_list("r").alias("records")) \
-        .select("records").repartition(64).write.json(path)
+    path = SB.scratch(t.spark, "json") + ".jsonl"
+    t.orders.select(F.col("o_orderkey").alias("row_seq"), F.col("o_totalprice").alias("close")).write.json(path)
     return RD.read_raw(t.spark, path).select("row_seq", "close")
 
 
+@query("dq_err_invalid_record_type", """SELECT 'ERR_INVALID_RECORD_TYPE' AS code, 'error' AS severity, 'order ' || CAST(o_orderkey AS VARCHAR) || ' {' AS message,
+  0 AS parsed_fields FROM orders WHERE o_orderstatus = 'P'""")
+def _broken_lines(t):
+    """Orders as text lines; those with status P are not valid records."""
+    path = SB.scratch(t.spark, "lines")
+    line = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" {"))) \
+        .otherwise(F.to_json(F.struct("o_orderkey", "o_totalprice")))
+    t.orders.select(line.alias("value")).write.text(path)
+    read = t.spark.read.schema("o_orderkey bigint, o_totalprice double, _corrupt_record string").json(path)
+    return Q.invalid_records(read)
+
+
+@query("dq_schema_issues", """SELECT code, severity, column_name, count(*) AS rows FROM orders, (VALUES ('ERR_MISSING_COLUMN', 'error', 'high'),
+  ('ERR_MISSING_COLUMN', 'error', 'low'), ('ERR_MISSING_COLUMN', 'error', 'volume'), ('WARN_UNEXPECTED_COLUMN', 'warning', 'note')) v(code, severity, column_name)
+  GROUP BY 1, 2, 3""")
+def _schema(t):
+    """Schema findings with the number of rows they concern."""
+    df = t.orders.select(F.col("o_orderdate").alias("timestamp"), F.col("o_orderstatus").alias("symbol"), F.col("o_totalprice").alias("open"),
+                         F.col("o_totalprice").alias("close"), F.col("o_orderpriority").alias("note"))
+    found = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.lit(n).alias("column_name"))
+                      for c, s, n in Q.schema_issues(df)])
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(found), "rows")
+
+
+query("feature_catalog", """WITH {bars_n}, {feats_n} SELECT 'return_21d' AS feature, 'PRICE' AS feature_group, 21 AS lookback, 0 AS custom,
+  count(*) AS rows, count(*) - count(return_21d) AS missing FROM feats UNION ALL SELECT 'vol_std_60d', 'VOLATILITY', 60, 0, count(*), count(*) - count(vol_std_60d) FROM feats
+  UNION ALL SELECT 'mine', NULL, 0, 1, count(*), count(*) - count(return_21d) FROM feats""")(
+    lambda t: W.feature_catalog(compute_features(t.bars_n, ["return_21d", "vol_std_60d"]).withColumn("mine", F.col("return_21d") * 2)).select(
+        "feature", "feature_group", F.coalesce("lookback", F.lit(0)).alias("lookback"), F.col("custom").cast("int").alias("custom"), "rows", "missing"))
+query("target_catalog", """WITH {bars_n}, {targets_n} SELECT 'target_fwd_ret_5d' AS target, 'forward_return' AS kind, 'regression' AS task, 5 AS horizon,
+  count(*) AS rows, count(*) - count(target_fwd_ret_5d) AS missing FROM labels_t UNION ALL
+  SELECT 'target_binary_up_10d', 'binary', 'classification', 10, count(*), count(*) - count(target_binary_up_10d) FROM labels_t""")(
+    lambda t: TG.target_report(TG.compute_targets(t.bars_n, ["target_fwd_ret_5d", "target_binary_up_10d"]), ["target_fwd_ret_5d", "target_binary_up_10d"])
+    .join(TG.REGISTRY.catalog(t.spark).withColumnRenamed("name", "target"), "target").select("target", "kind", "task", "horizon", "rows", "missing"))
+
+
 # ---------------------------------------------------------------- streams
 
 

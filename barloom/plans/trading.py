@@ -202,7 +202,7 @@ for _name, _cols in {
         "turnover": ["turnover"], "fees_exposure": ["total_fees", "net_profit", "exposure_time_pct"]}.items():
     query(_name, _PF + f"SELECT run_id, {', '.join(c if c in _INTS else f'round({c} + 1.3e-9, 4) AS {c}' for c in _cols)} FROM perf")(
         lambda t, cols=_cols: rounded(metrics(t).select("run_id", *cols), 4))
-query("exit_reason_mix", _C + "SELECT exit_reason, count(*) AS trades, round(sum(net_pnl) + 1.3e-9, 2) AS net_pnl FROM trips GROUP BY 1")(
+query("exit_reason_mix", _C + "SELECT exit_reason, count(*) AS trades, round(sum(net_pnl) + 1.3e-6, 2) AS net_pnl FROM trips GROUP BY 1")(
     lambda t: rounded(P.exit_reason_mix(S.round_trips(held(t))), 2))
 query("topk_recent_trades", _C + """SELECT symbol AS run_id, CAST(trip AS BIGINT) AS trip, entry_time, exit_time FROM trips
   QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY exit_time DESC, trip DESC) <= 5""")(
@@ -392,8 +392,8 @@ def book(t):
 
 
 query("positions_from_fills", "WITH {fills} SELECT account, symbol, fills, round(z.held + 1.3e-9, 4) AS quantity, "
-      "round(CASE WHEN z.held > 0 THEN z.avg ELSE 0 END + 1.3e-9, 4) AS average_cost, round(z.pnl + 1.3e-9, 2) AS realized_pnl, "
-      "round(fees + 1.3e-9, 2) AS total_fees FROM folded")(
+      "round(CASE WHEN z.held > 0 THEN z.avg ELSE 0 END + 1.3e-9, 4) AS average_cost, round(z.pnl + 1.3e-6, 2) AS realized_pnl, "
+      "round(fees + 1.3e-6, 2) AS total_fees FROM folded")(
     lambda t: rounded(book(t), 4, {"realized_pnl": 2, "total_fees": 2}))
 query("latest_price", "WITH {bars_s} SELECT symbol, round(max_by(close, timestamp) + 1.3e-9, 6) AS current_price FROM bars_s GROUP BY 1")(
     lambda t: rounded(L.latest_prices(t.bars_s)))
@@ -408,13 +408,13 @@ def marked(t):
         "currency", F.when(number % 2 == 0, "INR").otherwise("USD"))
 
 
-query("mark_positions", """WITH {fills}, {marked} SELECT symbol, round(quantity * cp + 1.3e-9, 2) AS market_value,
-  round(quantity * (cp - average_cost) + 1.3e-9, 2) AS unrealized_pnl,
+query("mark_positions", """WITH {fills}, {marked} SELECT symbol, round(quantity * cp + 1.3e-6, 2) AS market_value,
+  round(quantity * (cp - average_cost) + 1.3e-6, 2) AS unrealized_pnl,
   round(CASE WHEN quantity * average_cost > 0 THEN (cp - average_cost) / average_cost * 100 ELSE 0 END + 1.3e-9, 4) AS unrealized_pct FROM marked""")(
     lambda t: rounded(marked(t).select("symbol", "market_value", "unrealized_pnl", "unrealized_pct"), 4,
                       {"market_value": 2, "unrealized_pnl": 2}))
 query("cash_ledger", """WITH {fills} SELECT account, symbol, seq, round(1000000 + sum(CASE WHEN act = 'BUY' THEN -quantity * price ELSE quantity * price END - fee)
-  OVER w + 1.3e-9, 2) AS cash, round(sum(fee) OVER w + 1.3e-9, 2) AS total_fees FROM fills WINDOW w AS (PARTITION BY account ORDER BY seq ROWS UNBOUNDED PRECEDING)""")(
+  OVER w + 1.3e-6, 2) AS cash, round(sum(fee) OVER w + 1.3e-6, 2) AS total_fees FROM fills WINDOW w AS (PARTITION BY account ORDER BY seq ROWS UNBOUNDED PRECEDING)""")(
     lambda t: rounded(L.cash_ledger(fills(t), 1e6, _block()).select("account", "symbol", "seq", "cash", "total_fees"), 2))
 query("wallet_equity_history", _C + f"""SELECT run_id AS account, timestamp, round(high_water_mark + 1.3e-9, 4) AS peak_equity,
   round(-drawdown * 100 + 1.3e-9, 4) AS drawdown_pct FROM curved""")(
@@ -440,11 +440,11 @@ def wallets(t):
 
 
 query("wallet_totals", "WITH {fills}, {marked}, {wallets} SELECT currency, wallets, open_positions, " + ", ".join(
-    f"round({c} + 1.3e-9, 2) AS {c}" for c in ("cash", "market_value", "total_cost", "realized_pnl", "total_equity", "return_pct")) + " FROM wallet")(
+    f"round({c} + 1.3e-6, 2) AS {c}" for c in ("cash", "market_value", "total_cost", "realized_pnl", "total_equity", "return_pct")) + " FROM wallet")(
     lambda t: rounded(wallets(t), 2))
 query("wallet_summary", """WITH {fills}, {marked}, {wallets} SELECT 'CALCULATED' AS status,
-  round(sum(CASE WHEN currency = 'USD' THEN total_equity ELSE total_equity / 83.5 END) + 1.3e-9, 2) AS combined_usd,
-  round(sum(CASE WHEN currency = 'INR' THEN total_equity ELSE total_equity * 83.5 END) + 1.3e-9, 2) AS combined_inr FROM wallet""")(
+  round(sum(CASE WHEN currency = 'USD' THEN total_equity ELSE total_equity / 83.5 END) + 1.3e-6, 2) AS combined_usd,
+  round(sum(CASE WHEN currency = 'INR' THEN total_equity ELSE total_equity * 83.5 END) + 1.3e-6, 2) AS combined_inr FROM wallet""")(
     lambda t: rounded(L.consolidate(wallets(t), 83.5), 2))
 query("wallet_summary_no_rate", """SELECT 'UNAVAILABLE' AS status, CAST(NULL AS DOUBLE) AS combined_usd, CAST(NULL AS DOUBLE) AS combined_inr""")(
     lambda t: L.consolidate(wallets(t), None))
@@ -476,7 +476,7 @@ query("order_fees", "WITH {cur} SELECT o_orderkey, round(quantity * o_totalprice
 query("slippage_price", "WITH {cur} SELECT o_orderkey, round(o_totalprice / 1000 * CASE action WHEN 'BUY' THEN 1.0005 ELSE 0.9995 END + 1.3e-9, 6) AS fill_price FROM cur")(
     lambda t: rounded(_desk(t).select("o_orderkey", L.slippage_price(F.col("price"), F.col("action"), digits=None).alias("fill_price"))))
 query("order_estimate", """WITH {cur}, e AS (SELECT *, round(o_totalprice / 1000 * CASE action WHEN 'BUY' THEN 1.0005 ELSE 0.9995 END + 1e-10, 4) AS fp FROM cur)
-  SELECT o_orderkey, currency, round(quantity * abs(fp - o_totalprice / 1000) + 1.3e-9, 2) AS slippage,
+  SELECT o_orderkey, currency, round(quantity * abs(fp - o_totalprice / 1000) + 1.3e-6, 2) AS slippage,
   CASE WHEN action = 'BUY' THEN CASE WHEN o_custkey >= quantity * fp + quantity * fp * 0.001 + CASE currency WHEN 'INR' THEN 20 ELSE 1 END THEN 1 ELSE 0 END
        ELSE CASE WHEN o_custkey % 15 >= quantity THEN 1 ELSE 0 END END AS sufficient FROM e""")(
     lambda t: rounded(L.estimate_orders(_desk(t)).select("o_orderkey", "currency", "slippage", "sufficient"), 2))

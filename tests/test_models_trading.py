@@ -285,7 +285,7 @@ def test_limit_order_touch(spark, bars):
 def test_asof_join_of_a_hot_key(spark):
     left = spark.range(500).select(F.lit("hot").alias("k"), F.col("id"), F.timestamp_seconds(F.col("id") * 7).alias("t"))
     right = spark.range(40).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.col("id") * 90 + 5).alias("t"), F.col("id").alias("v"))
-    for r in J.asof_join(left, right, "k", "t", "t", ["v"], 100, "id").collect():
+    for r in J.asof_join(left, right, "k", "t", "t", ["v"], 100).collect():
         at = r.id * 7
         assert r.asof_v == (None if at < 5 else min(39, (at - 5) // 90))
 
