@@ -10,7 +10,7 @@ from barloom.operators import performance as P
 from barloom.operators import risk as K
 from barloom.operators import signals as S
 from barloom.operators import splits as SP
-from barloom.panel import time_block
+from barloom.panel import cut, time_block
 from barloom.plans.core import SQL_PARTS, query, rounded, rounded_sql
 
 ENTER, LEAVE, CASH, SHARE = 0.8, 0.3, 100_000.0, 0.005
@@ -147,20 +147,20 @@ query("signal_equity_hourly", "WITH {chain_e} SELECT timestamp, symbol, round(lo
 # ---------------------------------------------------------------- performance
 
 
-def curve(t):
+def curve(t, positions=None):
     """Equity curve per run (one run per symbol)."""
-    eq = S.signal_equity(held(t), fraction=SHARE)
+    eq = S.signal_equity(positions or held(t), fraction=SHARE)
     return eq.select(
         F.col("symbol").alias("run_id"), "timestamp", (F.col("equity") * CASH).alias("portfolio_equity"),
         "daily_return", (F.col("held") * F.col("equity") * CASH * SHARE).alias("gross_exposure"))
 
 
-def curved(t):
-    return P.drawdown_curve(curve(t), CASH)
+def curved(t, positions=None):
+    return P.drawdown_curve(curve(t, positions), CASH)
 
 
-def trips(t):
-    return S.round_trips(held(t), quantity=1.0).withColumnRenamed("symbol", "run_id")
+def trips(t, positions=None):
+    return S.round_trips(positions or held(t), quantity=1.0).withColumnRenamed("symbol", "run_id")
 
 
 query("equity_returns", _C + f""", r AS (SELECT run_id, timestamp, coalesce(lag(portfolio_equity) OVER (PARTITION BY run_id ORDER BY timestamp), {CASH}) AS b,
@@ -190,7 +190,9 @@ _PF = _C + ", {perf} "
 
 
 def metrics(t):
-    return P.perf_metrics(curved(t), trips(t), CASH)
+    """Curve and trades come from the same positions, so these are written once."""
+    positions = cut(held(t))
+    return P.perf_metrics(curved(t, positions), trips(t, positions), CASH)
 
 
 query("perf_metrics", _PF + rounded_sql("perf", "run_id", *_INTS, digits=4))(lambda t: rounded(metrics(t), 4))

@@ -16,6 +16,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 def plans():
     from barloom.functions.features import compute_features
     from barloom.operators import dataset, metrics, performance, quality, screener, signals
+    from barloom.panel import cut
     from barloom.plans import market, modeling, trading
     from barloom.plans.ingest import findings
 
@@ -31,7 +32,7 @@ def plans():
     def perf(t):
         from pyspark.sql import functions as F
 
-        h = held(t)
+        h = cut(held(t))
         eq = signals.signal_equity(h, fraction=0.005)
         curve = performance.drawdown_curve(eq.select(
             F.col("symbol").alias("run_id"), "timestamp", (F.col("equity") * 1e5).alias("portfolio_equity"), "daily_return",
