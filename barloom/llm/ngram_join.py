@@ -2,11 +2,12 @@
 
 Each text is a set of hashed word n-grams in one global order: rare n-grams first,
 by a count sketch of the whole corpus, ties by hash. Two sets at or above the
-threshold share one of their first keys (the prefix), so sets meet by prefix key:
+threshold share some of their first keys (the prefix), so sets meet by prefix key:
 
 1. equal sets are collapsed into one class;
-2. prefix keys that one class alone has are dropped; that leaves near copies and few others;
-3. each class meets others under its first two shared keys with its whole set, in
+2. prefix keys that no other class of about the same size has are dropped, and then the
+   classes with fewer keys left than any link of theirs must share; near copies remain;
+3. each class meets others under its first shared keys with its whole set, in
    blocks of at most `BLOCK` sets, in a tree that compares, links and merges them;
 4. keys whose classes are one component by now are done. All classes under the other keys
    meet again, block against block, first with prefixes alone, then, if they may
@@ -33,6 +34,8 @@ from barloom.llm.words import ngram_hashes, word_hashes
 SKETCH_BITS = 20      # 2**20 counters: 4 MB per task and for the driver, whatever the corpus
 SKETCH_PARTS = 64
 BLOCK = 2000          # sets that meet in one tree
+FIRST_KEYS = 3        # shared keys under which a class meets others before the rest is looked at
+SLICE = 40            # a prefix is longer by this part of its set
 BROADCAST_IDS = 1_000_000
 # Documents without an id come last in the order of ids.
 NO_ID = (1 << 63) - 1
@@ -92,7 +95,7 @@ def _profiles(docs: DataFrame, words: int, share: int, rank: bytes, whole: bool)
                 classes.append(xxhash.xxh3_64_intdigest(grams.tobytes()) >> 1)
                 ordered = np.sort((order[grams >> np.uint64(64 - SKETCH_BITS)].astype(np.int64) << 58)
                                   | (grams >> np.uint64(6)).astype(np.int64))
-                keys.append((ordered if whole else ordered[:n - -(-share * n // 100) + 1] if n else ordered).tobytes())
+                keys.append((ordered if whole else ordered[:n - -(-share * n // 100) + n // SLICE + 1] if n else ordered).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.binary())],
                 ["doc_key", "n", "cls", "keys"])
@@ -101,37 +104,55 @@ def _profiles(docs: DataFrame, words: int, share: int, rank: bytes, whole: bool)
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """One row (t, cls, pos, n) per prefix key of a class."""
+    """One row (t, cls, n) per prefix key of a class."""
     def unpack(batches):
         for batch in batches:
             keys = [np.frombuffer(k.as_py(), np.int64) for k in batch.column("keys")]
             lengths = np.array([len(k) for k in keys], np.int64)
-            if not lengths.sum():
-                continue
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column("cls").to_numpy(), lengths)),
-                pa.array(np.concatenate([np.arange(x) for x in lengths])),
-                pa.array(np.repeat(batch.column("n").to_numpy(), lengths))], ["t", "cls", "pos", "n"])
+            if lengths.sum():
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[
+                    pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in ("cls", "n")]], ["t", "cls", "n"])
 
-    return classes.select("cls", "n", "keys").mapInArrow(unpack, "t long, cls long, pos long, n long")
+    return classes.select("cls", "n", "keys").mapInArrow(unpack, "t long, cls long, n long")
+
+
+def _shared(classes: DataFrame, share: int) -> DataFrame:
+    """(t, b, cls, n, df): prefix keys that `df` > 1 classes of a size bucket have.
+
+    The smaller of two linked sets has `share` percent of the larger at least, so they lie in
+    one bucket or in neighbours; a class stands in its own bucket and in the next. A prefix is
+    longer by n / `SLICE` keys than one shared key would need; so linked sets share
+    as many more, by the smaller one's size, and a class with fewer shared keys has no link.
+    """
+    postings = _postings(classes)
+    twice = postings.join(postings.groupBy("t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("t"), "t")
+    width = float(np.log(100 / share) * 1.0001) if share < 100 else 1e-9
+    own = F.floor(F.log("n") / width)
+    left = twice.withColumn("b", F.explode(F.array(own, own + 1)))
+    fewest = F.floor(F.ceil(F.col("n") * share / 100) / SLICE) + 1
+    for _ in range(2):
+        left = left.select("t", "b", "cls", "n").join(left.groupBy("t", "b").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), ["t", "b"])
+        enough = left.groupBy("cls", "b").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n")).filter(F.col("_c") >= fewest)
+        left = written(left.join(enough.select("cls", "b"), ["cls", "b"]), "ngram-shared")
+    return left
 
 
 def _meet(rows: DataFrame, share: int, first: bool, merge: bool) -> DataFrame:
-    """Hits (a, b, t) among the sets (t, i, j, cls, root, n, keys) of each (t, i, j)."""
+    """Hits (a, b, t, bucket) among the sets (t, b, i, j, cls, root, n, keys) of each (t, b, i, j)."""
     def walk(batches):
         here, tree = None, None
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("t", "i", "j", "cls", "root", "n", "keys")]
-            for t, i, j, cls, root, n, keys in zip(*columns, strict=True):
-                if (t, i, j) != here:
-                    here, tree = (t, i, j), PrefixTree(share, t if first else None, merge)
-                out += [(cls, other, t) for other in tree.add(cls, root, n, np.frombuffer(keys, np.int64).tolist())]
+            columns = [batch.column(c).to_pylist() for c in ("t", "b", "i", "j", "cls", "root", "n", "keys")]
+            for t, b, i, j, cls, root, n, keys in zip(*columns, strict=True):
+                if (t, b, i, j) != here:
+                    here, tree = (t, b, i, j), PrefixTree(share, t if first else None, merge)
+                out += [(cls, other, t, b) for other in tree.add(cls, root, n, np.frombuffer(keys, np.int64).tolist())]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "t", "bucket"])
 
-    return (rows.select("t", "i", "j", "cls", "root", "n", "keys").repartition("t", "i", "j")
-            .sortWithinPartitions("t", "i", "j", "cls").mapInArrow(walk, "a long, b long, t long"))
+    return (rows.select("t", "b", "i", "j", "cls", "root", "n", "keys").repartition("t", "b", "i", "j")
+            .sortWithinPartitions("t", "b", "i", "j", "cls").mapInArrow(walk, "a long, b long, t long, bucket long"))
 
 
 def _blocked(rows: DataFrame, members: str) -> DataFrame:
@@ -150,8 +171,7 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
     profiles = written(_profiles(docs, words, share, order, whole=False), "ngram-profiles")
     classes = written(profiles.filter("n > 0").groupBy("cls").agg(F.min_by(F.struct("doc_key", "n", "keys"), "doc_key").alias("r"))
                       .select("cls", "r.doc_key", "r.n", "r.keys"), "ngram-classes")
-    postings = _postings(classes)
-    shared = written(postings.join(postings.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "t"), "ngram-shared")
+    shared = _shared(classes, share)
 
     wanted = classes.select("cls", "doc_key").join(shared.select("cls").distinct(), "cls", "left_semi")
     ids = wanted.select("doc_key").distinct()
@@ -160,19 +180,19 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
     sets = written(_profiles(docs.join(ids, "doc_key", "left_semi"), words, share, order, whole=True).select("cls", "keys")
                    .join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("keys").alias("keys")), "ngram-sets")
 
-    ahead = Window.partitionBy("cls").orderBy("pos")
-    near = shared.withColumn("_k", F.row_number().over(ahead)).filter("_k <= 2").select(
-        "t", "cls", "n", F.col("cls").alias("root"), F.lit(0).alias("i"),
+    ahead = Window.partitionBy("cls").orderBy("t", "b")
+    near = shared.withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= FIRST_KEYS).select(
+        "t", "b", "cls", "n", F.col("cls").alias("root"), F.lit(0).alias("i"),
         F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / BLOCK)).cast("int").alias("j"))
     edges = written(_meet(near.join(sets, "cls"), share, False, True).select("a", "b"), "ngram-edges")
     roots = components(edges)
 
     rooted = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_keys = rooted.groupBy("t").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("m")).filter("_a < _b")
-    left = _blocked(rooted.join(open_keys.select("t", "m"), "t"), "m").select("t", "i", "j", "cls", "root", "n")
+    open_keys = rooted.groupBy("t", "b").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("m")).filter("_a < _b")
+    left = _blocked(rooted.join(open_keys.select("t", "b", "m"), ["t", "b"]), "m").select("t", "b", "i", "j", "cls", "root", "n")
     maybe = written(_meet(left.join(classes.select("cls", "keys"), "cls"), share, True, False), "ngram-maybe")
-    again = maybe.select("t", F.col("a").alias("cls")).union(maybe.select("t", F.col("b").alias("cls"))).distinct()
-    late = _meet(left.join(again, ["t", "cls"], "left_semi").join(sets, "cls"), share, True, True).select("a", "b")
+    again = maybe.select("t", F.col("bucket").alias("b"), F.col("a").alias("cls")).union(maybe.select("t", "bucket", "b")).distinct()
+    late = _meet(left.join(again, ["t", "b", "cls"], "left_semi").join(sets, "cls"), share, True, True).select("a", "b")
     edges = written(edges.union(late).distinct(), "ngram-links")
     return profiles.select("doc_key", "n", "cls"), components(edges).select(F.col("node").alias("cls"), "root")
 
