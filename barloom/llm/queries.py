@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, interleave, licenses, line_frequency, mixing, ngram_join, order_minhash, pseudonyms, rollups, urls
+from barloom.llm import bpe, interleave, licenses, line_frequency, mixing, ngram_join, oracles, order_minhash, pseudonyms, rollups, urls
 from barloom.llm.common import documents, importable
 from barloom.session import checkpoint_dir
 
@@ -46,13 +46,13 @@ def op2(spark, sf_dir):
     return order_minhash.edit_fingerprints(documents(spark, sf_dir))
 
 
-@query("op3_interleave_shards")
+@query("op3_interleave_shards", oracles.SHARDS)
 def op3(spark, sf_dir):
     rows = interleave.interleaved_shards(documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
-@query("op4_line_frequency")
+@query("op4_line_frequency", oracles.LINES)
 def op4(spark, sf_dir):
     found = line_frequency.line_quality(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -63,12 +63,12 @@ def op5(spark, sf_dir):
     return bpe.encode_documents(documents(spark, sf_dir), VOCABULARY, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-@query("op6_url_vocabulary")
+@query("op6_url_vocabulary", oracles.urls(urls.STRICT, urls.SOFT, urls.MIN_SOFT, urls.RULES))
 def op6(spark, sf_dir):
     return urls.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-@query("op7_token_rollups")
+@query("op7_token_rollups", oracles.ROLLUPS)
 def op7(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}"
     return rollups.rolled_up(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), path)

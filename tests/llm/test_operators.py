@@ -1,0 +1,397 @@
+"""Each operator against a plain version, and on rows that are odd in every way."""
+
+import hashlib
+import random
+import re
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from barloom.llm import bpe, interleave, lexicon, licenses, line_frequency, mixing, ngram_join, order_minhash, pseudonyms, rollups, urls
+from barloom.llm.common import importable
+from barloom.llm.prefix_tree import PrefixTree
+from barloom.llm.queries import QUERIES, VOCABULARY
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host string, labels string, size long"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(rnd, n):
+    return " ".join(rnd.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Plain rows, near and exact copies, nulls, empty and very long texts, repeated rows, extra columns."""
+    importable(spark)
+    rnd, texts = random.Random(7), []
+    for _ in range(12):
+        base = prose(rnd, rnd.choice([3, 70, 200])).split(" ")
+        for _ in range(rnd.choice([1, 2, 5])):
+            words = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                words[rnd.randrange(len(words))] = rnd.choice(WORDS)
+            texts.append(" ".join(words))
+    texts += [None, "", "  \n\t ", "one", "one", "Über Straße 你好", prose(rnd, 20_000), "x" * 30_000, "a\na\na\n\n"]
+    rows = [(i, t, rnd.choice(["en", "de", None]), rnd.choice(["s0", "s0", "s1", None]), len(t or ""), "h", "l", 1) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, "no id here at all", "en", "s0", 0, "h", "l", 1), (None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df, *columns):
+    return sorted(df.select(*columns).collect(), key=str)
+
+
+# --- licences
+
+def test_license_matches_equal_a_full_search():
+    rnd, scanner = random.Random(1), licenses.Scanner()
+    for _ in range(150):
+        notice = rnd.choice(list(licenses.NOTICES))
+        chars = list(notice)
+        for _ in range(rnd.randint(0, 5)):
+            i = rnd.randrange(len(chars))
+            chars[i:i + 1] = rnd.choice([[], ["q"], [chars[i], "z"]])
+        words = licenses.words_of(prose(rnd, 5) + " " + "".join(chars) + " " + prose(rnd, 5))
+        found = {s.notice for s in scanner.spans(words)}
+        for n in licenses.NOTICES:
+            e = licenses.allowed_errors(n)
+            hit = regex.search(f"(?b)(?<= )(?:{n}){{e<={e}}}(?= )", words)
+            assert (n in found) == bool(hit), (n, words)
+
+
+def test_license_base_columns(spark):
+    texts = ["Under the MIT License; under the mit license!", "x CC-BY-NC y", None, "", "Relased under the MIT Licence", "apache license, version 2.0 é"]
+    importable(spark)
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels, got[0].score) == (8, 2, 0, 4, "mit", 1.0)
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].base_labels) == (5, 1, 1, "cc-by-nc")
+    assert (got[2].n_words, got[3].n_words, got[2].labels, got[2].first_word, got[2].score) == (0, 0, "", None, 0.0)
+    assert got[4].base_labels == "" and got[4].labels == "mit" and 0 < got[4].score < 1
+    assert got[5].base_labels == "apache-2" and got[5].n_words == 6
+
+
+# --- fingerprints
+
+def test_edited_texts_and_equal_fingerprints(docs):
+    rows = order_minhash.edit_fingerprints(docs).collect()
+    assert len(rows) == docs.count()
+    key = lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text or "")
+    ordered = sorted(docs.select("doc_id", "text").collect(), key=key)
+    want = []
+    for i, r in enumerate(ordered):
+        text, after = r.text or "", ordered[(i + 1) % len(ordered)].text or ""
+        third = len(text) // 3
+        want.append((r.doc_id, len(text), hashlib.sha256((text[:len(text) - third] + after[:third]).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in rows)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    prints = {r.doc_id: r.fingerprint for r in rows if r.doc_id is not None}
+    by_text = {}
+    for r in ordered:
+        if r.doc_id is not None:
+            assert by_text.setdefault(r.text or "", prints[r.doc_id]) == prints[r.doc_id]
+
+
+def test_fingerprints_follow_edits_and_order(spark):
+    rnd = random.Random(2)
+    base = [f"t{i}" for i in range(300)]
+    near, far = list(base), base[150:] + base[:150]
+    near[100] = "changed"
+    other = [f"u{rnd.random()}" for _ in range(300)]
+    twice = base + base
+    df = spark.createDataFrame([(" ".join(x), " ".join(base)) for x in (base, near, far, other, twice)], "a string, b string")
+    got = [r[0] for r in df.select(order_minhash.likeness(order_minhash.fingerprint(F.col("a")), order_minhash.fingerprint(F.col("b")))).collect()]
+    assert got[0] == 1 and got[1] > 0.9 and 0.2 < got[2] < got[1] and got[3] == 0 and 0 < got[4] < 1
+
+
+# --- shards
+
+@pytest.mark.parametrize("shards", [3, 40])
+def test_shards_are_even_gapless_and_mixed(docs, shards):
+    rows = interleave.interleaved_shards(docs, shards).collect()
+    n = docs.count()
+    assert len(rows) == n
+    held = {}
+    for r in rows:
+        held.setdefault(r.shard, []).append(r)
+    assert sorted(len(x) for x in held.values())[0] >= n // shards and max(len(x) for x in held.values()) <= -(-n // shards)
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in held.values())
+    if shards == 3:
+        for source in {r.source for r in rows}:
+            of = [sum(r.source == source for r in x) for x in held.values()]
+            assert max(of) - min(of) <= 2
+
+
+# --- line frequency
+
+def plain_counts(text):
+    words = re.findall("[^\x20\x09-\x0D]+", text)
+    runs = list(zip(words, words[1:], words[2:], strict=False))
+    hit = {j for i, r in enumerate(runs) if runs.count(r) > 1 for j in (i, i + 1, i + 2)}
+    lines = text.split("\n")
+    again = sum(bool(re.search("[^\x20\x09-\x0D]", x)) and x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), again, len(hit)
+
+
+def test_base_counts_equal_a_plain_version():
+    rnd = random.Random(3)
+    for _ in range(300):
+        text = "".join(rnd.choice("ab  \n#|\x0b\x1cé") for _ in range(rnd.randint(0, 60)))
+        assert line_frequency.base_counts(text) == plain_counts(text), repr(text)
+
+
+def test_frequent_lines_go_and_depleted_documents_fail(spark):
+    importable(spark)
+    rnd, rows = random.Random(4), []
+    for i in range(60):
+        rows.append((i, f"{prose(rnd, 80)}\nShared  BOILERPLATE line {'of many words ' * 3}", "a", 0))
+    shared = [prose(rnd, 60) for _ in range(3)]
+    for i in range(60, 90):
+        rows.append((i, "\n".join([*shared, prose(rnd, 5)]), "b", 0))
+    rows += [(90 + i, f"{shared[0]}\n{prose(rnd, 1)}", "c", 0) for i in range(5)] + [(99, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in line_frequency.line_quality(docs).collect()}
+    assert all(got[i].kept and got[i].n_removed_words > 0 for i in range(60))
+    assert not any(got[i].kept for i in range(60, 90)) and not got[60].base_failed
+    assert all(got[90 + i].kept for i in range(5)) and not got[99].kept
+    left = line_frequency.keep_good(docs).collect()
+    assert sorted(r.doc_id for r in left) == [*range(60), *range(90, 95)]
+    assert all("BOILERPLATE" not in r.text and r.n_chars == len(r.text) for r in left)
+
+
+# --- BPE
+
+def test_lexicon_holds_exactly_its_words(tmp_path):
+    rnd = random.Random(5)
+    words = {"".join(rnd.choice("abé ") for _ in range(rnd.randint(0, 8))).encode(): [rnd.randrange(60_000) for _ in range(rnd.randint(0, 4))] for _ in range(500)}
+    path = tmp_path / "lexicon"
+    path.write_bytes(lexicon.compile_lexicon(words))
+    found = lexicon.Lexicon(str(path))
+    assert all(found.get(w) == ids for w, ids in words.items())
+    assert all(found.get(w + b"q") is None for w in words)
+
+
+def test_ids_equal_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    rows = bpe.encode_documents(docs.union(docs.limit(1).withColumn("text", F.lit("a<|endoftext|>  b　\n c's"))), VOCABULARY, most=50).collect()
+    assert len(rows) == docs.count() + 1
+    for r in rows:
+        want = library.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == want and r.n_tokens == len(want) and r.decoded == library.decode(want, skip_special_tokens=False)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+
+
+def test_any_text_is_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(VOCABULARY), bpe.Encoder(bpe.Bpe(bpe.load_spec(VOCABULARY)), None, remember=50)
+    rnd = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rnd.choice("ab Z'séß  \n\t1٣ \xa0　\x1c\x85.,!?|你😀<") for _ in range(rnd.randint(0, 25)))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for _ in range(40):
+        piece = "".join(rnd.choice("abthe") for _ in range(rnd.randint(1, 600))).encode()
+        assert own.bpe.merge(piece) == own.bpe._merge_long([own.bpe.single[b] for b in piece])
+
+
+# --- URLs
+
+def test_urls(spark):
+    importable(spark)
+    cases = [
+        (None, "", "", None, "allow"), ("no mark", "", "", None, "allow"), ("http://Example.COM/en/1?x#y", "example.com", "/en/1", "example.com/en/", "block"),
+        ("https://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"), ("https://m.a.net/fr/x", "m.a.net", "/fr/x", "net/fr/", "block"),
+        ("https://anet/fr/x", "anet", "/fr/x", None, "allow"), ("https://a.com?q", "a.com", "", None, "allow"), ("https://ads-track.example.org/", "ads-track.example.org", "/", None, "block"),
+        ("https://ads.example.org/ads", "ads.example.org", "/ads", None, "allow"), ("https://a.org/xxx", "a.org", "/xxx", None, "block"), ("https://a.org/xxxl", "a.org", "/xxxl", None, "allow"),
+    ]
+    got = urls.judge_urls(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id long, url string")).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: c[1:] for i, c in enumerate(cases)}
+
+
+# --- rollups
+
+def test_batches_commit_once_and_sums_add_up(spark, tmp_path):
+    rollup = rollups.Rollup(spark, str(tmp_path / "r"))
+    assert rollup.totals().count() == 0
+    counts = spark.createDataFrame([("s", "en", "v1", 5), ("s", "en", "v1", 7), (None, "en", "v1", 1), ("t", None, "v1", 2)], "source string, lang string, version string, tokens long")
+    assert rollup.commit("a", rollups.inserts(counts)) and not rollup.commit("a", rollups.inserts(counts))
+    new = counts.withColumns({"version": F.lit("v2"), "tokens": F.col("tokens") * 2})
+    rollup.commit("b", rollups.deletes(counts.filter("source is null")))
+    rollup.commit("c", rollups.revisions(counts.filter("source = 's'"), new.filter("source = 's'")))
+    (tmp_path / "r" / "_draft-x").mkdir()
+    assert rows_of(rollup.totals(), "source", "lang", "version", "docs", "tokens") == [("s", "en", "v2", 2, 24), ("t", None, "v1", 1, 2)]
+    with pytest.raises(ValueError):
+        rollup.commit("../x", rollups.inserts(counts))
+
+
+# --- mixing
+
+def test_targets_are_shared_and_met(spark, docs):
+    importable(spark)
+    rnd = random.Random(8)
+    rows = [(i, prose(rnd, rnd.choice([1, 4, 9, 40, 40])), rnd.choice(["a"] * 8 + ["b", "c", "d", None])) for i in range(900)]
+    rows += [(900 + i, "same words here", "a") for i in range(300)] + [(1300, None, "empty")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in got)
+    sizes, targets, taken = {}, {}, {}
+    for r in got:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        targets[r.source] = r.target
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weights, left, want = {s: i % 3 + 1 for i, s in enumerate(order)}, set(order), {}
+    total = sum(sizes.values())
+    while left:
+        level = (total - sum(want.values())) / sum(weights[s] for s in left)
+        full = {s for s in left if level * weights[s] > 3 * sizes[s]}
+        want |= {s: 3 * sizes[s] for s in full} if full else {s: level * weights[s] for s in left}
+        left = left - full if full else set()
+    assert targets == pytest.approx(want)
+    assert all(abs(taken[s] - want[s]) <= max(40, 0.02 * want[s]) for s in order)
+    again = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.copies) for r in got) == sorted((r.doc_id, r.copies) for r in again)
+    assert mixing.mix(docs).count() == docs.count()
+
+
+# --- pseudonyms
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain_permute(text, key, kind):
+    a, b = text[:len(text) // 2], text[len(text) // 2:]
+    for i in range(pseudonyms.ROUNDS):
+        stream, out = hashlib.sha512(f"{key}|{kind}|{i}|{b}".encode()).hexdigest(), ""
+        for j, ch in enumerate(a):
+            step = int(stream[j % 32 * 4:j % 32 * 4 + 4], 16)
+            for first, n in (("0", 10), ("a", 26), ("A", 26)):
+                if first <= ch < chr(ord(first) + n):
+                    ch = chr(ord(first) + (ord(ch) - ord(first) + step) % n)
+                    break
+            out += ch
+        a, b = b, out
+    return a + b
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    texts = ["card 4041894974608795 or 4041 8949 7460 8795, bad 4041894974608796", "4041894974608795", "ip 55.63.178.142 no 999.1.1.1",
+             "born 28.02.2001 = 2001-02-28, no 2001-02-30", "DE89 3704 0044 0532 0130 00 and DE89370400440532013000", "ssn 123-45-6789 no 000-12-3456",
+             "+1 (456) 555-2186 x", 'token = "1beb58b8af68854f0e01b4ad"', "mail jo.12@mail7.example.com", None, "", "nothing here, 2024"]
+    got = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    one, two = re.match(r"card (\d{16}) or ([\d ]{19}), bad 4041894974608796", got[0]).groups()
+    assert one == two.replace(" ", "") == got[1] != "4041894974608795" and luhn(one)
+    assert one[:-1] == "4" + plain_permute("04189497460879", "k", "card")
+    assert re.fullmatch(r"ip (\d{1,3}\.){3}\d{1,3} no 999\.1\.1\.1", got[2]) and "55.63.178.142" not in got[2]
+    day, month, year, iso = re.fullmatch(r"born (\d\d)\.(\d\d)\.(20\d\d) = (20\d\d-\d\d-\d\d), no 2001-02-30", got[3]).groups()
+    assert iso == f"{year}-{month}-{day}" != "2001-02-28"
+    spaced, tight = re.fullmatch(r"(DE[\d ]+) and (DE\d{20})", got[4]).groups()
+    assert spaced.replace(" ", "") == tight != "DE89370400440532013000" and int(tight[4:] + "1314" + tight[2:4]) % 97 == 1
+    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4} no 000-12-3456", got[5]) and "123-45" not in got[5]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} x", got[6]) and "456) 555-2186" not in got[6]
+    assert got[7].startswith('token = "') and got[7].endswith('"') and "1beb58" not in got[7]
+    assert re.fullmatch(r"mail [a-z]{2}\.\d\d@[a-z]{4}\d\.example\.com", got[8]) and got[8] != texts[8]
+    assert got[9:] == [None, "", "nothing here, 2024"]
+
+
+def test_number_permutation_is_one_to_one(spark):
+    for low, high in ((75, 487), (6, 5)):
+        n = low * high
+        got = [r[0] for r in spark.range(n).select(pseudonyms.permute_number(F.col("id"), F.lit(low), F.lit(high), "k", "d")).collect()]
+        assert sorted(got) == list(range(n)) and got != list(range(n))
+    codes = [r[0] for r in spark.range(1000).select(pseudonyms.permute(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "x")).collect()]
+    assert len(set(codes)) == 1000 and codes[7] == plain_permute("007", "k", "x")
+
+
+# --- n-gram join
+
+def brute_components(rows, words, share):
+    sets = {}
+    for i, text in rows:
+        w = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = frozenset(zip(*[w[j:] for j in range(words)], strict=False)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+    top = {i: i for i in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("words", "share", "block"), [(3, 90, 2000), (5, 80, 6)])
+def test_components_equal_brute_force(spark, monkeypatch, words, share, block):
+    importable(spark)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rnd, texts = random.Random(9), []
+    for _ in range(25):
+        base = [rnd.choice(WORDS) if rnd.random() < 0.7 else rnd.choice(WORDS[:9]) for _ in range(rnd.choice([3, 20, 60, 200, 300]))]
+        for _ in range(rnd.choice([1, 2, 4, 25])):
+            w = list(base)
+            for _ in range(rnd.choice([0, 1, 2, 1 + len(w) // 40])):
+                w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+            texts.append(" ".join(w).title() if rnd.random() < 0.3 else " ".join(w))
+    texts += ["", None, "one", "One", "two words", " \n"]
+    rows = list(enumerate(texts))
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), words, share).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, words, share)
+
+
+def test_tree_finds_every_overlap():
+    rnd = random.Random(10)
+    sets = [sorted(rnd.sample(range(60), rnd.randint(20, 40))) for _ in range(20)]
+    sets += [sorted({*s[2:], 99}) for s in sets]
+    tree, found = PrefixTree(60, merge=False), set()
+    for i, s in enumerate(sets):
+        found |= {(j, i) for j in tree.add(i, i, len(s), s)}
+    assert found == {(j, i) for i in range(len(sets)) for j in range(i) if 100 * len({*sets[i]} & {*sets[j]}) >= 60 * len({*sets[i]} | {*sets[j]})}
+
+
+def test_one_of_each_group_stays(docs):
+    rows = ngram_join.drop_near_copies(docs).collect()
+    named = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    brute = brute_components(sorted(named.items()), 5, 80)
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(i for i, (_, top) in brute.items() if i == top)
+
+
+# --- all together
+
+def test_odd_rows_and_empty_tables(docs, empty):
+    n = docs.count()
+    assert licenses.scan_licenses(docs).count() == line_frequency.line_quality(docs).count() == ngram_join.ngram_components(docs).count() == n
+    assert pseudonyms.pseudonymise(docs, "k").select(*docs.columns).exceptAll(docs).count() == 0
+    assert order_minhash.edit_fingerprints(empty).count() == interleave.interleaved_shards(empty).count() == 0
+    assert licenses.scan_licenses(empty).count() == line_frequency.line_quality(empty).count() == 0
+    assert ngram_join.drop_near_copies(empty).count() == mixing.mix(empty).count() == pseudonyms.pseudonymise(empty, "k").count() == 0
+    assert bpe.encode_documents(empty, VOCABULARY).count() == line_frequency.keep_good(empty).count() == 0
+
+
+def test_pipeline_stages(spark, docs):
+    rows = docs
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, "").checkpoint()
+        kept.append((name, rows.count()))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert rows.columns == docs.columns
+    assert kept[0][1] >= kept[1][1] == kept[2][1] > 0
+    assert {r.doc_id for r in rows.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_queries_are_registered():
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)]
