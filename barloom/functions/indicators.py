@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# 400 bars back the weight of a span-21 average is below 1e-16.
+# Rows in which the recursion is one weighted sum; powers of the smallest weight (1/3) stay finite.
 EMA_BLOCK = 400
 
 
+def _fold(decay: float):
+    return lambda total, last: total * F.lit(decay) + last
+
+
 def with_ema(df: DataFrame, column: str, spans: dict[str, int], key: str = "symbol",
              index: str = "n") -> DataFrame:
-    """Exponential averages seeded with the first value, one pass per block.
+    """Exponential averages of any span from 1, seeded with the first value, one pass per block.
 
-    Inside a block of `EMA_BLOCK` rows the recursion is a weighted running sum;
-    the previous block enters through its last value, whose weight decays with
-    the position in the block. Rows two blocks back weigh less than one part in
-    1e16 for spans up to 21, so blocks need only their predecessor.
+    Inside a block of `EMA_BLOCK` rows the recursion is a weighted running sum. Earlier
+    blocks enter through their last sums, one number per block, folded with
+    the weight that a whole block takes off.
     """
+    if any(span < 1 for span in spans.values()):
+        raise ValueError("a span is 1 at least")
     pos = (F.col(index) - 1) % EMA_BLOCK
     block = F.floor((F.col(index) - 1) / F.lit(EMA_BLOCK))
     inside = Window.partitionBy(key, "_eb").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
@@ -27,11 +32,14 @@ def with_ema(df: DataFrame, column: str, spans: dict[str, int], key: str = "symb
     for name, span in spans.items():
         alpha = 2.0 / (span + 1)
         keep = 1.0 - alpha
+        if span == 1:
+            local[f"_el_{name}"] = carried[name] = F.col(column).cast("double")
+            continue
         weight = F.when(F.col(index) == 1, F.lit(1.0)).otherwise(F.lit(alpha))
         scaled = F.col(column) * weight * F.pow(F.lit(keep), -F.col("_ep"))
         local[f"_el_{name}"] = F.sum(scaled).over(inside) * F.pow(F.lit(keep), F.col("_ep"))
         edge = F.when(F.col("_ep") == EMA_BLOCK - 1, F.col(f"_el_{name}"))
-        carry = F.coalesce(F.last(edge, ignorenulls=True).over(past), F.lit(0.0))
+        carry = F.aggregate(F.collect_list(edge).over(past), F.lit(0.0), _fold(keep ** EMA_BLOCK))
         carried[name] = F.col(f"_el_{name}") + F.pow(F.lit(keep), F.col("_ep") + 1) * carry
     out = df.withColumns(local).withColumns(carried)
     return out.drop("_ep", "_eb", *local)

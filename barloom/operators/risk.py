@@ -68,8 +68,11 @@ def evaluate_orders(orders: DataFrame, limits: RiskLimits = RiskLimits()) -> Dat
                          for n, left in caps.items()})
 
     insane = (req <= 0) | (price <= 0)
+    unknown = F.lit(False)
+    for name in ("action", "quantity", "price", "held_quantity", "gross_value", "equity", "cash", "drawdown"):
+        unknown |= F.col(name).isNull()
     sell = F.col("action") == "SELL"
-    stop = F.when(insane, "order_sanity")
+    stop = F.when(unknown, "missing_state").when(insane, "order_sanity")
     if not limits.allow_shorting:
         stop = stop.when(sell & (held <= 0), "short_selling_disabled")
     if limits.max_drawdown is not None:

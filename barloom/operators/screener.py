@@ -1,8 +1,8 @@
 """One row per symbol: quote, risk regime, confluence score and trade plan.
 
-Only the last `DEPTH` bars of a symbol are used. They are cut by a rank limit
-that Spark also applies before the shuffle, so long series stay where they are;
-older bars weigh less than 1e-15 in the slowest average.
+Statistics run over the whole history of a symbol, as daily bars; where an answer
+needs the newest rows alone, `recent` cuts them by a rank limit that Spark also
+applies before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from barloom.operators.ml import uncertainty
 
-DEPTH = 400
 MIN_HISTORY = 30
 ROOT_YEAR = math.sqrt(252)
 
 
-def recent(bars: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Last bars per symbol with `age` (0 = newest), previous close and return."""
+def recent(bars: DataFrame, depth: int | None = None) -> DataFrame:
+    """Bars per symbol, or the last `depth` of them, with `age` (0 = newest), previous close and return."""
     newest = Window.partitionBy("symbol").orderBy(F.desc("timestamp"))
-    cut = bars.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= depth)
+    cut = bars.withColumn("_rank", F.row_number().over(newest))
+    if depth is not None:
+        cut = cut.filter(F.col("_rank") <= depth)
     aged = cut.withColumn("age", F.col("_rank") - 1).drop("_rank")
     back = Window.partitionBy("symbol").orderBy(F.desc("timestamp"))
     return aged.withColumn("prev_close", F.lead("close", 1).over(back)).withColumn(

@@ -171,7 +171,7 @@ SQL_PARTS["tape"] = """tape AS (SELECT event_id AS order_id, CAST(user_id AS VAR
 
 
 @query("stream_limit_touch", "WITH {tape} SELECT order_id, tape.symbol, created_at, min(b.ts) AS filled_at FROM tape JOIN events b "
-       "ON tape.symbol = CAST(b.user_id AS VARCHAR) AND b.ts >= created_at AND b.ts <= created_at + INTERVAL 5 DAY "
+       "ON tape.symbol = CAST(b.user_id AS VARCHAR) AND b.ts >= created_at "
        "AND b.value <= limit_price GROUP BY 1, 2, 3")
 def _stream_touch(t):
     ticks = _ticks(t).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -180,7 +180,7 @@ def _stream_touch(t):
         F.lit("BUY").alias("action"), (F.col("value") * 0.5).alias("limit_price"))
     bars = ticks.select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").alias("timestamp"),
                         F.col("value").alias("low"), F.col("value").alias("high"))
-    out = SB.run_to_table(SB.stream_limit_touch(orders, bars, "5 days", "1 day"), SB.scratch(t.spark, "stream_touch"))
+    out = SB.run_to_table(SB.stream_limit_touch(orders, bars), SB.scratch(t.spark, "stream_touch"))
     first = SB.first_touch(out)
     return first.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "filled_at")})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,15 +25,15 @@ def local_session(cpus: int | str = "*", **conf) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster.
+    """Shared checkpoint folder named by the cluster in `spark.checkpoint.dir`.
 
-    Only when the cluster names none (tests) is a private folder made.
+    Only a local session without that setting (tests) gets a private folder;
+    executors on other machines would not see it, so elsewhere the setting is required.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        sc.setCheckpointDir(named)
-        return named
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return sc.getCheckpointDir()
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return named or sc.getCheckpointDir()

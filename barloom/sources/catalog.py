@@ -76,7 +76,9 @@ def catalog_records(bars: DataFrame, provider: str, timeframe: str, zone: str =
     """One catalogue row per symbol with bounds, count, checksum and consistency flag."""
     return bars.withColumn("_h", row_hash(bars)).groupBy("symbol").agg(
         F.min("timestamp").alias("start"), F.max("timestamp").alias("end"),
-        F.count(F.lit(1)).alias("record_count"), F.bit_xor("_h").alias("checksum"),
+        F.count(F.lit(1)).alias("record_count"),
+        # With the sum and the count, equal rows do not cancel as in the exclusive or alone.
+        F.xxhash64(F.bit_xor("_h"), F.sum(F.shiftright("_h", 24)), F.count(F.lit(1))).alias("checksum"),
     ).select(
         F.lit(provider).alias("provider"), "symbol", F.lit(timeframe).alias("timeframe"), "start", "end",
         F.lit(zone).alias("timezone"), F.lit(SCHEMA_VERSION).alias("schema_version"), "record_count",

@@ -46,9 +46,11 @@ def feature_catalog(features: DataFrame) -> DataFrame:
 
 
 def write_raw_archive(raw: DataFrame, path: str, provider: str, ingest_id: str) -> None:
-    """Untouched records with their origin, one folder per ingest."""
+    """Untouched records with their origin, one folder per ingest; an ingest sent again replaces its folder."""
+    if not ingest_id:
+        raise ValueError("an ingest needs an id")
     (raw.withColumns({"_provider": F.lit(provider), "ingest_id": F.lit(ingest_id)})
-     .write.mode("errorifexists" if not ingest_id else "append").partitionBy("ingest_id").json(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_id").json(path))
 
 
 def write_run(path: str, metrics: DataFrame, curve: DataFrame, trades: DataFrame,

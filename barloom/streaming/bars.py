@@ -39,19 +39,20 @@ def stream_findings(raw: DataFrame) -> DataFrame:
     return row_findings(raw)
 
 
-def stream_limit_touch(orders: DataFrame, bars: DataFrame, horizon: str = "30 days", late: str = "1 day") -> DataFrame:
+def stream_limit_touch(orders: DataFrame, bars: DataFrame, horizon: str | None = None, late: str = "1 day") -> DataFrame:
     """Candidate touches of a bar stream and an order stream.
 
-    A stream-stream join on symbol with a time range, so Spark can drop state
-    behind the watermarks; an order is live for `horizon`. `first_touch` keeps
-    the earliest touch per order.
+    A stream-stream join on symbol. An order is live until it is touched, so its state is
+    kept; with a `horizon`, after which the orders of a market expire, Spark drops
+    state behind the watermarks. `first_touch` keeps the earliest touch per order.
     """
     o = orders.withWatermark("created_at", late).alias("o")
     b = bars.withWatermark("timestamp", late).alias("b")
     reached = F.when(F.col("o.action") == "BUY", F.col("b.low") <= F.col("o.limit_price")).otherwise(
         F.col("b.high") >= F.col("o.limit_price"))
-    live = (F.col("b.timestamp") >= F.col("o.created_at")) & (
-        F.col("b.timestamp") <= F.col("o.created_at") + F.expr(f"INTERVAL {horizon}"))
+    live = F.col("b.timestamp") >= F.col("o.created_at")
+    if horizon:
+        live &= F.col("b.timestamp") <= F.col("o.created_at") + F.expr(f"INTERVAL {horizon}")
     return o.join(b, (F.col("o.symbol") == F.col("b.symbol")) & live & reached).select(
         "o.order_id", F.col("o.symbol").alias("symbol"), "o.created_at", "b.timestamp")
 

@@ -2,6 +2,7 @@ import math
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import features as FT
@@ -208,3 +209,15 @@ def test_candles(bars, column):
     near(column(df, "ema_20"), want, 1e-9)
     assert column(df, "rsi_14")[:14] == [50.0] * 14
     near(column(df, "sma_20")[:2], [closes[0], (closes[0] + closes[1]) / 2])
+
+
+@pytest.mark.parametrize("span", [1, 2, 20, 200])
+def test_ema_is_exact_over_many_blocks(bars, column, span):
+    from barloom.functions.indicators import with_ema
+
+    closes = [100 + (i * 37 % 101) / 7 for i in range(1500)]
+    got = column(with_ema(bars(closes).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("timestamp"))), "close", {"e": span}), "e")
+    value, alpha = closes[0], 2 / (span + 1)
+    for c, g in zip(closes, got, strict=True):
+        value = value if c is closes[0] else alpha * c + (1 - alpha) * value
+        assert abs(g - value) < 1e-9
