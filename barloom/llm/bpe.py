@@ -11,6 +11,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
+from array import array
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -107,32 +109,47 @@ class Bpe:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class _Units(dict):
+    """Remembered ids of units that stand behind `before`; unknown ones are worked out, all are forgotten when it is full.
+
+    Ids are kept as packed bytes: small, joined in one go, and no work for the garbage collector.
+    """
+
+    def __init__(self, before: str, ids_of, most: int):
+        super().__init__()
+        self.before, self.ids_of, self.most = before, ids_of, most
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.ids_of(self.before + unit)
+        if len(unit) < 100:
+            if len(self) >= self.most:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
     """Encodes whole texts; units between white space are looked up, then pieces, then merged."""
 
     def __init__(self, bpe: Bpe, lexicon: Lexicon | None, remember: int = CACHED_UNITS):
-        self.bpe, self.lexicon, self.remember, self.known = bpe, lexicon, remember, {}
+        self.bpe, self.lexicon = bpe, lexicon
+        self.bare, self.spaced = _Units("", self.unit, remember // 4), _Units(" ", self.unit, remember)
         self.cut = regex.compile(PIECES)
-        special = sorted(bpe.special, key=len, reverse=True)
-        self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.special = special
+        self.special = sorted(bpe.special, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def piece(self, raw: bytes) -> list[int]:
+    def piece(self, raw: bytes) -> bytes:
         found = self.lexicon.get(raw) if self.lexicon else None
-        return self.bpe.merge(raw) if found is None else found
-
-    def unit(self, unit: str) -> tuple[int, ...]:
-        ids = self.known.get(unit)
-        if ids is None:
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            if unit.isascii() and unit.removeprefix(" ").isalpha():
-                ids = tuple(self.piece(unit.encode()))
-            else:
-                ids = tuple(chain.from_iterable(self.piece(p.encode()) for p in self.cut.findall(unit)))
-            if len(unit) < 100:
-                self.known[unit] = ids
-        return ids
+        return array("I", self.bpe.merge(raw) if found is None else found).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        if unit.isascii() and unit.removeprefix(" ").isalpha():
+            return self.piece(unit.encode())
+        pieces = self.cut.findall(unit)
+        if len(pieces) == 1:
+            return self.piece(unit.encode())
+        # A word with a mark behind it shares the word's ids with the word alone.
+        return b"".join([self.spaced[p[1:]] if p[0] == " " and len(p) > 1 and not p.isspace() else self.bare[p] for p in pieces])
 
     def _plain(self, text: str) -> list[int]:
         if not text:
@@ -140,12 +157,11 @@ class Encoder:
         # No piece reaches over a space that follows a non-space, so the text is cut there:
         # all spaces if each follows a non-space, otherwise at runs of white space.
         if text[0] == " " or _SPACE_INSIDE.search(text):
-            units = re.findall(r"\s*\S+|\s+", text)
+            packed = b"".join(map(self.bare.__getitem__, re.findall(r"\s*\S+|\s+", text)))
         else:
             first, *rest = text.split(" ")
-            units = [first, *map(" ".__add__, rest)]
-        known = self.known
-        return list(chain.from_iterable([known[u] if u in known else self.unit(u) for u in units]))
+            packed = self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        return np.frombuffer(packed, np.uint32).tolist()
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; strings of special tokens get their ids, as in the library's default."""
@@ -207,7 +223,7 @@ def _encoder(name: str, spec) -> Encoder:
 
 def publish_lexicon(spark: SparkSession, automaton: bytes) -> str:
     """Write the automaton to the shared folder and have Spark hand it to the executors; its name there."""
-    name = f"lexicon-{hashlib.sha256(automaton).hexdigest()[:16]}.bin"
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
     spark.sparkContext.addFile(shared_file(spark, name, automaton))
     return name
 

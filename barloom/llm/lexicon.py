@@ -12,6 +12,9 @@ import struct
 from array import array
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
+
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     """The automaton of all words of `entries` with their ids."""
     register: dict[tuple, int] = {}
@@ -83,8 +86,8 @@ class Lexicon:
     def get(self, word: bytes) -> list[int] | None:
         """Ids of `word`, or None if it is not in the lexicon."""
         state, rank, find, base, offsets = self.start, 0, self.map.find, self.labels, self.offsets
-        for i in range(len(word)):
-            at = find(word[i:i + 1], base + offsets[state], base + offsets[state + 1]) - base
+        for byte in word:
+            at = find(_BYTES[byte], base + offsets[state], base + offsets[state + 1]) - base
             if at < 0:
                 return None
             rank += self.adds[at]
