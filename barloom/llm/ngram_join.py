@@ -9,11 +9,12 @@ threshold share some of their first keys (the prefix), so sets meet by prefix ke
    classes with fewer keys left than any link of theirs must share; near copies remain;
 3. each class meets others under its first shared keys with its whole set, in
    blocks of at most `BLOCK` sets, in a tree that compares, links and merges them;
-4. keys whose classes are one component by now are done. All classes under the other keys
-   meet again, block against block, first with prefixes alone, then, if they may
-   link into another component, with whole sets.
+4. keys whose classes are one component by now are done. Under the others one class of each
+   component meets the others' ones, which joins what step 3 left in parts;
+5. all classes under keys that are still open meet again, block against block, first with
+   prefixes alone, then, if they may link into another component, with whole sets.
 
-Step 4 makes the result complete: a link joins two classes that share a prefix key,
+Step 5 makes the result complete: a link joins two classes that share a prefix key,
 and under every such key either both are in one component already or they are compared.
 """
 
@@ -34,7 +35,9 @@ from barloom.llm.words import ngram_hashes, word_hashes
 SKETCH_BITS = 20      # 2**20 counters: 4 MB per task and for the driver, whatever the corpus
 SKETCH_PARTS = 64
 BLOCK = 2000          # sets that meet in one tree
-FIRST_KEYS = 3        # shared keys under which a class meets others before the rest is looked at
+FIRST_KEYS = 2        # shared keys under which a class meets others before the rest is looked at
+ROUNDS = 1            # times that one class of each component meets the others'
+ROUND_KEYS = 2        # keys under which it does
 SLICE = 40            # a prefix is longer by this part of its set
 BROADCAST_IDS = 1_000_000
 # Documents without an id come last in the order of ids.
@@ -104,23 +107,24 @@ def _profiles(docs: DataFrame, words: int, share: int, rank: bytes, whole: bool)
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """One row (t, cls, n) per prefix key of a class."""
+    """One row (t, pos, cls, n) per prefix key of a class."""
     def unpack(batches):
         for batch in batches:
             keys = [np.frombuffer(k.as_py(), np.int64) for k in batch.column("keys")]
             lengths = np.array([len(k) for k in keys], np.int64)
             if lengths.sum():
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[
-                    pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in ("cls", "n")]], ["t", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])), *[
+                    pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in ("cls", "n")]], ["t", "pos", "cls", "n"])
 
-    return classes.select("cls", "n", "keys").mapInArrow(unpack, "t long, cls long, n long")
+    return classes.select("cls", "n", "keys").mapInArrow(unpack, "t long, pos int, cls long, n long")
 
 
 def _shared(classes: DataFrame, share: int) -> DataFrame:
-    """(t, b, cls, n, df): prefix keys that `df` > 1 classes of a size bucket have.
+    """(t, b, pos, cls, n, mine, df): prefix keys that `df` > 1 classes of a size bucket have.
 
     The smaller of two linked sets has `share` percent of the larger at least, so they lie in
-    one bucket or in neighbours; a class stands in its own bucket and in the next. A prefix is
+    one bucket or in neighbours; a class stands in its own bucket (`mine`) and in the next, where
+    it meets only those whose own that is. A prefix is
     longer by n / `SLICE` keys than one shared key would need; so linked sets share
     as many more, by the smaller one's size, and a class with fewer shared keys has no link.
     """
@@ -128,10 +132,11 @@ def _shared(classes: DataFrame, share: int) -> DataFrame:
     twice = postings.join(postings.groupBy("t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("t"), "t")
     width = float(np.log(100 / share) * 1.0001) if share < 100 else 1e-9
     own = F.floor(F.log("n") / width)
-    left = twice.withColumn("b", F.explode(F.array(own, own + 1)))
+    left = twice.withColumn("b", F.explode(F.array(own, own + 1))).withColumn("mine", (F.col("b") == own).cast("int"))
     fewest = F.floor(F.ceil(F.col("n") * share / 100) / SLICE) + 1
     for _ in range(2):
-        left = left.select("t", "b", "cls", "n").join(left.groupBy("t", "b").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), ["t", "b"])
+        groups = left.groupBy("t", "b").agg(F.count(F.lit(1)).alias("df"), F.max("mine").alias("_m")).filter("df > 1 and _m = 1").drop("_m")
+        left = left.select("t", "b", "pos", "cls", "n", "mine").join(groups, ["t", "b"])
         enough = left.groupBy("cls", "b").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n")).filter(F.col("_c") >= fewest)
         left = written(left.join(enough.select("cls", "b"), ["cls", "b"]), "ngram-shared")
     return left
@@ -165,6 +170,13 @@ def _blocked(rows: DataFrame, members: str) -> DataFrame:
         "*", "_p.i", "_p.j").drop("_n", "_own", "_p")
 
 
+def _open(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`shared` with the component of each class, and the keys (t, b, m, least) under which several components meet."""
+    rooted = written(shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "ngram-rooted")
+    return rooted, rooted.groupBy("t", "b").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("m"), F.max("mine").alias("_m"), F.min("n").alias("least")).filter(
+        "_a < _b and _m = 1").select("t", "b", "m", "least")
+
+
 def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
     """Profiles (doc_key, n, cls) of the rows of (doc_key, text), and (cls, root) of the linked classes."""
     order = np.minimum(np.log2(_sketch(docs, words) + 1), 31).astype(np.uint8).tobytes()
@@ -185,11 +197,20 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
         "t", "b", "cls", "n", F.col("cls").alias("root"), F.lit(0).alias("i"),
         F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / BLOCK)).cast("int").alias("j"))
     edges = written(_meet(near.join(sets, "cls"), share, False, True).select("a", "b"), "ngram-edges")
-    roots = components(edges)
-
-    rooted = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_keys = rooted.groupBy("t", "b").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("m")).filter("_a < _b")
-    left = _blocked(rooted.join(open_keys.select("t", "b", "m"), ["t", "b"]), "m").select("t", "b", "i", "j", "cls", "root", "n")
+    for _ in range(ROUNDS):
+        rooted, open_keys = _open(shared, components(edges))
+        one = rooted.join(open_keys, ["t", "b"]).groupBy("t", "b", "root").agg(F.min_by(F.struct("cls", "n"), "cls").alias("r"))
+        ahead = Window.partitionBy("root").orderBy("t", "b")
+        heads = one.withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= ROUND_KEYS).select(
+            "t", "b", "r.cls", "r.n", "root", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        edges = edges.union(written(_meet(heads.join(sets, "cls"), share, False, True).select("a", "b"), "ngram-edges"))
+
+    rooted, open_keys = _open(shared, components(edges))
+    # Keys before the first shared one are lost for an overlap; a class that has too many of them,
+    # even for the smallest partner under the key, has its first shared key elsewhere.
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * share / 100))
+    early = F.col("pos") <= F.col("n") - F.ceil(share * (F.col("n") + partner) / (100 + share)) + 1
+    left = _blocked(rooted.join(open_keys, ["t", "b"]).filter(early), "m").select("t", "b", "i", "j", "cls", "root", "n")
     maybe = written(_meet(left.join(classes.select("cls", "keys"), "cls"), share, True, False), "ngram-maybe")
     again = maybe.select("t", F.col("bucket").alias("b"), F.col("a").alias("cls")).union(maybe.select("t", "bucket", "b")).distinct()
     late = _meet(left.join(again, ["t", "b", "cls"], "left_semi").join(sets, "cls"), share, True, True).select("a", "b")
