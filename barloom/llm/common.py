@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from pathlib import Path
 
@@ -33,7 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # Shuffle files of finished steps go when the driver's garbage does; with a roomy heap that can be never.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
