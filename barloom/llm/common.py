@@ -26,19 +26,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` below the shared checkpoint folder and continue from the files.
+class Scratch:
+    """Tables of one run below the shared checkpoint folder; each goes once nothing reads it any more.
 
-    Cuts the lineage: a lost executor costs a reread, not the steps before.
+    Writing cuts the lineage: a lost executor costs a reread, not the steps before.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    # Shuffle files of finished steps go when the driver's garbage does; with a roomy heap that can be never.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.home = spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write `df` and continue from the files."""
+        df.write.parquet(f"{self.home}/{name}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.home}/{name}")
+        # Shuffle files of finished steps go when the driver's garbage does; with a roomy heap that can be never.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return out
+
+    def drop(self, *names: str) -> None:
+        """Delete tables of this run; no later plan may read them."""
+        for name in names:
+            place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}")
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A single scratch table of `df` that stays."""
+    return Scratch(df.sparkSession, name).write(df, "rows")
 
 
 def shared_file(spark: SparkSession, name: str, content: bytes) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import text_of, written
+from barloom.llm.common import Scratch, text_of
 from barloom.llm.components import components
 from barloom.llm.prefix_tree import PrefixTree
 from barloom.llm.words import ngram_hashes, word_hashes
@@ -119,7 +119,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "n", "keys").mapInArrow(unpack, "t long, pos int, cls long, n long")
 
 
-def _shared(classes: DataFrame, share: int) -> DataFrame:
+def _shared(classes: DataFrame, share: int, scratch: Scratch) -> DataFrame:
     """(t, b, pos, cls, n, mine, df): prefix keys that `df` > 1 classes of a size bucket have.
 
     The smaller of two linked sets has `share` percent of the larger at least, so they lie in
@@ -129,16 +129,19 @@ def _shared(classes: DataFrame, share: int) -> DataFrame:
     as many more, by the smaller one's size, and a class with fewer shared keys has no link.
     """
     postings = _postings(classes)
-    twice = postings.join(postings.groupBy("t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("t"), "t")
+    # Most keys stand alone. Those that do not are written first, so that the shuffle of the counts is gone when postings move.
+    repeated = scratch.write(postings.groupBy("t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("t"), "repeated")
+    twice = postings.join(repeated, "t")
     width = float(np.log(100 / share) * 1.0001) if share < 100 else 1e-9
     own = F.floor(F.log("n") / width)
     left = twice.withColumn("b", F.explode(F.array(own, own + 1))).withColumn("mine", (F.col("b") == own).cast("int"))
     fewest = F.floor(F.ceil(F.col("n") * share / 100) / SLICE) + 1
-    for _ in range(2):
+    for number in range(2):
         groups = left.groupBy("t", "b").agg(F.count(F.lit(1)).alias("df"), F.max("mine").alias("_m")).filter("df > 1 and _m = 1").drop("_m")
         left = left.select("t", "b", "pos", "cls", "n", "mine").join(groups, ["t", "b"])
         enough = left.groupBy("cls", "b").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n")).filter(F.col("_c") >= fewest)
-        left = written(left.join(enough.select("cls", "b"), ["cls", "b"]), "ngram-shared")
+        left = scratch.write(left.join(enough.select("cls", "b"), ["cls", "b"]), f"shared-{number}")
+        scratch.drop("repeated" if number == 0 else "shared-0")
     return left
 
 
@@ -170,52 +173,63 @@ def _blocked(rows: DataFrame, members: str) -> DataFrame:
         "*", "_p.i", "_p.j").drop("_n", "_own", "_p")
 
 
-def _open(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _open(shared: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """`shared` with the component of each class, and the keys (t, b, m, least) under which several components meet."""
-    rooted = written(shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "ngram-rooted")
+    rooted = scratch.write(shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), name)
     return rooted, rooted.groupBy("t", "b").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("m"), F.max("mine").alias("_m"), F.min("n").alias("least")).filter(
         "_a < _b and _m = 1").select("t", "b", "m", "least")
 
 
 def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
-    """Profiles (doc_key, n, cls) of the rows of (doc_key, text), and (cls, root) of the linked classes."""
+    """(doc_key, n, cls) of the rows of (doc_key, text), and (cls, root) of the linked classes."""
     order = np.minimum(np.log2(_sketch(docs, words) + 1), 31).astype(np.uint8).tobytes()
-    profiles = written(_profiles(docs, words, share, order, whole=False), "ngram-profiles")
-    classes = written(profiles.filter("n > 0").groupBy("cls").agg(F.min_by(F.struct("doc_key", "n", "keys"), "doc_key").alias("r"))
-                      .select("cls", "r.doc_key", "r.n", "r.keys"), "ngram-classes")
-    shared = _shared(classes, share)
+    scratch = Scratch(docs.sparkSession, "ngram")
+    profiles = scratch.write(_profiles(docs, words, share, order, whole=False), "profiles")
+    classes = scratch.write(profiles.filter("n > 0").groupBy("cls").agg(F.min_by(F.struct("doc_key", "n", "keys"), "doc_key").alias("r"))
+                            .select("cls", "r.doc_key", "r.n", "r.keys"), "classes")
+    ids_of = scratch.write(profiles.select("doc_key", "n", "cls"), "ids")
+    scratch.drop("profiles")
+    shared = _shared(classes, share, scratch)
 
     wanted = classes.select("cls", "doc_key").join(shared.select("cls").distinct(), "cls", "left_semi")
     ids = wanted.select("doc_key").distinct()
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    sets = written(_profiles(docs.join(ids, "doc_key", "left_semi"), words, share, order, whole=True).select("cls", "keys")
-                   .join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("keys").alias("keys")), "ngram-sets")
+    sets = scratch.write(_profiles(docs.join(ids, "doc_key", "left_semi"), words, share, order, whole=True).select("cls", "keys")
+                         .join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("keys").alias("keys")), "sets")
+    scratch.drop("classes")
 
     ahead = Window.partitionBy("cls").orderBy("t", "b")
     near = shared.withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= FIRST_KEYS).select(
         "t", "b", "cls", "n", F.col("cls").alias("root"), F.lit(0).alias("i"),
         F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / BLOCK)).cast("int").alias("j"))
-    edges = written(_meet(near.join(sets, "cls"), share, False, True).select("a", "b"), "ngram-edges")
-    for _ in range(ROUNDS):
-        rooted, open_keys = _open(shared, components(edges))
+    edges = scratch.write(_meet(near.join(sets, "cls"), share, False, True).select("a", "b"), "edges")
+    for number in range(ROUNDS):
+        rooted, open_keys = _open(shared, components(edges), scratch, f"rooted-{number}")
         one = rooted.join(open_keys, ["t", "b"]).groupBy("t", "b", "root").agg(F.min_by(F.struct("cls", "n"), "cls").alias("r"))
         ahead = Window.partitionBy("root").orderBy("t", "b")
         heads = one.withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= ROUND_KEYS).select(
             "t", "b", "r.cls", "r.n", "root", F.lit(0).alias("i"), F.lit(0).alias("j"))
-        edges = edges.union(written(_meet(heads.join(sets, "cls"), share, False, True).select("a", "b"), "ngram-edges"))
+        edges = edges.union(scratch.write(_meet(heads.join(sets, "cls"), share, False, True).select("a", "b"), f"edges-{number}"))
+        scratch.drop(f"rooted-{number}")
 
-    rooted, open_keys = _open(shared, components(edges))
+    rooted, open_keys = _open(shared, components(edges), scratch, "rooted")
+    scratch.drop("shared-1")
     # Keys before the first shared one are lost for an overlap; a class that has too many of them,
     # even for the smallest partner under the key, has its first shared key elsewhere.
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * share / 100))
     early = F.col("pos") <= F.col("n") - F.ceil(share * (F.col("n") + partner) / (100 + share)) + 1
     left = _blocked(rooted.join(open_keys, ["t", "b"]).filter(early), "m").select("t", "b", "i", "j", "cls", "root", "n")
-    maybe = written(_meet(left.join(classes.select("cls", "keys"), "cls"), share, True, False), "ngram-maybe")
+    prefix = F.col("n") - F.ceil(F.col("n") * share / 100) + F.floor(F.col("n") / SLICE) + 1
+    begun = left.join(sets, "cls").withColumn("keys", F.substring("keys", F.lit(1), (8 * prefix).cast("int")))
+    maybe = scratch.write(_meet(begun, share, True, False), "maybe")
     again = maybe.select("t", F.col("bucket").alias("b"), F.col("a").alias("cls")).union(maybe.select("t", "bucket", "b")).distinct()
     late = _meet(left.join(again, ["t", "b", "cls"], "left_semi").join(sets, "cls"), share, True, True).select("a", "b")
-    edges = written(edges.union(late).distinct(), "ngram-links")
-    return profiles.select("doc_key", "n", "cls"), components(edges).select(F.col("node").alias("cls"), "root")
+    links = scratch.write(edges.union(late).distinct(), "links")
+    scratch.drop("sets", "maybe", "rooted", "edges", *(f"edges-{number}" for number in range(ROUNDS)))
+    roots = components(links).select(F.col("node").alias("cls"), "root")
+    scratch.drop("links")
+    return ids_of, roots
 
 
 def ngram_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
