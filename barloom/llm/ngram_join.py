@@ -220,8 +220,9 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * share / 100))
     early = F.col("pos") <= F.col("n") - F.ceil(share * (F.col("n") + partner) / (100 + share)) + 1
     left = _blocked(rooted.join(open_keys, ["t", "b"]).filter(early), "m").select("t", "b", "i", "j", "cls", "root", "n")
-    prefix = F.col("n") - F.ceil(F.col("n") * share / 100) + F.floor(F.col("n") / SLICE) + 1
-    begun = left.join(sets, "cls").withColumn("keys", F.substring("keys", F.lit(1), (8 * prefix).cast("int")))
+    size = (F.length("keys") / 8).cast("long")
+    prefix = size - F.ceil(size * share / 100) + F.floor(size / SLICE) + 1
+    begun = left.join(sets.select("cls", F.substring("keys", F.lit(1), (8 * prefix).cast("int")).alias("keys")), "cls")
     maybe = scratch.write(_meet(begun, share, True, False), "maybe")
     again = maybe.select("t", F.col("bucket").alias("b"), F.col("a").alias("cls")).union(maybe.select("t", "bucket", "b")).distinct()
     late = _meet(left.join(again, ["t", "b", "cls"], "left_semi").join(sets, "cls"), share, True, True).select("a", "b")
