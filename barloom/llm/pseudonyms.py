@@ -38,7 +38,8 @@ _KINDS = {
 }
 PATTERN = "|".join(_KINDS.values())
 # Any text with something to find has one of these; the rest is passed on after one plain scan.
-HINT = r"@|\d{2}|AKIA|(?i:" + _NAMED + ")"
+# Addresses and cards may have no two digits side by side, only digits around one separator.
+HINT = r"@|\d[ .-]?\d|AKIA|(?i:" + _NAMED + ")"
 
 
 def _letters(text: Column) -> Column:
