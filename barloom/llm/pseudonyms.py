@@ -14,6 +14,11 @@ ip      four octets                      all 32 bits
 date    exists in the calendar           the day within its century
 email   local part and two labels        letters and digits before the last two labels
 secret  named assignment or access key   letters and digits of the value
+
+Card numbers and IBANs are sought last, in what the other kinds leave: a run of groups is tried
+from every group on, up to the end of every group (the longest that is valid first; an IBAN in its
+country's length first), so numbers before or behind a value don't hide it. Phone numbers without
+a '+' have no validation and stay.
 """
 
 from __future__ import annotations
@@ -32,12 +37,25 @@ _KINDS = {
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)",
-    "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
-PATTERN = "|".join(_KINDS.values())
-# Any text with something to find has one of these; the rest is passed on after one plain scan.
+# Stands for a found value while the rest is searched; one that is in the text itself is held for a value that stays.
+_TAKEN = "\x00"
+PATTERN = "|".join([*_KINDS.values(), r"\x00"])
+# Where a card number or an IBAN may begin, and its forms by the number of symbols, the longest first.
+_BEGINS = {"iban": r"(?<![\p{L}\p{N}])(?=[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2})", "card": r"(?<![\d.+-])(?=\d(?:[ -]?\d){12})"}
+_FORMS = {
+    "iban": [r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){%d}%s(?![A-Za-z0-9])" % ((n - 4) // 4, r"(?: ?[A-Z0-9]{%d})" % (n % 4) if n % 4 else "")
+             for n in range(34, 14, -1)],
+    "card": [r"^\d(?:[ -]?\d){%d}(?!\d)" % (n - 1) for n in range(19, 12, -1)],
+}
+_WIDEST = 48         # more characters than any form has
+_MOST_GROUPS = 20    # more groups than any form has
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 # Addresses and cards may have no two digits side by side, only digits around one separator.
 HINT = r"@|\d[ .-]?\d|AKIA|(?i:" + _NAMED + ")"
 
@@ -203,16 +221,95 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """(kind, value) of one match; both null if it does not pass validation."""
-    makers = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "iban": _iban, "phone": _phone, "card": _card}
+    """(value, kind) of one match of `PATTERN`; both null if it does not pass validation."""
+    makers = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
     whole = {kind: m.rlike(f"^(?:{_KINDS[kind]})$") for kind in makers}
-    value = kind = None
+    value, kind = F.when(m == _TAKEN, m), F.when(m == _TAKEN, F.lit(None).cast("string"))
     for name, make in makers.items():
-        value = F.when(whole[name], make(m, key)) if value is None else value.when(whole[name], make(m, key))
-        kind = F.when(whole[name], F.lit(name)) if kind is None else kind.when(whole[name], F.lit(name))
+        value, kind = value.when(whole[name], make(m, key)), kind.when(whole[name], F.lit(name))
     return let(F.struct(value.alias("v"), kind.alias("k")), lambda x: F.struct(x["v"].alias("value"), F.when(x["v"].isNotNull(), x["k"]).alias("kind")))
 
 
+def _part(text: Column, kind: Column | None = None, open_: bool = True) -> Column:
+    """A part of a text: open if it is still to be searched, else a value of a kind."""
+    return F.struct(text.alias("text"), (F.lit(None).cast("string") if kind is None else kind).alias("kind"), F.lit(open_).alias("open"))
+
+
+def _first_parts(text: Column, key: str) -> Column:
+    """Parts of a text by the matches of `PATTERN`; those that fail are open like the text around them."""
+    def masked(x):
+        pairs = F.zip_with(x["found"], x["new"], lambda old, new: F.when(new["value"].isNotNull(), F.lit(_TAKEN)).otherwise(old))
+        line = F.array_join(F.zip_with(x["rest"], F.concat(pairs, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        none = F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("kind"))
+        taken = F.concat(F.filter(x["new"], lambda n: n["value"].isNotNull()), F.array(none))
+        return F.flatten(F.zip_with(F.split(line, r"\x00", -1), taken, lambda t, n: F.array(_part(t), _part(n["value"], n["kind"], False))))
+
+    def of(found):
+        new = F.transform(found, lambda m: pseudonym(m, key))
+        return F.when(F.size(found) == 0, F.array(_part(text))).otherwise(
+            let(F.struct(found.alias("found"), new.alias("new"), F.split(text, PATTERN, -1).alias("rest")), masked))
+
+    return let(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), of)
+
+
+def _best_card(forms: Column) -> Column:
+    return F.get(F.filter(forms, lambda c: let(_digits(c), lambda d: _luhn_sum(d, 1) % 10 == 0)), F.lit(0))
+
+
+def _best_iban(forms: Column) -> Column:
+    symbols = lambda c: F.regexp_replace(c, " ", "")
+    country, usual = F.substring(forms[0], 1, 2), None
+    for n, names in _IBAN_LENGTHS.items():
+        usual = (F if usual is None else usual).when(country.isin(*names.split(" ")), n)
+
+    def choose(x):
+        valid = F.filter(x["forms"], lambda c: let(symbols(c), lambda s: _mod97(s) == 1))
+        return let(valid, lambda v: F.coalesce(
+            F.get(F.filter(v, lambda c: F.length(symbols(c)) == x["usual"]), F.lit(0)),
+            F.get(F.filter(v, lambda c: x["usual"].isNull() | (c == x["forms"][0])), F.lit(0))))
+
+    return F.when(F.size(forms) > 0, let(F.struct(forms.alias("forms"), usual.alias("usual")), choose))
+
+
+def _searched(text: Column, kind: str) -> Column:
+    """Parts of an open text by its valid card numbers or IBANs, from left to right; the values are still the old ones."""
+    best_of = _best_card if kind == "card" else _best_iban
+
+    def best(head):
+        forms = F.filter(F.array(*[F.regexp_extract(head, form, 0) for form in _FORMS[kind]]), lambda c: c != "")
+        return let(forms, best_of)
+
+    def of(x):
+        joined = lambda name, at, n: F.array_join(F.slice(x[name], at + 1, n), "")
+        found = F.transform(x["heads"], lambda _, i: F.struct(i.alias("i"), best(F.substring(joined("heads", i, F.lit(_MOST_GROUPS)), 1, _WIDEST)).alias("m")))
+        return let(F.filter(found, lambda h: h["m"].isNotNull()), lambda hits: F.when(F.size(hits) == 0, F.array(_part(text))).otherwise(parts(x, joined, hits)))
+
+    def parts(x, joined, hits):
+        def span(h):
+            inside = F.filter(F.sequence(F.lit(1), F.lit(_MOST_GROUPS - 1)), lambda d: F.length(joined("heads", h["i"], d)) < F.length(h["m"]))
+            return F.struct(h["i"].alias("i"), h["m"].alias("m"), (h["i"] + F.size(inside) + 1).alias("end"))
+
+        spans = F.transform(hits, span)
+        # A hit inside the one before it is passed over.
+        start = F.struct(F.lit(0).alias("end"), F.filter(spans, lambda _: F.lit(False)).alias("held"))
+        held = F.aggregate(spans, start, lambda s, h: F.when(h["i"] >= s["end"], F.struct(
+            h["end"].alias("end"), F.concat(s["held"], F.array(h)).alias("held"))).otherwise(s), lambda s: s["held"])
+        return let(held, lambda h: between(x, joined, h))
+
+    def between(x, joined, held):
+        behind = F.transform(held, lambda h: F.struct(h["end"].alias("end"), F.substring(
+            joined("pieces", h["i"], h["end"] - h["i"]), F.length(h["m"]) + 1, F.length(text)).alias("tail")))
+        before = F.transform(held, lambda h: F.struct(h["i"].alias("i"), h["m"].alias("value")))
+        last = F.struct(F.size(x["pieces"]).alias("i"), F.lit(None).cast("string").alias("value"))
+        first = F.struct(F.lit(0).alias("end"), F.lit("").alias("tail"))
+        return F.flatten(F.zip_with(F.concat(F.array(first), behind), F.concat(before, F.array(last)), lambda a, b: F.array(
+            _part(F.concat(a["tail"], joined("pieces", a["end"], F.greatest(b["i"] - a["end"], F.lit(0))))),
+            _part(b["value"], F.when(b["value"].isNotNull(), F.lit(kind)), False))))
+
+    pieces = F.split(text, _BEGINS[kind], -1)
+    return let(pieces, lambda p: let(F.struct(p.alias("pieces"), F.transform(p, lambda t: F.substring(t, 1, _WIDEST)).alias("heads")), of))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with the personal data in its text replaced, `n_replaced` and `kinds` (sorted, comma-joined).
 
@@ -222,18 +319,20 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     text = F.col(text_col)
 
-    def rewritten(x):
-        pairs = F.zip_with(x["found"], x["new"], lambda old, new: F.coalesce(new["value"], old))
-        return F.struct(
-            F.array_join(F.zip_with(x["rest"], F.concat(pairs, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "").alias("text"),
-            F.size(F.filter(x["new"], lambda n: n["value"].isNotNull())).cast("long").alias("n"),
-            F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(x["new"], lambda n: n["kind"]), lambda k: k.isNotNull()))), ",").alias("kinds"))
-
-    def replaced(found):
-        new = F.transform(found, lambda m: pseudonym(m, key))
-        return F.when(F.size(found) > 0, let(F.struct(found.alias("found"), new.alias("new"), F.split(text, PATTERN, -1).alias("rest")), rewritten))
-
-    found = F.when(text_of(text_col).rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    out = docs.withColumn("_p", let(found, replaced))
+    def searched(parts, kind):
+        return F.flatten(F.transform(parts, lambda p: F.when(
+            p["open"] & p["text"].rlike(_BEGINS[kind]), _searched(p["text"], kind)).otherwise(F.array(p))))
+
+    def changed(p):
+        return F.when(p["kind"] == "iban", _iban(p["text"], key)).when(p["kind"] == "card", _card(p["text"], key)).otherwise(p["text"])
+
+    # One column after the other: as a single expression this is nested too deeply for the analyser.
+    out = docs.withColumn("_p", F.when(text_of(text_col).rlike(HINT), _first_parts(text, key)))
+    for kind in _BEGINS:
+        out = out.withColumn("_p", searched(F.col("_p"), kind))
+    kinds = F.filter(F.transform("_p", lambda p: p["kind"]), lambda k: k.isNotNull())
+    out = out.withColumn("_p", F.struct(
+        F.array_join(F.transform("_p", changed), "").alias("text"),
+        F.when(F.col("_p").isNotNull(), F.size(kinds)).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds")))
     return out.withColumns({text_col: F.coalesce(F.col("_p.text"), text), "n_replaced": F.coalesce(F.col("_p.n"), F.lit(0).cast("long")),
                             "kinds": F.coalesce(F.col("_p.kinds"), F.lit(""))}).drop("_p")

@@ -314,6 +314,24 @@ def test_each_kind_is_found_alone_in_its_shortest_form(spark):
     assert got["ip", "8.8.8.8"].text + " in 2020" == got["ip", "8.8.8.8 in 2020"].text and "dns " + got["ip", "8.8.8.8"].text == got["ip", "dns 8.8.8.8"].text
 
 
+def test_values_are_found_among_other_numbers(spark):
+    card, amex, be, de = "4111 1111 1111 1111", "3782 822463 10005", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
+    alone = [card, amex, be, de, "8.8.8.8", "2001-02-28"]
+    cases = [([card], f"{x}{card}{y}") for x, y in (("", " 12/25"), ("", " 123"), ("2020 ", ""), ("no 7 ", " 12/25 and 123"), ("NR41 ", ""), ("1 2 3 ", " 4 5 6"))]
+    cases += [([card], "4111-1111-1111-1111-123"), ([card, card], f"{card} {card}"), ([card, amex], f"7 {card} {amex} 12/25"), ([be], f"{be} PAID"), ([be], f"{be} IN full"),
+              ([be, de], f"{be} {de} EUR 5"), ([be, card], f"{be} {card} 123"), ([card, "8.8.8.8"], f"{card} 8.8.8.8"), ([card, "2001-02-28"], f"{card} 12 2001-02-28"),
+              ([card], f"\x00 {card} 123 \x00\x00")]
+    texts = alone + [t for _, t in cases]
+    got = [r for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    new = {old: r.text for old, r in zip(alone, got, strict=False)}
+    assert all(r.n_replaced == 1 and r.text != old for old, r in zip(alone, got, strict=False))
+    for (values, text), r in zip(cases, got[len(alone):], strict=True):
+        want = text.replace("4111-1111-1111-1111", new[card].replace(" ", "-"))
+        for value in values:
+            want = want.replace(value, new[value])
+        assert (r.text, r.n_replaced) == (want, len(values)), text
+
+
 def test_number_permutation_is_one_to_one(spark):
     for low, high in ((75, 487), (6, 5)):
         n = low * high
