@@ -10,7 +10,7 @@ threshold share some of their first keys (the prefix), so sets meet by prefix ke
 3. each class meets others under its first shared keys with its whole set, in
    blocks of at most `BLOCK` sets, in a tree that compares, links and merges them;
 4. keys whose classes are one component by now are done. Under the others one class of each
-   component meets the others' ones, which joins what step 3 left in parts;
+   component meets the others' ones, in blocks as before, which joins what step 3 left in parts;
 5. all classes under keys that are still open meet again, block against block, first with
    prefixes alone, then, if they may link into another component, with whole sets.
 
@@ -208,10 +208,14 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
         rooted, open_keys = _open(shared, components(edges), scratch, f"rooted-{number}")
         one = rooted.join(open_keys, ["t", "b"]).groupBy("t", "b", "root").agg(F.min_by(F.struct("cls", "n"), "cls").alias("r"))
         ahead = Window.partitionBy("root").orderBy("t", "b")
-        heads = one.withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= ROUND_KEYS).select(
-            "t", "b", "r.cls", "r.n", "root", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        heads = scratch.write(one.withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= ROUND_KEYS).select(
+            "t", "b", "r.cls", "r.n", "root"), f"heads-{number}")
+        # Unlinked classes are components of their own, so a key may have as many heads as classes.
+        members = heads.groupBy("t", "b").agg(F.count(F.lit(1)).alias("_m"))
+        heads = heads.join(members, ["t", "b"]).select(
+            "t", "b", "cls", "n", "root", F.lit(0).alias("i"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("_m") / BLOCK)).cast("int").alias("j"))
         edges = edges.union(scratch.write(_meet(heads.join(sets, "cls"), share, False, True).select("a", "b"), f"edges-{number}"))
-        scratch.drop(f"rooted-{number}")
+        scratch.drop(f"rooted-{number}", f"heads-{number}")
 
     rooted, open_keys = _open(shared, components(edges), scratch, "rooted")
     scratch.drop("shared-1")

@@ -381,6 +381,24 @@ def test_components_equal_brute_force(spark, monkeypatch, words, share, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, words, share)
 
 
+def test_no_group_of_unlinked_texts_is_much_larger_than_a_block(spark, monkeypatch):
+    importable(spark)
+    sizes, meet = [], ngram_join._meet
+
+    def measured(rows, *args):
+        sizes.append(rows.groupBy("t", "b", "i", "j").count().agg(F.max("count")).first()[0] or 0)
+        return meet(rows, *args)
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "_meet", measured)
+    rnd = random.Random(11)
+    template = " ".join(f"t{i}" for i in range(94))
+    rows = [(i, f"{template} {' '.join(f'own{rnd.random()}' for _ in range(8))}") for i in range(60)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 90)
+    assert len(sizes) == 4 and 6 < max(sizes) < 30, sizes
+
+
 def test_tree_finds_every_overlap():
     rnd = random.Random(10)
     sets = [sorted(rnd.sample(range(60), rnd.randint(20, 40))) for _ in range(20)]
