@@ -22,6 +22,7 @@ MIN_WORDS = 50          # fixed by the base rule
 REPEAT_SHARE = 50       # percent; fixed by the base rule
 MIN_DOCS = 20           # a line in at most so many texts of a host is never removed
 MAX_SHARE = 0.01        # of a host's texts
+ENOUGH = 400            # a line in more texts of a host is removed by `keep_good`, however large the host is
 DEPLETED = 0.5          # share of words a document must keep
 SALTS = 16
 _SYMBOLS = "#*$%&|<>"
@@ -101,17 +102,20 @@ def profile(docs: DataFrame, host: str = "source") -> DataFrame:
     return written(rows.mapInArrow(_profile, _PROFILE).withColumn("row_id", F.monotonically_increasing_id()), "line-profile")
 
 
-def frequent_lines(profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, enough: int | None = None) -> DataFrame:
     """(host, h, docs) of the lines that stand in more distinct texts of a host than the limit.
 
+    The limit is `min_docs` or, if larger, `max_share` of the host's texts, but no more than `enough`.
+
     Equal texts count once, so exact copies neither raise a line's count nor a host's size.
     """
     texts = profiles.groupBy("host", "text_hash").agg(F.first("row_id").alias("row_id"))
     sizes = texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     lines = (profiles.select("host", "text_hash", F.explode("lines.h").alias("h")).distinct()
              .groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs))
+    above = F.col("docs") > max_share * F.col("texts")
     return lines.join(sizes, lines["host"].eqNullSafe(sizes["host"])).filter(
-        F.col("docs") > max_share * F.col("texts")).select(lines["host"], "h", "docs")
+        above if enough is None else above | (F.col("docs") > enough)).select(lines["host"], "h", "docs")
 
 
 def verdicts(profiles: DataFrame, frequent: DataFrame, depleted: float = DEPLETED) -> DataFrame:
@@ -132,17 +136,18 @@ def verdicts(profiles: DataFrame, frequent: DataFrame, depleted: float = DEPLETE
 
 
 def line_quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
-                 depleted: float = DEPLETED) -> DataFrame:
+                 depleted: float = DEPLETED, enough: int | None = None) -> DataFrame:
     """Base counts and verdict of every row of `docs`.
 
     A line is removed if more than `min_docs` and more than `max_share` of the
-    distinct texts of its host have it; a document is rejected by the base rules or
+    distinct texts of its host have it, or more than max(`min_docs`, `enough`) if
+    `enough` is given; without it the limit rises with the host. A document is rejected by the base rules or
     if fewer than `depleted` of its words are left. A null text has no words and
     fails the base rule; a null host is a host of its own; repeated rows come back
     as often as they stand there; other columns are not read.
     """
     p = profile(docs, host)
-    return verdicts(p, frequent_lines(p, min_docs, max_share), depleted)
+    return verdicts(p, frequent_lines(p, min_docs, max_share, enough), depleted)
 
 
 def _strip(batches):
@@ -162,7 +167,7 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
 
     Rows are matched by id, host and text, so repeated ids are no trouble; equal rows share their verdict.
     """
-    found = line_quality(docs, host).filter("kept").groupBy(
+    found = line_quality(docs, host, enough=ENOUGH).filter("kept").groupBy(
         F.col("doc_id").alias("_q_doc"), F.col("host").alias("_q_host"), F.col("text_hash").alias("_q_text")).agg(
         F.first("removed_lines").alias("_q_removed"))
 

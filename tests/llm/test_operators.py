@@ -166,6 +166,15 @@ def test_frequent_lines_go_and_depleted_documents_fail(spark):
     assert all("BOILERPLATE" not in r.text and r.n_chars == len(r.text) for r in left)
 
 
+def test_a_large_host_does_not_keep_lines_that_many_texts_share(spark, monkeypatch):
+    importable(spark)
+    monkeypatch.setattr(line_frequency, "ENOUGH", 25)
+    rnd = random.Random(12)
+    rows = [(i, prose(rnd, 60) + ("\nBANNER of this host" if i < 28 else "\nOTHER line" if i < 50 else ""), "a", 0) for i in range(3000)]
+    left = line_frequency.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()
+    assert len(left) == 3000 and not any("BANNER" in r.text for r in left) and sum("OTHER" in r.text for r in left) == 22
+
+
 # --- BPE
 
 def test_lexicon_holds_exactly_its_words(tmp_path):
