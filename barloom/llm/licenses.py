@@ -103,8 +103,13 @@ class Scanner:
         for number, stretches in self.windows(words).items():
             notice, label = self.notices[number]
             for a, b in stretches:
-                for m in self._compiled[1][number].finditer(words, a, b):
-                    if m.group().strip():
+                # The best match comes first; what lies before and behind it is searched again.
+                parts = [(a, b)]
+                while parts:
+                    low, high = parts.pop()
+                    m = self._compiled[1][number].search(words, low, high)
+                    if m and m.group().strip():
+                        parts += [(low, m.start()), (m.end(), high)]
                         first = words.count(" ", 0, m.start()) - 1
                         out.append(Span(label, notice, first, first + m.group().count(" "), sum(m.fuzzy_counts)))
         return sorted(out, key=lambda s: (s.first_word, s.last_word, s.notice))

@@ -67,6 +67,14 @@ def test_license_matches_equal_a_full_search():
             assert (n in found) == bool(hit), (n, words)
 
 
+def test_repeated_notices_side_by_side_are_all_found():
+    scanner = licenses.Scanner((("alpha beta gamma delta epsilon zeta", "x"),))
+    exact, bad = "alpha beta gamma delta epsilon zeta", "alpha betx gamma delta epsilon zeta"
+    for texts in ([bad, exact], [exact, bad], [bad, bad, exact, bad], [exact] * 3):
+        spans = scanner.spans(licenses.words_of(" ".join(texts)))
+        assert [(s.first_word, s.last_word, s.edits) for s in spans] == [(6 * i, 6 * i + 5, int(t == bad)) for i, t in enumerate(texts)]
+
+
 def test_license_base_columns(spark):
     texts = ["Under the MIT License; under the mit license!", "x CC-BY-NC y", None, "", "Relased under the MIT Licence", "apache license, version 2.0 é"]
     importable(spark)
