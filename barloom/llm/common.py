@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from pathlib import Path
 
@@ -14,8 +15,20 @@ from barloom.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Bytes of rows that Spark hands a Python worker at once; Spark's own setting counts rows only.
+BATCH_BYTES = 1 << 24
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package; a cluster gets it with --py-files."""
+    """Let Python workers on this machine import the package; a cluster gets it with --py-files.
+
+    Bounds what a worker gets at once by bytes, unless the session has a lower bound: a batch of long texts is
+    large at any number of rows. Results do not depend on it.
+    """
+    bound = spark.conf.get(_BATCH_SETTING)
+    if re.fullmatch(r"\d+b?", bound) and int(bound.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(":")
     if root not in known:
