@@ -23,7 +23,6 @@ import hashlib
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +34,12 @@ SEGMENT = 1 << 21        # token ids of a segment; a longer document has a segme
 ROUND_RULES = 1 << 13    # rules that one round adds at most
 LEAST = 8                # occurrences from which a pair is worth a rule
 ROUNDS = 24
-LEAST_GAIN = 0.01        # a round that shortens the sequence by less is the last
-CACHED_UNITS = 300_000   # units of a generation with their ids; a worker remembers two
-BATCH_CHARS = 1 << 22    # characters of the texts that are encoded together
+LEAST_GAIN = 0.02        # a round that shortens the sequence by less is the last
+CACHED_UNITS = 600_000   # units of a generation with their ids; a worker remembers two
+BATCH_CHARS = 1 << 18    # characters of the texts that are encoded together
 _BUCKETS = 1 << 20
 _FAR = np.int32(1 << 30)
-_ODD_SPACE = re.compile(r"\s |^ ")
+_ODD_SPACE = re.compile(r" (?<=\s )")
 _SPACE_BEHIND_WORD = re.compile(r"(?<=\S) ")
 
 
@@ -60,7 +59,7 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.known, self.older = most, {}, {}
+        self.most, self.bare, self.known, self.older = most, {}, {}, {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
@@ -71,38 +70,56 @@ class UnitEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
-    def _learn(self, units: set[str]) -> None:
-        if len(self.known) + len(units) > self.most:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        known.update({u: older[u] for u in units - known.keys() if u in older})
-        new = list(units - known.keys())
+    def _learn(self, known: dict, older: dict, units: list[str], before: str) -> None:
+        """Add the ids of units that stand behind `before`, which `known` lacks."""
+        new = []
+        for u in units:
+            if (packed := older.get(u)) is None:
+                new.append(u)
+            else:
+                known[u] = packed
         # Words behind one space are encoded together: the tokens that open with a space tell them apart.
-        plain = [u for u in new if u[0] == " " and " " not in u[1:] and len(u) > 1]
+        plain = [u for u in new if before and u and " " not in u]
         for start in range(0, len(plain), 256):
             some = plain[start:start + 256]
-            packed = self.whole(["".join(some)])[0]
+            packed = self.whole([before + before.join(some)])[0]
             at = (np.flatnonzero(self.opens[np.frombuffer(packed, np.uint32)]) * 4).tolist() + [len(packed)]
             known.update(zip(some, [packed[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
         odd = [u for u in new if u not in known]
-        known.update(zip(odd, self.whole(odd), strict=True))
+        known.update(zip(odd, self.whole([before + u for u in odd]), strict=True))
+
+    def _look_up(self, cut: dict[int, list[str]], known: dict, older: dict, before: str) -> dict[int, list[bytes]]:
+        get, found, missing = known.get, {}, set()
+        for i, units in cut.items():
+            found[i] = packed = list(map(get, units))
+            if None in packed:
+                missing.update([u for u, p in zip(units, packed, strict=True) if p is None])
+        if missing:
+            self._learn(known, older, list(missing), before)
+            for i, packed in found.items():
+                if None in packed:
+                    found[i] = [known[u] if p is None else p for u, p in zip(cut[i], packed, strict=True)]
+            for u in missing:
+                if len(u) > 100:
+                    del known[u]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        out, cut = [b""] * len(texts), {}
-        added = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        out, heads, rest = [b""] * len(texts), {}, {}
+        added = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
         for i, packed in zip(added, self.whole([texts[i] for i in added]), strict=True):
             out[i] = packed
         for i, t in enumerate(texts):
             if t and i not in added:
-                head, *rest = _SPACE_BEHIND_WORD.split(t) if _ODD_SPACE.search(t) else t.split(" ")
-                cut[i] = [head, *[" " + u for u in rest]]
-        self._learn(set(chain.from_iterable(cut.values())))
-        ids_of = self.known.__getitem__
-        for i, units in cut.items():
-            out[i] = b"".join(map(ids_of, units))
-        for u in [u for u in self.known if len(u) > 100] if self.known else []:
-            del self.known[u]
+                units = _SPACE_BEHIND_WORD.split(t) if t[0] == " " or _ODD_SPACE.search(t) else t.split(" ")
+                heads[i] = [units[0]]
+                rest[i] = units[1:]
+        if len(self.known) + len(self.bare) > self.most:
+            self.known, self.older, self.bare = {}, self.known, {}
+        first = self._look_up(heads, self.bare, {}, "")
+        for i, packed in self._look_up(rest, self.known, self.older, " ").items():
+            out[i] = b"".join(first[i] + packed)
         return out
 
 
