@@ -28,10 +28,11 @@ from barloom.llm.lexicon import Lexicon, compile_lexicon
 from barloom.llm.words import word_hashes
 
 LEXICON_WORDS = 50_000   # most frequent white-space words of the corpus that are compiled
-CACHED_UNITS = 500_000   # units a worker remembers; emptied when full
+CACHED_UNITS = 200_000   # units a worker remembers; emptied when full
 # Fixed value: the pattern by which the public byte-level vocabularies cut texts into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_PIECE = 200
+OUT_BYTES = 1 << 24        # ids and texts of a batch that goes back to Spark
 _ID = (1 << 32) - 1
 _NONE = 1 << 90
 _SPACE_INSIDE = re.compile(r"\s ")
@@ -151,9 +152,9 @@ class Encoder:
         # A word with a mark behind it shares the word's ids with the word alone.
         return b"".join([self.spaced[p[1:]] if p[0] == " " and len(p) > 1 and not p.isspace() else self.bare[p] for p in pieces])
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.uint32)
         # No piece reaches over a space that follows a non-space, so the text is cut there:
         # all spaces if each follows a non-space, otherwise at runs of white space.
         if text[0] == " " or _SPACE_INSIDE.search(text):
@@ -161,16 +162,17 @@ class Encoder:
         else:
             first, *rest = text.split(" ")
             packed = self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
-        return np.frombuffer(packed, np.uint32).tolist()
+        return np.frombuffer(packed, np.uint32)
 
     def encode(self, text: str) -> list[int]:
+        return self.packed(text).tolist()
+
+    def packed(self, text: str) -> np.ndarray:
         """Ids of a text; strings of special tokens get their ids, as in the library's default."""
         if not any(s in text for s in self.special):
             return self._plain(text)
-        out: list[int] = []
-        for i, part in enumerate(self.split.split(text)):
-            out += [self.bpe.special[part]] if i % 2 else self._plain(part)
-        return out
+        parts = self.split.split(text)
+        return np.concatenate([np.array([self.bpe.special[p]], np.uint32) if i % 2 else self._plain(p) for i, p in enumerate(parts)])
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
@@ -180,7 +182,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
             raws = [t.encode() for t in batch.column(0).to_pylist() if t]
             while raws:
                 some, size = [], 0
-                while raws and size < 1 << 23:
+                while raws and size < 1 << 22:
                     some.append(raws.pop())
                     size += len(some[-1])
                 raw = b" ".join(some)
@@ -228,6 +230,13 @@ def publish_lexicon(spark: SparkSession, automaton: bytes) -> str:
     return name
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.uint32)]).astype(np.int32)))
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", most: int = LEXICON_WORDS,
                      with_ids: bool = True) -> DataFrame:
     """Rows of `docs` with `n_tokens`, `ids_sha256`, `decoded_sha256` and, `with_ids`, `ids` and `decoded`.
@@ -248,18 +257,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", m
         encoder = _encoder(name, shared)
         numbers, decode = encoder.bpe.text, encoder.bpe.decode
         for batch in batches:
-            out = {k: [] for k in added}
-            for text in batch.column(text_col):
-                ids = encoder.encode(text.as_py() or "")
-                decoded = decode(ids)
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    out["ids"].append(ids)
-                    out["decoded"].append(decoded)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(out[k], t) for k, t in added.items()]],
-                                             [*batch.schema.names, *added])
+            texts, at = batch.column(text_col), 0
+            while at < batch.num_rows:
+                first, size, out = at, 0, {k: [] for k in added}
+                while at < batch.num_rows and size < OUT_BYTES:
+                    packed = encoder.packed(texts[at].as_py() or "")
+                    ids = packed.tolist()
+                    decoded = decode(ids)
+                    out["n_tokens"].append(len(ids))
+                    out["ids_sha256"].append(hashlib.sha256(",".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if with_ids:
+                        out["ids"].append(packed)
+                        out["decoded"].append(decoded)
+                        size += 5 * len(ids) + len(decoded)
+                    at += 1
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, at - first).columns, *[_column(out[k], t) for k, t in added.items()]],
+                                                 [*batch.schema.names, *added])
 
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
     schema = rest.limit(0).select("*", *[F.lit(None).cast(kinds[k]).alias(k) for k in added]).schema

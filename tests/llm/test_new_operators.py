@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from barloom.llm import ranked, repair_files, runs
+from barloom.llm import ranked, repair_files, runs, words
 from barloom.llm.common import importable
 from barloom.llm.queries import QUERIES, VOCABULARY
 
@@ -199,3 +200,27 @@ def test_token_files_hold_what_the_library_gives(spark, odd_rows, tmp_path, segm
 def test_token_files_of_an_empty_table(spark, odd_rows, tmp_path):
     repair_files.write_token_files(frame(spark, odd_rows).filter("false"), f"{tmp_path}/files", VOCABULARY)
     assert repair_files.read_documents(repair_files.token_files(spark, f"{tmp_path}/files")).collect() == []
+
+
+# --- word hashes in pieces
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    rnd = random.Random(4)
+    raw = b" ".join(bytes(rnd.choice(b"abc\xc3") for _ in range(rnd.choice([1, 3, 9, 40, 200]))) for _ in range(300)) + b" \n\t end"
+    whole = words.word_hashes(raw)
+    for piece in (7, 64, 1000):
+        monkeypatch.setattr(words, "PIECE", piece)
+        monkeypatch.setattr(words, "_powers", {b: np.ones(1, np.uint64) for b in words._powers})
+        assert all((a == b).all() for a, b in zip(whole, words.word_hashes(raw), strict=True))
+        assert max(map(len, words._powers.values())) <= piece + 1
+
+
+def test_a_text_of_50_mb_needs_little_memory():
+    raw = b"some words of a long text \xc3\xa9 " * 1_800_000
+    tracemalloc.start()
+    starts, _, hashes = words.word_hashes(raw[:50_000_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(starts) > 10_000_000 and len(np.unique(hashes)) <= 8
+    assert peak < 16 * 3 * len(starts) + 200 * words.PIECE
+    assert len(words.word_hashes(b"x" * 5_000_000)[0]) == 1
