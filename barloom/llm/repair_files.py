@@ -35,10 +35,11 @@ ROUND_RULES = 1 << 13    # rules that one round adds at most
 LEAST = 8                # occurrences from which a pair is worth a rule
 ROUNDS = 24
 LEAST_GAIN = 0.02        # a round that shortens the sequence by less is the last
-CACHED_UNITS = 600_000   # units of a generation with their ids; a worker remembers two
+CACHED_UNITS = 1_200_000   # units of a generation with their ids; a worker remembers two
 BATCH_CHARS = 1 << 18    # characters of the texts that are encoded together
 _BUCKETS = 1 << 20
 _FAR = np.int32(1 << 30)
+_MARKS, _PLAIN_LETTERS = ".,;:!?", "\u0250"
 _ODD_SPACE = re.compile(r" (?<=\s )")
 _SPACE_BEHIND_WORD = re.compile(r"(?<=\S) ")
 
@@ -59,6 +60,7 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = dict(zip(_MARKS, self.whole(list(_MARKS)), strict=True))
         self.most, self.bare, self.known, self.older = most, {}, {}, {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
@@ -72,12 +74,20 @@ class UnitEncoder:
 
     def _learn(self, known: dict, older: dict, units: list[str], before: str) -> None:
         """Add the ids of units that stand behind `before`, which `known` lacks."""
-        new = []
+        new, marked = {}, []
         for u in units:
-            if (packed := older.get(u)) is None:
-                new.append(u)
-            else:
+            if (packed := older.get(u)) is not None:
                 known[u] = packed
+            elif u[-1:] in _MARKS and (stem := u[:-1]).isalpha() and max(stem) < _PLAIN_LETTERS:
+                # Letters and the mark behind them are pieces of their own.
+                marked.append(u)
+                if stem not in known:
+                    if (packed := older.get(stem)) is not None:
+                        known[stem] = packed
+                    else:
+                        new[stem] = None
+            else:
+                new[u] = None
         # Words behind one space are encoded together: the tokens that open with a space tell them apart.
         plain = [u for u in new if before and u and " " not in u]
         for start in range(0, len(plain), 256):
@@ -87,6 +97,8 @@ class UnitEncoder:
             known.update(zip(some, [packed[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
         odd = [u for u in new if u not in known]
         known.update(zip(odd, self.whole([before + u for u in odd]), strict=True))
+        for u in marked:
+            known[u] = known[u[:-1]] + self.marks[u[-1]]
 
     def _look_up(self, cut: dict[int, list[str]], known: dict, older: dict, before: str) -> dict[int, list[bytes]]:
         get, found, missing = known.get, {}, set()
