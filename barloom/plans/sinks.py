@@ -139,13 +139,11 @@ def _ticks(t):
     return SB.stream_table(t.spark, t.path, "events.parquet")
 
 
-_LAST = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
-
-@query("stream_bars", "WITH {bars_e}, p AS (SELECT * FROM bars_e WHERE timestamp + INTERVAL 1 HOUR <= " + _LAST + ") " + rounded_sql("p", *_K))
+@query("stream_bars", "WITH {bars_e} " + rounded_sql("bars_e", *_K))
 def _stream_bars(t):
-    bars = SB.stream_bars(_ticks(t), F.upper("event_type"), F.col("ts"), F.col("value"), F.col("event_id"), "1 hour")
-    out = SB.run_to_table(bars, SB.scratch(t.spark, "stream_bars"))
+    closing = SB.scratch(t.spark, "stream_end")
+    bars = SB.stream_bars(_ticks(t), F.upper("event_type"), F.col("ts"), F.col("value"), F.col("event_id"), "1 hour", closing=closing)
+    out = SB.run_to_table(bars, SB.scratch(t.spark, "stream_bars"), closing=closing)
     return rounded(out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
 
 
@@ -180,8 +178,6 @@ def _stream_touch(t):
         F.lit("BUY").alias("action"), (F.col("value") * 0.5).alias("limit_price"))
     bars = ticks.select(F.col("user_id").cast("string").alias("symbol"), F.col("ts").alias("timestamp"),
                         F.col("value").alias("low"), F.col("value").alias("high"))
-    out = SB.run_to_table(SB.stream_limit_touch(orders, bars), SB.scratch(t.spark, "stream_touch"))
-    first = SB.first_touch(out)
-    return first.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "filled_at")})
-
-
+    closing = SB.scratch(t.spark, "stream_end")
+    out = SB.run_to_table(SB.stream_limit_touch(orders, bars, closing=closing), SB.scratch(t.spark, "stream_touch"), closing=closing, rocksdb=True)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "filled_at")})

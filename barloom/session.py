@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,14 @@ def local_session(cpus: int | str = "*", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package; a cluster gets it with --py-files."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(":")
+    if root not in known:
+        env["PYTHONPATH"] = ":".join(filter(None, [*known, root]))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in `spark.checkpoint.dir`.
 
