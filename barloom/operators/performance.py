@@ -33,24 +33,25 @@ def _safe(num: Column, den: Column, small: float = 0.0) -> Column:
     return F.when(den > small, num / den).otherwise(0.0)
 
 
-def equity_metrics(curve: DataFrame, initial: float, periods: int = 252, risk_free: float = 0.02) -> DataFrame:
+def equity_metrics(curve: DataFrame, initial: float | str, periods: int = 252, risk_free: float = 0.02) -> DataFrame:
     """Return, volatility and drawdown statistics per run in one aggregation.
 
-    `curve` needs portfolio_equity, daily_return, drawdown and gross_exposure.
+    `curve` needs portfolio_equity, daily_return, drawdown and gross_exposure. `initial` is the
+    cash that all runs start with, or the name of a column that holds each run's own.
     """
     ret = F.col("daily_return")
     losses = F.when(ret < 0, ret)
-    start, root = F.lit(float(initial)), math.sqrt(periods)
+    start, root = F.col("initial_cash"), math.sqrt(periods)
     sums = curve.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("bars"), F.max_by("portfolio_equity", "timestamp").alias("final_equity"),
         F.stddev_samp("daily_return").alias("_std"), F.min("drawdown").alias("_dd"),
         F.count(losses).alias("_nl"), F.stddev_samp(losses).alias("_sl"), F.min(losses).alias("_l1"),
         F.avg("portfolio_equity").alias("mean_equity"),
-        F.avg((F.abs("gross_exposure") > 1e-5).cast("double")).alias("exposure_time_pct"))
+        F.avg((F.abs("gross_exposure") > 1e-5).cast("double")).alias("exposure_time_pct"),
+        F.max(initial if isinstance(initial, str) else F.lit(float(initial))).alias("initial_cash"))
     final = F.col("final_equity")
     down = (F.when(F.col("_nl") > 1, F.col("_sl")).when(F.col("_nl") == 1, F.abs("_l1")).otherwise(0.0)) * root
     return sums.withColumns({
-        "initial_cash": start,
         "total_return": F.when(start > 0, (final - start) / start).otherwise(0.0),
         "annualized_return": F.when((final > 0) & (start > 0), F.pow(final / start, periods / F.col("bars")) - 1)
         .when(final <= 0, -1.0).otherwise(0.0),
@@ -85,7 +86,7 @@ TRADE_DEFAULTS = ("trade_count", "win_count", "loss_count", "gross_profit", "gro
                   "net_profit", "win_rate", "average_win", "average_loss")
 
 
-def perf_metrics(curve: DataFrame, trades: DataFrame, initial: float, periods: int = 252,
+def perf_metrics(curve: DataFrame, trades: DataFrame, initial: float | str, periods: int = 252,
                  risk_free: float = 0.02) -> DataFrame:
     """The 21 run statistics: one aggregation over the curve, one over the trades, one join."""
     joined = equity_metrics(curve, initial, periods, risk_free).join(trade_metrics(trades), "run_id", "left")
@@ -117,24 +118,3 @@ def leaderboard(metrics: DataFrame, runs: DataFrame, name: str | None = None, ro
     if name:
         found = found.filter(F.lower("run_id").contains(name.lower()))
     return found.orderBy(F.desc("created_at"), "run_id").limit(rows)
-
-
-def wf_summary(curve: DataFrame, trades: DataFrame, initial: float) -> DataFrame:
-    """Metrics per run and fold plus an OVERALL row over the stitched curve.
-
-    `curve` and `trades` carry `fold_idx`; every fold's curve starts at the
-    previous fold's final equity, so the stitched curve is their union.
-    """
-    def part(c, t, label):
-        key = F.concat_ws("|", "run_id", label)
-        m = perf_metrics(c.withColumn("run_id", key), t.withColumn("run_id", key), initial)
-        return m.join(c.withColumn("run_id", key).groupBy("run_id").agg(
-            F.count(F.lit(1)).alias("test_bars"), F.min("timestamp").alias("test_start"),
-            F.max("timestamp").alias("test_end")), "run_id")
-
-    folds = part(curve, trades, F.col("fold_idx").cast("string"))
-    overall = part(curve, trades, F.lit("OVERALL"))
-    both = folds.unionByName(overall)
-    name = F.split("run_id", r"\|")
-    return both.select(name[0].alias("run_id"), name[1].alias("fold"), "test_bars", "test_start", "test_end",
-                       "volatility", "maximum_drawdown", "win_rate", "profit_factor", "trade_count")

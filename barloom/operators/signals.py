@@ -241,17 +241,19 @@ def param_sweep(scored: DataFrame, enter: float, leave: float, grid: list[Barrie
 
 
 def signal_equity(held: DataFrame, costs: Costs = Costs(), fraction: float = 1.0, grain: str = DAILY,
-                  keys=("symbol",)) -> DataFrame:
+                  keys=("symbol",), factor: Column | None = None) -> DataFrame:
     """Growth of one unit of capital with `fraction` of it in the held positions.
 
     The entry bar earns close over fill, held bars close over the previous
     close, the exit bar fill over the previous close; each fill pays commission.
+    `factor` is a further growth factor of a bar.
     """
     buy, sell, held_on = F.col("action") == "BUY", F.col("action") == "SELL", F.col("held") == 1
     gross = (F.when(buy, F.col("close") / F.col("fill")).when(sell, F.col("fill") / F.col("prev_close"))
              .when(held_on, F.col("close") / F.col("prev_close")).otherwise(1.0))
     fee = F.when(F.col("action").isNotNull(), 1 - costs.commission).otherwise(1.0)
-    grown = held.withColumn("daily_return", (gross * fee - 1) * fraction).withColumn(
+    growth = gross * fee if factor is None else gross * fee * factor
+    grown = held.withColumn("daily_return", (growth - 1) * fraction).withColumn(
         "_log", F.log1p("daily_return"))
     summed = cumulative(grown, {"log_equity": ("sum", "_log")}, grain, keys)
     return summed.withColumn("equity", F.exp("log_equity")).drop("_log")

@@ -11,6 +11,7 @@ from barloom.operators import ml
 from barloom.operators import research as R
 from barloom.operators import screener as X
 from barloom.operators import splits as S
+from barloom.operators.walkforward import calendar_fold_rows
 from barloom.plans import modeling, trading
 from barloom.plans.core import SQL_PARTS, query, rounded
 
@@ -251,8 +252,8 @@ query("model_compare")(lambda t: ml.compare_models(
 
 @query("wf_evaluate")
 def _wf_evaluate(t):
-    """Out-of-sample metrics per fold of a walk-forward run over all symbols."""
-    rows = S.fold_rows(modeling.labelled(t).select("timestamp", "symbol", *modeling.FEATS, modeling.Y), modeling.WF)
+    """Out-of-sample metrics per fold of a walk-forward run over all symbols, on one calendar."""
+    rows = calendar_fold_rows(modeling.labelled(t).select("timestamp", "symbol", *modeling.FEATS, modeling.Y), modeling.WF)
     train = S.train_rows(rows, [*modeling.FEATS, modeling.Y])
     test = S.wf_impute(rows, modeling.FEATS).dropna(subset=[modeling.Y])
     scored = ml.wf_predict(train.unionByName(test), modeling.FEATS, modeling.Y, "logistic_regression", ml.CLASSIFICATION)

@@ -10,6 +10,7 @@ from barloom.operators import performance as P
 from barloom.operators import risk as K
 from barloom.operators import signals as S
 from barloom.operators import splits as SP
+from barloom.operators import walkforward as WF
 from barloom.panel import cut, time_block
 from barloom.plans.core import SQL_PARTS, query, rounded, rounded_sql
 
@@ -228,36 +229,60 @@ query("run_leaderboard", _PF + """SELECT run_id, created_at, round(total_return
         "run_id", "created_at", "total_return", "trade_count"), 4))
 
 
-def _folded(t, df, time):
-    """Third of each run's calendar a row falls into, as walk-forward fold."""
-    year = F.year(time)
-    return df.withColumn("fold_idx", F.when(year < 1998, 0).when(year < 2000, 1).otherwise(2))
-
-
-query("oos_stitch", _C + """SELECT fold_idx, count(*) AS bars, round(sum(ln(1 + daily_return)) + 1.3e-9, 6) AS log_growth FROM
-  (SELECT *, CASE WHEN year(timestamp) < 1998 THEN 0 WHEN year(timestamp) < 2000 THEN 1 ELSE 2 END AS fold_idx FROM curve)
-  GROUP BY 1""")(lambda t: _stitched(t))
-
-
-def _stitched(t):
-    c = _folded(t, curve(t), "timestamp")
-    parts = [c.filter(F.col("fold_idx") == k) for k in range(3)]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rounded(whole.groupBy("fold_idx").agg(
-        F.count(F.lit(1)).alias("bars"), F.sum(F.log1p("daily_return")).alias("log_growth")))
-
-
-_FOLD = "CASE WHEN year({0}) < 1998 THEN '0' WHEN year({0}) < 2000 THEN '1' ELSE '2' END"
-query("wf_summary", _C + f""", cf AS (SELECT *, {_FOLD.format('timestamp')} AS fold FROM curved UNION ALL BY NAME SELECT *, 'OVERALL' AS fold FROM curved),
-  tf AS (SELECT *, exit_price - entry_price - (entry_price + exit_price) * 0.0005 - 2 AS pnl FROM trips),
-  tg AS (SELECT symbol AS run_id, {_FOLD.format('exit_time')} AS fold, pnl FROM tf UNION ALL SELECT symbol, 'OVERALL', pnl FROM tf),
-  a AS (SELECT run_id, fold, count(*) AS test_bars, min(timestamp) AS test_start, max(timestamp) AS test_end,
-    stddev_samp(daily_return) * sqrt(252) AS volatility, abs(min(drawdown)) AS maximum_drawdown FROM cf GROUP BY 1, 2),
-  b AS (SELECT run_id, fold, count(*) AS trade_count, count(*) FILTER (pnl > 0) / count(*) AS win_rate,
-    CASE WHEN coalesce(-sum(pnl) FILTER (pnl < 0), 0) > 1e-8 THEN coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) END AS profit_factor FROM tg GROUP BY 1, 2)
-  SELECT a.run_id, a.fold, test_bars, test_start, test_end, round(volatility + 1.3e-9, 4) AS volatility, round(maximum_drawdown + 1.3e-9, 4) AS maximum_drawdown,
-  round(win_rate + 1.3e-9, 4) AS win_rate, round(profit_factor + 1.3e-9, 4) AS profit_factor, trade_count FROM a JOIN b USING (run_id, fold)""")(
-    lambda t: rounded(P.wf_summary(_folded(t, curved(t), "timestamp"), _folded(t, trips(t), "exit_time"), CASH), 4))
+# Walk-forward over the stored scores: folds on the calendar of all symbols.
+WALK = SP.WalkForward(n_folds=4, min_train=60, gap=5)
+SQL_PARTS["walk"] = f"""cal AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS pos, count(*) OVER () AS dates FROM (SELECT DISTINCT timestamp FROM sig)),
+wd AS (SELECT *, greatest(10, (dates - {WALK.min_train} - {WALK.gap}) // {WALK.n_folds}) AS size FROM cal),
+wk AS (SELECT *, dates - ({WALK.n_folds - 1} - fold_idx) * size AS test_end FROM wd, range({WALK.n_folds}) r(fold_idx)),
+wp AS (SELECT timestamp, fold_idx, CASE WHEN pos < test_end - size - {WALK.gap} THEN 'train' WHEN pos >= test_end - size AND pos < test_end THEN 'test' END AS part FROM wk
+  WHERE test_end - size >= {WALK.min_train + WALK.gap}),
+wr AS (SELECT * FROM sig JOIN wp USING (timestamp) WHERE part IS NOT NULL),
+wtrain AS (SELECT symbol AS run_id, fold_idx, count(*) AS train_bars FROM wr WHERE part = 'train' GROUP BY ALL),
+w1 AS (SELECT * EXCLUDE (part), coalesce(last_value(CASE WHEN p >= {ENTER} THEN 1 WHEN p <= {LEAVE} THEN 0 END IGNORE NULLS) OVER
+  (w ROWS UNBOUNDED PRECEDING), 0) AS position FROM wr WHERE part = 'test' WINDOW w AS (PARTITION BY symbol, fold_idx ORDER BY timestamp)),
+w2 AS (SELECT *, coalesce(lag(position) OVER w, 0) AS held, lag(close) OVER w AS prev_close, row_number() OVER w AS n,
+  count(*) OVER (PARTITION BY symbol, fold_idx) AS m FROM w1 WINDOW w AS (PARTITION BY symbol, fold_idx ORDER BY timestamp)),
+w3 AS (SELECT *, coalesce(lag(held) OVER w, 0) AS hb FROM w2 WINDOW w AS (PARTITION BY symbol, fold_idx ORDER BY timestamp)),
+w4 AS (SELECT *, CASE WHEN held > hb THEN 'BUY' WHEN held < hb THEN 'SELL' END AS action, n = m AND held = 1 AS closing,
+  CASE WHEN held > hb THEN least(open * 1.0005, high) WHEN held < hb THEN greatest(open * 0.9995, low) END AS fill FROM w3),
+wheld AS (SELECT *, sum(CASE WHEN action = 'BUY' THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, fold_idx ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS trip FROM w4),
+wt AS (SELECT symbol AS run_id, fold_idx, trip, max(fill) FILTER (action = 'BUY') AS a, coalesce(max(fill) FILTER (action = 'SELL'),
+  any_value(lc)) AS z FROM wheld JOIN (SELECT symbol, fold_idx, greatest(close * 0.9995, low) AS lc FROM wheld WHERE n = m) USING (symbol, fold_idx)
+  WHERE trip > 0 AND action IS NOT NULL GROUP BY 1, 2, 3),
+wpnl AS (SELECT run_id, fold_idx, z - a - ((a + z) * 0.0005 + 2) AS pnl FROM wt),
+we AS (SELECT *, ((CASE WHEN action = 'BUY' THEN close / fill WHEN action = 'SELL' THEN fill / prev_close WHEN held = 1 THEN close / prev_close ELSE 1 END)
+  * (CASE WHEN action IS NULL THEN 1 ELSE 0.9995 END) * (CASE WHEN closing THEN greatest(close * 0.9995, low) / close * 0.9995 ELSE 1 END) - 1) * {SHARE} AS daily_return FROM wheld),
+wl AS (SELECT *, sum(ln(1 + daily_return)) OVER (PARTITION BY symbol, fold_idx ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS own,
+  sum(ln(1 + daily_return)) OVER (PARTITION BY symbol ORDER BY fold_idx, timestamp ROWS UNBOUNDED PRECEDING) AS carried FROM we),
+wc AS (SELECT symbol AS run_id, fold_idx, timestamp, daily_return, {CASH} * exp(carried - own) AS start_equity, {CASH} * exp(carried) AS portfolio_equity FROM wl),
+wcurve AS (SELECT *, portfolio_equity / greatest(start_equity, max(portfolio_equity) OVER (PARTITION BY run_id, fold_idx ORDER BY timestamp ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown FROM wc)"""
+
+
+def walked(t):
+    return WF.walk_forward(sig(t), WALK, ENTER, LEAVE, CASH, COSTS, SHARE, 1.0)
+
+
+query("oos_stitch", _C + """, {walk} SELECT run_id, CAST(fold_idx AS INT) AS fold_idx, count(*) AS bars, round(max(start_equity) + 1.3e-9, 4) AS start_equity,
+  round(max_by(portfolio_equity, timestamp) + 1.3e-9, 4) AS final_equity FROM wcurve GROUP BY 1, 2""")(
+    lambda t: rounded(WF.fold_equity(walked(t)[0]), 4))
+query("wf_curve", _C + """, {walk} SELECT run_id, CAST(fold_idx AS INT) AS fold_idx, timestamp, round(portfolio_equity + 1.3e-9, 4) AS portfolio_equity,
+  round(drawdown + 1.3e-9, 6) AS drawdown FROM wcurve""")(
+    lambda t: rounded(walked(t)[0].select("run_id", "fold_idx", "timestamp", "portfolio_equity", "drawdown"), 6, {"portfolio_equity": 4}))
+query("wf_summary", _C + f""", {{walk}}, wf AS (SELECT *, CAST(fold_idx AS VARCHAR) AS fold, start_equity AS base FROM wcurve UNION ALL
+    SELECT *, 'OVERALL', {CASH}::DOUBLE FROM wcurve),
+  a AS (SELECT run_id, fold, count(*) AS test_bars, min(timestamp) AS test_start, max(timestamp) AS test_end, max_by(portfolio_equity, timestamp) / max(base) AS growth,
+    stddev_samp(daily_return) * sqrt(252) AS vol, -min(drawdown) AS max_drawdown FROM wf GROUP BY 1, 2),
+  b AS (SELECT run_id, fold, count(*) AS trade_count, count(*) FILTER (pnl > 0) AS wins, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gain,
+    coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS loss FROM (SELECT run_id, CAST(fold_idx AS VARCHAR) AS fold, pnl FROM wpnl UNION ALL SELECT run_id, 'OVERALL', pnl FROM wpnl) GROUP BY 1, 2),
+  c AS (SELECT run_id, fold, sum(train_bars) AS train_bars FROM (SELECT run_id, CAST(fold_idx AS VARCHAR) AS fold, train_bars FROM wtrain
+    UNION ALL SELECT run_id, 'OVERALL', train_bars FROM wtrain) GROUP BY 1, 2),
+  d AS (SELECT *, growth ** (252.0 / test_bars) - 1 AS ann FROM a)
+  SELECT run_id, fold, CAST(coalesce(train_bars, 0) AS BIGINT) AS train_bars, {WALK.gap} AS purge_gap, test_bars, test_start, test_end, round(growth - 1 + 1.3e-9, 4) AS total_return,
+  round(ann + 1.3e-9, 4) AS annualized_return, round(CASE WHEN vol > 1e-8 THEN (ann - 0.02) / vol ELSE 0 END + 1.3e-9, 4) AS sharpe_ratio,
+  round(max_drawdown + 1.3e-9, 4) AS max_drawdown, round(coalesce(wins / trade_count, 0) + 1.3e-9, 4) AS win_rate,
+  round(CASE WHEN trade_count IS NULL THEN 0 WHEN loss > 1e-8 THEN gain / loss WHEN gain > 1e-8 THEN NULL ELSE 0 END + 1.3e-9, 4) AS profit_factor,
+  coalesce(trade_count, 0) AS trade_count FROM d LEFT JOIN b USING (run_id, fold) LEFT JOIN c USING (run_id, fold)""")(
+    lambda t: rounded(WF.wf_summary(*walked(t), CASH, WALK.gap), 4))
 
 # ---------------------------------------------------------------- risk
 
