@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.ledger import symbol_currency
+from barloom.operators.passage import WIDTH, first_passage, passage_index
 from barloom.panel import DAILY, cut, running, series_index, time_block
 
 UNIVERSE_COLUMNS = ("symbol", "name", "exchange", "currency", "asset_type", "country", "sector")
-TOUCH_ROWS = 256
 
 
 def fallback_instrument(symbol: Column) -> dict[str, Column]:
@@ -83,49 +83,22 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
 
 
 def limit_first_touch(orders: DataFrame, bars: DataFrame, grain: str = DAILY,
-                      block_seconds: int = 86400, rows: int = TOUCH_ROWS) -> DataFrame:
+                      block_seconds: int = 86400, rows: int = WIDTH) -> DataFrame:
     """First bar at or after its creation that reaches each limit order.
 
-    Bars are packed into chunks of `rows` with their lowest low and highest
-    high. An order looks into the rest of its own chunk, then at the chunk
-    extremes of its symbol, then into the one chunk these point to: three
-    one-to-one joins on keys, whatever lies between order and touch.
+    The search starts behind the last bar before the order and goes through a tree of lowest lows and highest highs
+    (`first_passage`, nodes of `rows`), whatever lies between order and touch.
     """
-    # Read five times below, so it is written once.
-    chunked = cut(series_index(bars.select("symbol", "timestamp", "low", "high"), grain).withColumn(
-        "chunk", F.floor((F.col("n") - 1) / F.lit(rows))))
-    packed = chunked.groupBy("symbol", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("n", "timestamp", "low", "high"))).alias("bars"),
-        F.min("low").alias("low"), F.max("high").alias("high"))
-    extremes = packed.groupBy("symbol").agg(
-        F.sort_array(F.collect_list(F.struct("chunk", "low", "high"))).alias("chunks"))
-
+    # Read for the tree and for the orders' places, so it is written once.
+    placed = cut(series_index(bars.select("symbol", "timestamp", "low", "high"), grain))
+    index = passage_index(placed, ["low"], ["high"], ["timestamp"], width=rows)
     # Position of the last bar before the order: the search starts right after it.
     eve = orders.withColumn("_eve", F.expr("created_at - INTERVAL 1 MICROSECOND"))
-    placed = asof_join(eve, chunked, "symbol", "_eve", "timestamp", ["n"], block_seconds)
-    start = F.coalesce("asof_n", F.lit(0)) + 1
-    df = placed.withColumns({"_from": start, "_chunk": F.floor((start - 1) / F.lit(rows))})
-
-    def reached(x):
-        return F.when(F.col("action") == "BUY", x["low"] <= F.col("limit_price")).otherwise(
-            x["high"] >= F.col("limit_price"))
-
-    def first(array, position, floor):
-        hits = F.filter(array, lambda x: (x[position] >= floor) & reached(x))
-        return F.try_element_at(hits, F.lit(1))
-
-    def inside(df, chunk, out):
-        side = packed.select("symbol", F.col("chunk").alias(chunk), F.col("bars").alias("_bars"))
-        return df.join(side, ["symbol", chunk], "left").withColumn(
-            out, first(F.col("_bars"), "n", F.col("_from"))).drop("_bars")
-
-    df = inside(df, "_chunk", "_near")
-    df = df.join(extremes, "symbol", "left").withColumn("_far_chunk", F.when(
-        F.col("_near").isNull(), first(F.col("chunks"), "chunk", F.col("_chunk") + 1)["chunk"])).drop("chunks")
-    df = inside(df, "_far_chunk", "_far")
-    touched = F.coalesce("_near", "_far")
-    return df.select(*orders.columns, touched["timestamp"].alias("filled_at"),
-                     F.when(touched.isNotNull(), F.col("limit_price")).alias("filled_price"))
+    df = asof_join(eve, placed, "symbol", "_eve", "timestamp", ["n"], block_seconds)
+    found = first_passage(df, index, F.coalesce("asof_n", F.lit(0)) + 1, lambda c: F.when(
+        F.col("action") == "BUY", c["low"] <= F.col("limit_price")).otherwise(c["high"] >= F.col("limit_price")), "_touch")
+    return found.select(*orders.columns, F.col("_touch.timestamp").alias("filled_at"),
+                        F.when(F.col("_touch").isNotNull(), F.col("limit_price")).alias("filled_price"))
 
 
 def limit_fills(touches: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.panel import DAILY, cumulative, open_frame
+from barloom.operators.passage import PassageIndex, first_passage, passage_index
+from barloom.panel import DAILY, cumulative, cut, open_frame
 
 
 @dataclass(frozen=True)
@@ -34,9 +35,9 @@ class Costs:
 
 @dataclass(frozen=True)
 class Barriers:
-    stop_loss: float | None = 0.05
-    take_profit: float | None = 0.10
-    holding: int = 21
+    stop_loss: float | None = None
+    take_profit: float | None = None
+    holding: int | None = None
 
 
 def entries_exits(scored: DataFrame, enter: float, leave: float, score: str = "p") -> DataFrame:
@@ -157,87 +158,105 @@ def trade_result(trades: DataFrame, costs: Costs) -> DataFrame:
         "pnl_pct", F.when(q * a > 0, F.col("net_pnl") / (q * a)).otherwise(0.0))
 
 
-def _barrier_cond(rule: dict, x: Column, i: Column, fill: Column, leave: float) -> list[tuple[str, Column]]:
-    pnl = (x["close"] - fill) / fill
-    never = F.lit(False)
-    return [
-        ("stop_loss", never if rule["stop_loss"] is None else pnl <= -rule["stop_loss"]),
-        ("take_profit", never if rule["take_profit"] is None else pnl >= rule["take_profit"]),
-        ("max_holding_period", i >= rule["holding"]),
-        ("signal_exit", F.coalesce(x["p"] <= leave, F.lit(False))),
-    ]
-
-
-def _barrier_trades(framed: DataFrame, rule: dict, leave: float, costs: Costs) -> DataFrame:
-    """Exit of each entry row from its array of following bars `_path` (first = entry bar)."""
-    fill = F.col("entry_price")
-
-    def hit(x, i):
-        conds = _barrier_cond(rule, x, i, fill, leave)
-        return F.when(conds[0][1] | conds[1][1] | conds[2][1] | conds[3][1], i + 1)
-
-    # One-based place of the first bar whose close asks for an exit.
-    places = F.array_compact(F.transform("_path", hit))
-    staged = framed.withColumn("_at", F.try_element_at(places, F.lit(1)))
-    ends = F.size("_path")
-    filled = F.coalesce(F.col("_at") < ends, F.lit(False))
-    asked = F.try_element_at("_path", F.col("_at"))
-    out_bar = F.try_element_at("_path", F.when(filled, F.col("_at") + 1).otherwise(ends))
-    conds = _barrier_cond(rule, asked, F.col("_at") - 1, fill, leave)
+def _pnl(close: Column) -> Column:
+    return (close - F.col("entry_price")) / F.col("entry_price")
+
+
+def _asked(rule: dict, child: Column) -> list[tuple[str, Column]]:
+    """Reasons for which a close asks for an exit, in their order; also for the extremes of many bars."""
+    return [("stop_loss", _pnl(child["least"]) <= -rule["stop_loss"]), ("take_profit", _pnl(child["most"]) >= rule["take_profit"]),
+            ("max_holding_period", child["last"] >= F.col("_from") + rule["holding"]), ("signal_exit", child["p"] <= rule["leave"])]
+
+
+def _any_asked(rule: dict, child: Column) -> Column:
+    hit = F.lit(False)
+    for _, cond in _asked(rule, child):
+        hit = hit | F.coalesce(cond, F.lit(False))
+    return hit
+
+
+def _entries(scored: DataFrame, enter: float, costs: Costs, grain: str) -> tuple[DataFrame, PassageIndex]:
+    """Rows whose score asks for an entry, with the next bar's fill, and the tree over the closes behind them."""
+    frame = open_frame(scored.select("timestamp", "symbol", "open", "high", "low", "close", "p"), 0, 1, grain)
+    nxt = F.struct("timestamp", "open", "high", "low")
+    led = frame.close(frame.df.withColumns({"_next": F.lead(nxt, 1).over(frame.window)}))
+    bars = cut(led.withColumns({"least": F.col("close"), "most": F.col("close")}))
+    index = passage_index(bars, ["least", "p"], ["most"], ["n", "timestamp", "low", "close", "p", "_next"])
+    entry = bars.filter((F.col("p") >= enter) & F.col("_next").isNotNull())
+    lasts = bars.groupBy("symbol").agg(F.max_by(F.struct("n", "timestamp", "low", "close"), "n").alias("_end"))
+    rows = entry.join(lasts, "symbol").select(
+        "symbol", F.col("timestamp").alias("signal_time"), F.col("p").alias("_score"), (F.col("n") + 1).alias("_from"), F.col("_next.timestamp").alias("entry_time"),
+        buy_price(F.col("_next.open"), F.col("_next.high"), costs).alias("entry_price"), "_end")
+    return rows, index
+
+
+def _barrier_trades(entries: DataFrame, index: PassageIndex, rule: dict, costs: Costs) -> DataFrame:
+    """Exit of each entry: the first close that asks for one, filled at the next open; else the last close of the series."""
+    found = first_passage(entries, index, F.col("_from"), lambda c: _any_asked(rule, c), "_ask")
+    ask, end, out = F.col("_ask"), F.col("_end"), F.col("_ask._next")
+    filled = out.isNotNull()
     reason = F.when(~filled, F.lit("end_of_simulation"))
-    for name, cond in conds:
+    at = {"least": ask["close"], "most": ask["close"], "last": ask["n"], "p": ask["p"]}
+    for name, cond in _asked(rule, at):
         reason = reason.when(cond, F.lit(name))
-    base = F.when(filled, out_bar["open"]).otherwise(out_bar["close"])
-    return staged.withColumns({
-        "exit_time": out_bar["timestamp"], "exit_price": sell_price(base, out_bar["low"], costs),
+    return found.withColumns({
+        "exit_time": F.when(filled, out["timestamp"]).otherwise(end["timestamp"]),
+        "exit_price": F.when(filled, sell_price(out["open"], out["low"], costs)).otherwise(sell_price(end["close"], end["low"], costs)),
         "exit_reason": reason,
-        "holding_bars": F.when(filled, F.col("_at")).otherwise(ends - 1),
+        "holding_bars": F.when(filled, ask["n"] + 1).otherwise(end["n"]) - F.col("_from"),
     })
 
 
-def _entry_paths(scored: DataFrame, enter: float, holding: int, costs: Costs, grain: str) -> DataFrame:
-    """Entry rows with the next `holding`+2 bars as an array: bounded, and no self-join."""
-    reach = holding + 2
-    frame = open_frame(scored.select("timestamp", "symbol", "open", "high", "low", "close", "p"),
-                       0, reach, grain)
-    bar = F.struct("timestamp", "open", "high", "low", "close", "p")
-    pathed = frame.df.withColumn("_path", F.collect_list(bar).over(frame.rows(1, reach)))
-    entry = F.col("_path")[0]
-    return frame.close(pathed).filter((F.col("p") >= enter) & (F.size("_path") > 0)).select(
-        "symbol", F.col("timestamp").alias("signal_time"), entry["timestamp"].alias("entry_time"),
-        buy_price(entry["open"], entry["high"], costs).alias("entry_price"), "_path")
+def _limit(value, kind: str) -> Column:
+    return F.lit(value).cast(kind)
 
 
 def barrier_exits(scored: DataFrame, enter: float, leave: float, rule: Barriers = Barriers(),
                   costs: Costs = Costs(), grain: str = DAILY, quantity: float = 100.0) -> DataFrame:
-    """Outcome of entering at every signal: first barrier hit, its price and reason."""
-    paths = _entry_paths(scored, enter, rule.holding, costs, grain)
-    limits = {"stop_loss": None if rule.stop_loss is None else F.lit(rule.stop_loss),
-              "take_profit": None if rule.take_profit is None else F.lit(rule.take_profit),
-              "holding": F.lit(rule.holding)}
-    trades = _barrier_trades(paths, limits, leave, costs).withColumn("quantity", F.lit(float(quantity)))
+    """Outcome of entering at every signal: first barrier hit, its price and reason. A barrier that is None never hits."""
+    rows, index = _entries(scored, enter, costs, grain)
+    limits = {"stop_loss": _limit(rule.stop_loss, "double"), "take_profit": _limit(rule.take_profit, "double"),
+              "holding": _limit(rule.holding, "int"), "leave": _limit(leave, "double")}
+    trades = _barrier_trades(rows, index, limits, costs).withColumn("quantity", F.lit(float(quantity)))
     return trade_result(trades, costs).select(
         "symbol", "signal_time", "entry_time", "exit_time", "quantity", "entry_price", "exit_price", "gross_pnl",
         "total_fees", "net_pnl", "pnl_pct", "holding_bars", "exit_reason")
 
 
+def threshold_sweep(scored: DataFrame, enters: list[float], leaves: list[float], grid: list[Barriers],
+                    costs: Costs = Costs(), grain: str = DAILY) -> DataFrame:
+    """Trade statistics for every entry threshold, exit threshold and barrier set, from one pass over the signals.
+
+    A signal's outcome does not depend on the entry threshold, so each is worked out once for an exit threshold and barrier set and
+    counted in the interval between two entry thresholds that its score lies in; sums over the intervals above give each threshold's row.
+    """
+    levels = sorted(set(enters))
+    rows, index = _entries(scored, levels[0], costs, grain)
+    kind = "stop_loss double, take_profit double, holding int, leave double"
+    sets = F.array(*[F.struct(_limit(g.stop_loss, "double").alias("stop_loss"), _limit(g.take_profit, "double").alias("take_profit"),
+                              _limit(g.holding, "int").alias("holding"), _limit(v, "double").alias("leave")) for g in grid for v in sorted(set(leaves))])
+    each = rows.withColumn("g", F.explode(sets.cast(f"array<struct<{kind.replace(' ', ':')}>>".replace(",:", ","))))
+    limits = {c: F.col(f"g.{c}") for c in ("stop_loss", "take_profit", "holding", "leave")}
+    trades = trade_result(_barrier_trades(each, index, limits, costs).withColumn("quantity", F.lit(100.0)), costs)
+    interval = F.lit(0)
+    for i, level in enumerate(levels):
+        interval = F.when(F.col("_score") >= level, i).otherwise(interval)
+    by = [F.col(f"g.{c}").alias(c) for c in ("leave", "stop_loss", "take_profit", "holding")]
+    sums = trades.groupBy(interval.alias("_interval"), *by).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("pnl_pct").alias("_pnl"), F.sum((F.col("net_pnl") > 0).cast("long")).alias("_wins"),
+        F.sum("holding_bars").alias("_held"))
+    below = F.explode(F.slice(F.array(*[F.lit(float(v)) for v in levels]), F.lit(1), F.col("_interval") + 1)).alias("enter")
+    total = sums.select("*", below).groupBy("enter", "leave", "stop_loss", "take_profit", "holding").agg(
+        *[F.sum(c).alias(c) for c in ("trades", "_pnl", "_wins", "_held")])
+    n = F.col("trades")
+    return total.select("enter", "leave", "stop_loss", "take_profit", "holding", "trades", (F.col("_pnl") / n).alias("avg_pnl_pct"),
+                        (F.col("_wins") / n).alias("win_rate"), (F.col("_held") / n).alias("avg_holding"))
+
+
 def param_sweep(scored: DataFrame, enter: float, leave: float, grid: list[Barriers],
                 costs: Costs = Costs(), grain: str = DAILY) -> DataFrame:
-    """Trade statistics for each barrier set; every entry path is read once for all sets."""
-    longest = max(g.holding for g in grid)
-    paths = _entry_paths(scored, enter, longest, costs, grain)
-    sets = F.array(*[F.struct(F.lit(float(g.stop_loss)).alias("stop_loss"),
-                              F.lit(float(g.take_profit)).alias("take_profit"),
-                              F.lit(g.holding).alias("holding")) for g in grid])
-    each = paths.withColumn("g", F.explode(sets)).withColumn(
-        "_path", F.slice("_path", 1, F.col("g.holding") + 2))
-    limits = {c: F.col(f"g.{c}") for c in ("stop_loss", "take_profit", "holding")}
-    trades = trade_result(_barrier_trades(each, limits, leave, costs).withColumn(
-        "quantity", F.lit(100.0)), costs)
-    return trades.groupBy("g.stop_loss", "g.take_profit", "g.holding").agg(
-        F.count(F.lit(1)).alias("trades"), F.avg("pnl_pct").alias("avg_pnl_pct"),
-        F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate"),
-        F.avg("holding_bars").alias("avg_holding"))
+    """Trade statistics for each barrier set at one pair of thresholds."""
+    return threshold_sweep(scored, [enter], [leave], grid, costs, grain).drop("enter", "leave")
 
 
 def signal_equity(held: DataFrame, costs: Costs = Costs(), fraction: float = 1.0, grain: str = DAILY,

@@ -133,6 +133,26 @@ query("param_sweep", _C + """, {barrier} SELECT sl AS stop_loss, tp AS take_prof
   round(avg(net_pnl / (100 * entry_price)) + 1.3e-9, 6) AS avg_pnl_pct,
   round(avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0 END) + 1.3e-9, 6) AS win_rate, round(avg(holding_bars) + 1.3e-9, 6) AS avg_holding
   FROM bp GROUP BY 1, 2, 3""")(lambda t: rounded(S.param_sweep(sig(t), ENTER, LEAVE, GRID)))
+ENTERS, LEAVES = [0.8, 0.9, 0.97], [0.1, 0.3]
+OPEN_GRID = [S.Barriers(), S.Barriers(stop_loss=0.08), S.Barriers(take_profit=0.2, holding=40)]
+SQL_PARTS["sweep"] = SQL_PARTS["barrier"].replace("(0.05::DOUBLE, 0.10::DOUBLE, 21), (0.02, 0.04, 5), (0.10, 0.30, 10)) v(sl, tp, hz))",
+    "(NULL::DOUBLE, NULL::DOUBLE, NULL::INT), (0.08, NULL, NULL), (NULL, 0.2, 40)) v(sl, tp, hz)), lv AS (SELECT * FROM (VALUES (0.1::DOUBLE), (0.3)) v(lv))").replace(
+    "en.symbol, signal_time, sl, tp, hz, min", "en.symbol, signal_time, e, sl, tp, hz, lv, min").replace("CROSS JOIN grid JOIN bx b", "CROSS JOIN grid CROSS JOIN lv JOIN bx b").replace(
+    "AND b.i BETWEEN e AND e + hz AND", "AND b.i >= e AND").replace("b.p <= 0.3", "b.p <= lv").replace("SELECT en.*, grid.*, j", "SELECT en.*, grid.*, lv.lv, j").replace(
+    "FROM en CROSS JOIN grid LEFT JOIN ask USING (symbol, signal_time, sl, tp, hz))",
+    "FROM en CROSS JOIN grid CROSS JOIN lv LEFT JOIN ask ON en.symbol = ask.symbol AND en.signal_time = ask.signal_time AND grid.sl IS NOT DISTINCT FROM ask.sl "
+    "AND grid.tp IS NOT DISTINCT FROM ask.tp AND grid.hz IS NOT DISTINCT FROM ask.hz AND lv.lv = ask.lv)").replace(
+    "r.entry_price, sl, tp, hz,", "r.entry_price, r.score, sl, tp, hz, lv,").replace("SELECT a.symbol, a.timestamp", "SELECT a.p AS score, a.symbol, a.timestamp")
+query("threshold_sweep", _C + """, {sweep}, ev AS (SELECT * FROM (VALUES (0.8::DOUBLE), (0.9), (0.97)) v(enter))
+  SELECT enter, lv AS leave, sl AS stop_loss, tp AS take_profit, CAST(hz AS DOUBLE) AS holding, count(*) AS trades,
+  round(avg(net_pnl / (100 * entry_price)) + 1.3e-9, 6) AS avg_pnl_pct, round(avg(CASE WHEN net_pnl > 0 THEN 1.0 ELSE 0 END) + 1.3e-9, 6) AS win_rate,
+  round(avg(holding_bars) + 1.3e-9, 6) AS avg_holding FROM bp JOIN ev ON score >= enter GROUP BY ALL""")(
+    lambda t: rounded(S.threshold_sweep(sig(t), ENTERS, LEAVES, OPEN_GRID).withColumn("holding", F.col("holding").cast("double"))))
+query("barrier_exit_open", _C + """, {sweep} SELECT symbol, signal_time, entry_time, exit_time, round(entry_price + 1.3e-9, 4) AS entry_price,
+  round(exit_price + 1.3e-9, 4) AS exit_price, round(net_pnl + 1.3e-9, 4) AS net_pnl, holding_bars, exit_reason FROM bp
+  WHERE hz IS NULL AND sl = 0.08 AND lv = 0.1""")(
+    lambda t: rounded(S.barrier_exits(sig(t), ENTER, 0.1, S.Barriers(stop_loss=0.08)).select(*_BCOLS)
+                      .withColumn("holding_bars", F.col("holding_bars").cast("bigint")), 4))
 query("oos_only", _C + """, f AS (SELECT *, CASE WHEN n - 1 >= CAST(floor(total * 0.8::DOUBLE) AS BIGINT) THEN 1 ELSE 0 END AS oos FROM h1)
   SELECT timestamp, symbol, round(p + 1.3e-9, 6) AS p, position FROM f WHERE oos = 1""")(
     lambda t: rounded(SP.split_by_ratio(S.position_state(sig(t), ENTER, LEAVE)).filter("fold = 'test'").select(
