@@ -196,10 +196,44 @@ for _name, _cols in {"rsi_14": ["rsi_14"], "candle_sma": ["sma_20", "sma_50"], "
     query(_name, "WITH {bars_n}, {candle}, p AS (SELECT timestamp, symbol, " + ", ".join(_cols) + " FROM candle) "
           + rounded_sql("p", *_K))(
         lambda t, cols=_cols: rounded(IND.candles(t.bars_n, digits=None).select("timestamp", "symbol", *cols)))
-query("candles", """WITH {bars_n}, {candle} SELECT timestamp, symbol, round(open + 1.3e-9, 2) AS open, round(high + 1.3e-9, 2) AS high,
+_CANDLE_OUT = """SELECT timestamp, symbol, round(open + 1.3e-9, 2) AS open, round(high + 1.3e-9, 2) AS high,
   round(low + 1.3e-9, 2) AS low, round(close + 1.3e-9, 2) AS close, CAST(trunc(volume) AS BIGINT) AS volume,
   round(sma_20 + 1.3e-9, 2) AS sma_20, round(sma_50 + 1.3e-9, 2) AS sma_50, round(ema_20 + 1.3e-9, 2) AS ema_20, round(rsi_14 + 1.3e-9, 1) AS rsi_14
-  FROM candle""")(lambda t: IND.candles(t.bars_n))
+  FROM candle"""
+query("candles", "WITH {bars_n}, {candle} " + _CANDLE_OUT)(lambda t: IND.candles(t.bars_n))
+
+
+def _ticks_sql(start, table):
+    """Bars of another interval, under the name that the candle SQL reads."""
+    symbol, price, seq, source = {
+        "events": ("upper(event_type)", "value", "event_id", "events"),
+        "orders": ("n_name", "o_totalprice", "o_orderkey", "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")}[table]
+    return (f"all_bars AS (SELECT CAST({start} AS TIMESTAMP) AS timestamp, {symbol} AS symbol, min_by({price}, {seq}) AS open, max({price}) AS high, min({price}) AS low, "
+            f"max_by({price}, {seq}) AS close, CAST(count(*) AS DOUBLE) AS volume FROM {source} GROUP BY 1, 2)")
+
+
+def _event_chart(t, period):
+    return IND.chart(t.events, period, F.upper("event_type"), F.col("ts"), F.col("value"), None, F.col("event_id"))
+
+
+def _order_chart(t, period):
+    home = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    ticks = t.orders.join(home, F.col("o_custkey") == F.col("c_custkey"))
+    return IND.chart(ticks, period, F.col("n_name"), F.col("o_orderdate"), F.col("o_totalprice"), None, F.col("o_orderkey"))
+
+
+_DAYS = "bars_n AS (SELECT * FROM all_bars QUALIFY dense_rank() OVER (PARTITION BY symbol ORDER BY CAST(timestamp AS DATE) DESC) <= {0})"
+_MONTHS = "bars_n AS (SELECT * FROM all_bars QUALIFY timestamp > max(timestamp) OVER (PARTITION BY symbol) - INTERVAL {0} MONTH)"
+for _name, _period, _start, _table, _span, _chart in (
+        ("candles_1d_5m", "1D", "time_bucket(INTERVAL 5 MINUTE, ts)", "events", _DAYS.format(1), _event_chart),
+        ("candles_1w_15m", "1W", "time_bucket(INTERVAL 15 MINUTE, ts)", "events", _DAYS.format(5), _event_chart),
+        ("candles_3m_daily", "3M", "CAST(o_orderdate AS DATE)", "orders", _MONTHS.format(3), _order_chart),
+        ("candles_5y_weekly", "5Y", "date_trunc('week', o_orderdate)", "orders", _MONTHS.format(60), _order_chart)):
+    query(_name, f"WITH {_ticks_sql(_start, _table)}, {_span}, {{candle}} " + _CANDLE_OUT)(
+        lambda t, chart=_chart, period=_period: chart(t, period))
+query("candles_15m", f"WITH {_ticks_sql('time_bucket(INTERVAL 15 MINUTE, ts)', 'events')}, bars_n AS (SELECT * FROM all_bars), {{candle}}, p AS "
+      "(SELECT timestamp, symbol, sma_20, sma_50, ema_20, rsi_14 FROM candle) " + rounded_sql("p", *_K))(
+    lambda t: rounded(IND.candles(B.event_bars(t.events, "15 minutes"), None, "15 minutes").select("timestamp", "symbol", "sma_20", "sma_50", "ema_20", "rsi_14")))
 
 # ---------------------------------------------------------------- targets
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Look-back period of a chart and the bar interval it is drawn with (fixed values).
-PERIOD_INTERVAL = {
-    "1D": "5 minutes", "1W": "15 minutes", "1M": "day", "3M": "day",
-    "6M": "day", "1Y": "day", "5Y": "week",
+# Chart periods (fixed values): bar interval, trading days, calendar months.
+CHART_PERIODS = {
+    "1D": ("5 minutes", 1, 0), "1W": ("15 minutes", 5, 0), "1M": ("day", 0, 1), "3M": ("day", 0, 3),
+    "6M": ("day", 0, 6), "1Y": ("day", 0, 12), "5Y": ("week", 0, 60),
 }
 
 
