@@ -63,7 +63,7 @@ STAGES = [
     ("BPE encoding and decoding", encoded),
 ]
 
-# Near copies, keyed permutations and BPE merges are out of SQL's reach; tests hold run() against brute force.
+# Near copies, keyed permutations and BPE merges are out of SQL's reach; tests check each stage's rows, columns and ids.
 ORACLE_SQL = None
 
 
