@@ -87,11 +87,11 @@ def limit_first_touch(orders: DataFrame, bars: DataFrame, grain: str = DAILY,
     """First bar at or after its creation that reaches each limit order.
 
     The search starts behind the last bar before the order and goes through a tree of lowest lows and highest highs
-    (`first_passage`, nodes of `rows`), whatever lies between order and touch.
+    (`first_passage`, nodes of `rows`, two at least), whatever lies between order and touch.
     """
     # Read for the tree and for the orders' places, so it is written once.
     placed = cut(series_index(bars.select("symbol", "timestamp", "low", "high"), grain))
-    index = passage_index(placed, ["low"], ["high"], ["timestamp"], width=rows)
+    index = passage_index(placed, ["low"], ["high"], ["timestamp"], width=max(rows, 2))
     # Position of the last bar before the order: the search starts right after it.
     eve = orders.withColumn("_eve", F.expr("created_at - INTERVAL 1 MICROSECOND"))
     df = asof_join(eve, placed, "symbol", "_eve", "timestamp", ["n"], block_seconds)

@@ -40,6 +40,8 @@ def passage_index(series: DataFrame, lows: list[str], highs: list[str], payload:
             F.sort_array(F.collect_list(child)).alias("children"), F.max("last").alias("last"),
             *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]))
 
+    if width < 2:
+        raise ValueError("a node holds two children at least")
     # A column that is tested both ways needs two names.
     if set(lows) & set(highs):
         raise ValueError("give a column that is tested both ways once under each of two names")

@@ -44,7 +44,7 @@ def plans():
         "feature_matrix": lambda t: compute_features(t.bars_s),
         "label_dataset": lambda t: dataset.label_dataset(t.bars_s),
         "feature_matrix_hourly": lambda t: compute_features(t.bars_e, grain="hour"),
-        "barrier_exit": lambda t: signals.barrier_exits(scored(t), 0.8, 0.3),
+        "barrier_exit": lambda t: signals.barrier_exits(scored(t), 0.8, 0.3, signals.Barriers(0.05, 0.10, 21)),
         "perf_metrics": perf,
         "dq_summary": lambda t: quality.summary(findings(t)),
         "screen": lambda t: screener.screen(t.bars_s),
