@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.panel import running
+from barloom.operators.order_stats import exact_medians
+from barloom.panel import DAILY, running
 
 CLIP = 1e-15
 # Fine blocks keep crowded score ranges small; one row per block meets in a task.
 SCORE_BLOCKS = 1 << 20
-SMALL = 100_000
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -99,39 +102,10 @@ def class_prior(df: DataFrame, by, y="y") -> DataFrame:
         "majority", (F.col("prior") >= 0.5).cast("int"))
 
 
-def mean_median(df: DataFrame, by, y="y") -> DataFrame:
-    """Mean and exact median per group; groups must be bounded series."""
-    return df.groupBy(*by).agg(F.avg(y).alias("mean"), F.percentile(y, F.lit(0.5)).alias("median"))
-
-
-def exact_median(df: DataFrame, column: str) -> float | None:
-    """Exact median of a column of any length.
-
-    Approximate quantiles bracket the middle ranks; counting below the bracket
-    and bracketing again inside it shrinks the candidates until at most `SMALL`
-    distinct values are left, and only these reach the driver.
-    """
-    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    n = rows.count()
-    if n == 0:
-        return None
-    first, second = (n - 1) // 2, n // 2
-    low, high, below = float("-inf"), float("inf"), 0
-    while True:
-        inside = rows.filter(F.col("v").between(low, high))
-        values = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        if values.limit(SMALL + 1).count() <= SMALL:
-            break
-        size = inside.count()
-        spread = max(2e-3, 2.0 / size)
-        shares = [max(0.0, (first - below) / size - spread), min(1.0, (second - below) / size + spread)]
-        lo, hi = inside.agg(F.percentile_approx("v", shares, 10_000)).first()[0]
-        if (lo, hi) == (low, high):
-            break
-        low, high = lo, hi
-        below = rows.filter(F.col("v") < low).count()
-    picked, seen = [], below
-    for value, count in sorted((r["v"], r["c"]) for r in values.collect()):
-        picked += [value for rank in (first, second) if seen <= rank < seen + count]
-        seen += count
-    return sum(picked) / len(picked)
+def mean_median(df: DataFrame, by, y="y", grain: str = DAILY) -> DataFrame:
+    """Mean and exact median per group; groups of a finer grain than days may have any size."""
+    if grain == DAILY:
+        return df.groupBy(*by).agg(F.avg(y).alias("mean"), F.percentile(y, F.lit(0.5)).alias("median"))
+    medians = exact_medians(df, by, [y]).select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col(f"{y}_median").alias("median"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by])
+    return df.groupBy(*by).agg(F.avg(y).alias("mean")).join(medians, same, "left").select(*by, "mean", "median")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.targets import REGISTRY as TARGETS
 from barloom.operators import metrics
+from barloom.operators.order_stats import exact_median
 from barloom.operators.splits import panel_split
 from barloom.panel import cut
 from barloom.session import checkpoint_dir
@@ -120,7 +121,7 @@ class Baseline:
         if strategy == "mean":
             value = float(rows.agg(F.avg(target)).first()[0])
         elif strategy == "median":
-            value = metrics.exact_median(rows, target)
+            value = exact_median(rows, target)
         else:
             value = constant if strategy == "constant" else 0.0
         return cls(task, value, strategy, seed)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.panel import DAILY, grain_block, row_index, series_index
+from barloom.operators.order_stats import exact_medians
+from barloom.panel import DAILY, cumulative, grain_block, row_index, series_index
 
 MIN_ROWS = 3
 
@@ -44,11 +45,10 @@ def split_by_ratio(df: DataFrame, train: float = 0.6, val: float = 0.2, test: fl
 
 
 def split_by_date(df: DataFrame, train_end: str, val_end: str | None = None,
-                  train_start: str | None = None, gap: int = 0) -> DataFrame:
+                  train_start: str | None = None, gap: int = 0, grain: str = DAILY) -> DataFrame:
     """Adds `fold` by inclusive cut dates; the last `gap` rows of train and validation are purged.
 
-    Purging ranks rows per symbol and fold from the end; the daily grain bounds
-    these windows.
+    Purging compares a row's position in its symbol's fold with the fold's length.
     """
     kind = df.schema["timestamp"].dataType.simpleString()
     ts, end = F.col("timestamp"), F.lit(train_end).cast(kind)
@@ -60,11 +60,9 @@ def split_by_date(df: DataFrame, train_end: str, val_end: str | None = None,
     out = df.withColumn("fold", fold.otherwise(F.lit("test")))
     if not gap:
         return out
-    part = Window.partitionBy("symbol", "fold")
-    ranked = out.withColumns({"_r": F.row_number().over(part.orderBy(F.desc("timestamp"))),
-                              "_c": F.count(F.lit(1)).over(part)})
-    late = F.col("fold").isin("train", "validation") & (F.col("_c") > gap) & (F.col("_r") <= gap)
-    return ranked.withColumn("fold", F.when(late, F.lit("purged")).otherwise(F.col("fold"))).drop("_r", "_c")
+    placed = series_index(out, grain, ["symbol", "fold"])
+    late = F.col("fold").isin("train", "validation") & (F.col("total") > gap) & (F.col("n") > F.col("total") - gap)
+    return placed.select(*df.columns, F.when(late, F.lit("purged")).otherwise(F.col("fold")).alias("fold"))
 
 
 def panel_split(df: DataFrame, train: float = 0.6, val: float = 0.2, test: float = 0.2,
@@ -139,22 +137,23 @@ def fold_rows(df: DataFrame, config: WalkForward, grain: str = DAILY) -> DataFra
         *df.columns, "fold_idx", "part")
 
 
-def fold_medians(rows: DataFrame, columns) -> DataFrame:
-    """Exact training medians per symbol and fold (daily series, so groups are bounded)."""
-    return rows.filter(F.col("part") == "train").groupBy("symbol", "fold_idx").agg(
+def fold_medians(rows: DataFrame, columns, grain: str = DAILY) -> DataFrame:
+    """Exact training medians per symbol and fold; folds without a training value in any column may be absent."""
+    train = rows.filter(F.col("part") == "train")
+    if grain != DAILY:
+        return exact_medians(train, ["symbol", "fold_idx"], columns)
+    return train.groupBy("symbol", "fold_idx").agg(
         *[F.percentile(c, F.lit(0.5)).alias(f"{c}_median") for c in columns])
 
 
-def wf_impute(rows: DataFrame, columns) -> DataFrame:
+def wf_impute(rows: DataFrame, columns, grain: str = DAILY) -> DataFrame:
     """Test rows filled forward inside their fold, then with training medians, then with zero."""
-    past = (Window.partitionBy("symbol", "fold_idx").orderBy("timestamp")
-            .rowsBetween(Window.unboundedPreceding, 0))
-    test = rows.filter(F.col("part") == "test").withColumns(
-        {c: F.last(c, ignorenulls=True).over(past) for c in columns})
-    filled = test.join(fold_medians(rows, columns), ["symbol", "fold_idx"], "left")
+    test = cumulative(rows.filter(F.col("part") == "test"), {f"_f_{c}": ("last", c) for c in columns}, grain,
+                      ("symbol", "fold_idx"))
+    filled = test.join(fold_medians(rows, columns, grain), ["symbol", "fold_idx"], "left")
     return filled.select(
         *[c for c in rows.columns if c not in columns],
-        *[F.coalesce(c, f"{c}_median", F.lit(0.0)).alias(c) for c in columns])
+        *[F.coalesce(f"_f_{c}", f"{c}_median", F.lit(0.0)).alias(c) for c in columns])
 
 
 def train_rows(rows: DataFrame, columns, minimum: int = 10) -> DataFrame:

@@ -15,6 +15,7 @@ The only data that is gathered per key is one row per block.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -179,15 +180,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
     )
 
 
-def series_index(df: DataFrame, grain: str = DAILY, key: str = "symbol", time: str = "timestamp",
+def series_index(df: DataFrame, grain: str = DAILY, keys: Sequence[str] = ("symbol",), time: str = "timestamp",
                  rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds `n`, the position of a row in its series, and `total`, its length."""
+    keys = list(keys)
     if grain == DAILY:
-        whole = Window.partitionBy(key)
+        whole = Window.partitionBy(*keys)
         return df.withColumns({"n": F.row_number().over(whole.orderBy(time)),
                                "total": F.count(F.lit(1)).over(whole)})
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    return row_index(df, [key], [time], grain_block(grain, rows, time)).join(totals, key)
+    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    return row_index(df, keys, [time], grain_block(grain, rows, time)).join(totals, keys)
 
 
 def cumulative(df: DataFrame, outputs: dict[str, tuple[str, str]], grain: str = DAILY,

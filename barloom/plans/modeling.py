@@ -9,6 +9,8 @@ from barloom.functions import targets as TG
 from barloom.operators import dataset as D
 from barloom.operators import metrics as M
 from barloom.operators import splits as S
+from barloom.operators.order_stats import exact_quantiles
+from barloom.panel import DAILY
 from barloom.plans.core import SQL_PARTS, nudged, query, rounded, rounded_sql
 
 _K = ("timestamp", "symbol")
@@ -82,14 +84,17 @@ query("split_by_ratio_hourly", "WITH {bars_e}, {split} SELECT timestamp, symbol,
 query("split_summary", """WITH {bars_n}, {split} SELECT symbol, fold, count(*) AS rows, min(timestamp) AS start,
   max(timestamp) AS "end" FROM split GROUP BY 1, 2""")(
     lambda t: S.split_summary(S.split_by_ratio(t.bars_n.select("timestamp", "symbol"), gap=5), "symbol"))
-query("split_by_date", """WITH {bars_n}, f AS (SELECT timestamp, symbol, CASE WHEN timestamp < TIMESTAMP '1995-07-01' THEN 'unused'
-  WHEN timestamp <= TIMESTAMP '1998-12-31' THEN 'train' WHEN timestamp <= TIMESTAMP '1999-12-31' THEN 'validation'
+_BY_DATE = """f AS (SELECT timestamp, symbol, CASE WHEN timestamp < TIMESTAMP '{0}' THEN 'unused'
+  WHEN timestamp <= TIMESTAMP '{1}' THEN 'train' WHEN timestamp <= TIMESTAMP '{2}' THEN 'validation'
   ELSE 'test' END AS fold FROM bars_n),
 r AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY timestamp DESC) AS k,
   count(*) OVER (PARTITION BY symbol, fold) AS c FROM f)
-SELECT timestamp, symbol, CASE WHEN fold IN ('train', 'validation') AND c > 5 AND k <= 5 THEN 'purged' ELSE fold END AS fold FROM r""")(
+SELECT timestamp, symbol, CASE WHEN fold IN ('train', 'validation') AND c > 5 AND k <= 5 THEN 'purged' ELSE fold END AS fold FROM r"""
+query("split_by_date", "WITH {bars_n}, " + _BY_DATE.format("1995-07-01", "1998-12-31", "1999-12-31"))(
     lambda t: S.split_by_date(t.bars_n.select("timestamp", "symbol"), "1998-12-31", "1999-12-31",
                               "1995-07-01", gap=5))
+query("split_by_date_hourly", "WITH {bars_e}, " + _BY_DATE.format("2024-01-03", "2024-01-20", "2024-01-25").replace("bars_n", "bars_e"))(
+    lambda t: S.split_by_date(t.bars_e.select("timestamp", "symbol"), "2024-01-20", "2024-01-25", "2024-01-03", gap=5, grain="hour"))
 query("panel_split", """WITH {bars_n}, d AS (SELECT DISTINCT timestamp FROM bars_n),
 i AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS i, (SELECT count(*) FROM d) AS n FROM d),
 c AS (SELECT *, CAST(floor(n * 0.6::DOUBLE) AS BIGINT) AS a, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS z FROM i)
@@ -132,24 +137,44 @@ SQL_PARTS["holed"] = """holed AS (SELECT p.timestamp, p.symbol, fold_idx, part,
 medians AS (SELECT symbol, fold_idx, median(return_5d) AS m1, median(vol_std_20d) AS m2 FROM holed WHERE part = 'train' GROUP BY 1, 2)"""
 
 
-def holed(t):
-    feats = FT.compute_features(t.bars_n, _HOLED)
+def holed(t, bars="bars_n", grain=DAILY):
+    feats = FT.compute_features(getattr(t, bars), _HOLED, grain=grain)
     feats = feats.select("timestamp", "symbol",
                          F.when(F.abs("return_5d") < 1, F.col("return_5d")).alias("return_5d"),
                          F.when(F.col("vol_std_20d") < 1, F.col("vol_std_20d")).alias("vol_std_20d"))
-    return S.fold_rows(feats, WF).withColumn("fold_idx", F.col("fold_idx").cast("bigint"))
+    return S.fold_rows(feats, WF, grain).withColumn("fold_idx", F.col("fold_idx").cast("bigint"))
 
 
 _WF_WITH = "WITH {bars_n}, {feats_n}, {wf}, {folded}, {holed} "
 query("fold_medians", _WF_WITH + "SELECT symbol, CAST(fold_idx AS BIGINT) AS fold_idx, round(m1 + 1.3e-9, 6) AS return_5d_median, "
       "round(m2 + 1.3e-9, 6) AS vol_std_20d_median FROM medians")(
     lambda t: rounded(S.fold_medians(holed(t), _HOLED)))
-query("wf_impute", _WF_WITH + """SELECT timestamp, symbol, CAST(fold_idx AS BIGINT) AS fold_idx, part,
+_IMPUTED = """SELECT timestamp, symbol, CAST(fold_idx AS BIGINT) AS fold_idx, part,
   round(coalesce(last_value(return_5d IGNORE NULLS) OVER w, m1, 0) + 1.3e-9, 6) AS return_5d,
   round(coalesce(last_value(vol_std_20d IGNORE NULLS) OVER w, m2, 0) + 1.3e-9, 6) AS vol_std_20d
   FROM (SELECT * FROM holed WHERE part = 'test') LEFT JOIN medians USING (symbol, fold_idx)
-  WINDOW w AS (PARTITION BY symbol, fold_idx ORDER BY timestamp ROWS UNBOUNDED PRECEDING)""")(
-    lambda t: rounded(S.wf_impute(holed(t), _HOLED)))
+  WINDOW w AS (PARTITION BY symbol, fold_idx ORDER BY timestamp ROWS UNBOUNDED PRECEDING)"""
+query("wf_impute", _WF_WITH + _IMPUTED)(lambda t: rounded(S.wf_impute(holed(t), _HOLED)))
+# The same on hourly series, whose groups have no bound: radix selection, two-level fills and positions.
+_WF_HOURLY = "WITH {bars_e}, {feats_e}, " + ", ".join(
+    SQL_PARTS[part].replace("bars_n", "bars_e") for part in ("wf", "folded", "holed")) + " "
+query("fold_medians_hourly", _WF_HOURLY + "SELECT symbol, CAST(fold_idx AS BIGINT) AS fold_idx, round(m1 + 1.3e-9, 6) AS return_5d_median, "
+      "round(m2 + 1.3e-9, 6) AS vol_std_20d_median FROM medians")(
+    lambda t: rounded(S.fold_medians(holed(t, "bars_e", "hour"), _HOLED, "hour")))
+query("wf_impute_hourly", _WF_HOURLY + _IMPUTED)(
+    lambda t: rounded(S.wf_impute(holed(t, "bars_e", "hour"), _HOLED, "hour")))
+query("tick_quantiles", """SELECT event_type, unnest(['value', 'user_id']) AS name, round(unnest([q1, q2]) + 1.3e-9, 6) AS q05,
+  round(unnest([m1, m2]) + 1.3e-9, 6) AS q50, round(unnest([h1, h2]) + 1.3e-9, 6) AS q95 FROM (SELECT event_type,
+  quantile_cont(value, 0.05) AS q1, median(value) AS m1, quantile_cont(value, 0.95) AS h1, quantile_cont(user_id::DOUBLE, 0.05) AS q2,
+  median(user_id::DOUBLE) AS m2, quantile_cont(user_id::DOUBLE, 0.95) AS h2 FROM events GROUP BY 1)""")(lambda t: _tick_quantiles(t))
+
+
+def _tick_quantiles(t):
+    long = exact_quantiles(t.events, ["event_type"], ["value", "user_id"], [0.05, 0.5, 0.95])
+    at = lambda share: F.max(F.when(F.col("share") == share, F.col("value")))
+    return rounded(long.groupBy("event_type", "name").agg(at(0.05).alias("q05"), at(0.5).alias("q50"), at(0.95).alias("q95")))
+
+
 query("train_dropna", _WF_WITH + """SELECT timestamp, symbol, CAST(fold_idx AS BIGINT) AS fold_idx FROM holed
   WHERE part = 'train' AND return_5d IS NOT NULL AND vol_std_20d IS NOT NULL
   QUALIFY count(*) OVER (PARTITION BY symbol, fold_idx) >= 10""")(

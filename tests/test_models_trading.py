@@ -69,18 +69,6 @@ def test_regression_metrics(spark):
     assert M.regression(df.withColumn("y_hat", F.lit(1.0)), []).first().pearson_corr is None
 
 
-def test_exact_median(spark):
-    df = spark.range(20_001).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
-    want = sorted(r[0] for r in df.collect())[10_000]
-    small = M.SMALL
-    try:
-        M.SMALL = 50  # force several rounds of bracketing
-        assert M.exact_median(df, "v") == want
-    finally:
-        M.SMALL = small
-    assert M.exact_median(df.filter("v < 0"), "v") is None
-
-
 @pytest.fixture(scope="module")
 def learnable(spark):
     return spark.range(400).select(
