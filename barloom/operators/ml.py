@@ -195,20 +195,32 @@ class FittedModel:
         return dict(zip(self.features, [float(v) for v in (values.toArray() if hasattr(values, "toArray") else values)]))
 
 
-def run_experiment(labelled: DataFrame, features, target: str, model_type: str, params=None,
-                   seed: int = 42, ratios=(0.6, 0.2, 0.2)) -> DataFrame:
-    """Split on the common calendar, fit on train, and report metrics of every fold."""
+def fit_experiment(labelled: DataFrame, features, target: str, model_type: str, params=None,
+                   seed: int = 42, ratios=(0.6, 0.2, 0.2)) -> tuple[FittedModel, DataFrame]:
+    """(model, folded rows): complete rows split on the common calendar, fitted on train."""
     task, gap = infer_task(labelled, target)
     rows = labelled.select("timestamp", "symbol", *features, target).dropna(subset=[*features, target])
     # Read by the fit and by every metric pass.
     folded = cut(panel_split(rows, *ratios, gap=gap))
     model = fit_model(folded.filter("fold = 'train'"), features, target, model_type, task, params, seed)
+    return model, folded
+
+
+def experiment_metrics(model: FittedModel, folded: DataFrame, target: str) -> DataFrame:
+    """(fold, metric, value) of every fold."""
     scored = model.predict(folded.filter("fold IN ('train', 'validation', 'test')"))
-    out = metrics.evaluate(scored, task, ["fold"], y=target, y_hat="y_hat",
-                           **({"p": "p"} if task == CLASSIFICATION else {}))
-    return out.select(F.lit(f"{model_type}_{target}").alias("experiment_id"),
-                      F.lit(model_type).alias("model_type"), F.lit(target).alias("target_name"),
-                      F.lit(task).alias("task_type"), F.lit(seed).alias("seed"), "fold", "metric", "value")
+    return metrics.evaluate(scored, model.task, ["fold"], y=target, y_hat="y_hat",
+                            **({"p": "p"} if model.task == CLASSIFICATION else {}))
+
+
+def run_experiment(labelled: DataFrame, features, target: str, model_type: str, params=None,
+                   seed: int = 42, ratios=(0.6, 0.2, 0.2)) -> DataFrame:
+    """Split on the common calendar, fit on train, and report metrics of every fold."""
+    model, folded = fit_experiment(labelled, features, target, model_type, params, seed, ratios)
+    return experiment_metrics(model, folded, target).select(
+        F.lit(f"{model_type}_{target}").alias("experiment_id"),
+        F.lit(model_type).alias("model_type"), F.lit(target).alias("target_name"),
+        F.lit(model.task).alias("task_type"), F.lit(seed).alias("seed"), "fold", "metric", "value")
 
 
 def compare_models(labelled: DataFrame, features, target: str, model_types, seed: int = 42,

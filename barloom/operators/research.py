@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from barloom.operators.normalize import latest_per_key
 
 
-def model_records(long: DataFrame, features) -> DataFrame:
-    """One record per experiment with its metrics as fold -> metric -> value."""
-    keys = ["experiment_id", "model_type", "task_type", "target_name", "seed"]
-    folds = long.groupBy(*keys, "fold").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
-    return folds.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("fold", "m"))).alias("metrics")).withColumn(
-        "feature_names", F.array(*[F.lit(c) for c in features]))
-
-
 def experiments(table: DataFrame, text: str | None = None) -> DataFrame:
     """Experiments with their metrics as columns; `table` is long (experiment_id, metric, value)."""
     found = table if not text else table.filter(F.lower("experiment_id").contains(text.lower()))

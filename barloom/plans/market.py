@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.functions.features import compute_features
@@ -11,9 +13,11 @@ from barloom.operators import ml
 from barloom.operators import research as R
 from barloom.operators import screener as X
 from barloom.operators import splits as S
+from barloom.operators.model_store import ModelStore, fold_periods
 from barloom.operators.walkforward import calendar_fold_rows
 from barloom.plans import modeling, trading
 from barloom.plans.core import SQL_PARTS, query, rounded
+from barloom.session import checkpoint_dir
 
 # ---------------------------------------------------------------- instruments
 
@@ -225,18 +229,13 @@ query("latest_model", """WITH m AS (SELECT o_orderkey AS experiment_id, o_orderd
 query("runs", """WITH {chain_n}, {perf} SELECT run_id, created_at, trade_count, round(win_rate + 1.3e-9, 4) AS win_rate FROM perf
   JOIN (SELECT run_id, max(timestamp) AS created_at FROM curve GROUP BY 1) USING (run_id)""")(
     lambda t: rounded(R.runs(trading.metrics(t), trading.run_catalog(t)).select("run_id", "created_at", "trade_count", "win_rate"), 4))
-query("model_record")(lambda t: R.model_records(ml.run_experiment(
-    modeling.labelled(t), modeling.FEATS, modeling.Y, "logistic_regression"), modeling.FEATS))
 query("evidence_bundle")(lambda t: R.evidence_bundle(
     R.experiments(experiment_table(t)), trading.metrics(t).select("run_id", "win_rate"), t.bars_n))
 
 # ---------------------------------------------------------------- models (values depend on the learner)
 
-_SMALL = {"random_forest": {"n_estimators": 20}, "lightgbm": {"n_estimators": 10}, "xgboost": {"n_estimators": 10}}
-
-
 def _model_query(kind, target):
-    return lambda t: ml.run_experiment(modeling.labelled(t), modeling.FEATS, target, kind, _SMALL.get(kind))
+    return lambda t: ml.run_experiment(modeling.labelled_all(t), modeling.ALL_FEATS, target, kind)
 
 
 query("logreg")(_model_query("logistic_regression", modeling.Y))
@@ -245,9 +244,16 @@ query("random_forest")(_model_query("random_forest", modeling.Y))
 query("random_forest_reg")(_model_query("random_forest", modeling.R))
 query("gbt")(_model_query("lightgbm", modeling.Y))
 query("gbt_reg")(_model_query("xgboost", modeling.R))
-query("experiment")(_model_query("baseline", modeling.Y))
+query("experiment", f"""WITH {{labelled_n}}, {{pfold_all}}, pr AS (SELECT avg(y) AS p, CASE WHEN avg(y) >= 0.5 THEN 1 ELSE 0 END AS h FROM pfold_all WHERE fold = 'train'),
+  e AS (SELECT fold, avg(CASE WHEN y = h THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, coalesce(sum(y * h) / nullif(sum(h), 0), 0)::DOUBLE AS precision,
+  coalesce(sum(y * h) / nullif(sum(y), 0), 0)::DOUBLE AS recall, coalesce(2 * sum(y * h) / nullif(sum(y) + sum(h), 0), 0)::DOUBLE AS f1,
+  CASE WHEN min(y) < max(y) THEN 0.5::DOUBLE END AS roc_auc, avg((p - y) ** 2) AS brier_score, avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss
+  FROM pfold_all, pr WHERE fold <> 'purged' GROUP BY fold)
+  SELECT 'baseline_{modeling.Y}' AS experiment_id, 'baseline' AS model_type, '{modeling.Y}' AS target_name, 'classification' AS task_type, 42 AS seed,
+  fold, metric, round(value + 1.3e-9, 6) AS value FROM e UNPIVOT INCLUDE NULLS (value FOR metric IN (accuracy, precision, recall, f1, roc_auc, brier_score, log_loss))""")(
+    lambda t: rounded(_model_query("baseline", modeling.Y)(t)))
 query("model_compare")(lambda t: ml.compare_models(
-    modeling.labelled(t), modeling.FEATS, modeling.Y, ["baseline", "logistic_regression", "random_forest"], params=_SMALL))
+    modeling.labelled_all(t), modeling.ALL_FEATS, modeling.Y, ["baseline", "logistic_regression", "random_forest", "lightgbm"]))  # xgboost is the same learner
 
 
 @query("wf_evaluate")
@@ -260,11 +266,41 @@ def _wf_evaluate(t):
     return M.evaluate(scored, "classification", ["fold_idx"], y=modeling.Y)
 
 
+def _stored(t, *kinds):
+    """A store below the shared folder holding one experiment of each type, metrics and periods with it."""
+    store = ModelStore(t.spark, f"{checkpoint_dir(t.spark).rstrip('/')}/models-{uuid.uuid4().hex}")
+    for kind in kinds:
+        model, folded = ml.fit_experiment(modeling.labelled_all(t), modeling.ALL_FEATS, modeling.Y, kind)
+        store.save(model, kind, modeling.Y, 42, periods=fold_periods(folded), metrics=ml.experiment_metrics(model, folded, modeling.Y))
+    return store
+
+
+@query("model_record")
+def _model_record(t):
+    """Records of two stored models; the id's random part is cut off."""
+    kept = _stored(t, "baseline", "logistic_regression").records()
+    return kept.drop("created_at", "versions", "scaling").withColumn("experiment_id", F.regexp_replace("experiment_id", "_[0-9a-f]{12}$", ""))
+
+
+# The majority class of the training fold on each symbol's last row: a stored baseline is loaded and scores.
+query("score_latest_baseline", "WITH {labelled_n}, {pfold}, pr AS (SELECT avg(y) AS p FROM pfold WHERE fold = 'train') "
+      """SELECT symbol, max(timestamp) AS timestamp, round(any_value(p) + 1.3e-9, 6) AS probability_up, any_value(CASE WHEN p >= 0.55 THEN 'UPWARD'
+  WHEN p <= 0.45 THEN 'DOWNWARD' ELSE 'NEUTRAL' END) AS direction FROM labelled, pr GROUP BY symbol""")(
+    lambda t: rounded(X.score_latest(modeling.labelled(t), _stored_baseline(t), modeling.FEATS)))
+
+
+def _stored_baseline(t):
+    store = ModelStore(t.spark, f"{checkpoint_dir(t.spark).rstrip('/')}/models-{uuid.uuid4().hex}")
+    model, folded = ml.fit_experiment(modeling.labelled(t), modeling.FEATS, modeling.Y, "baseline")
+    store.save(model, "baseline", modeling.Y, 42, periods=fold_periods(folded))
+    return store.load_latest(modeling.Y, "baseline")
+
+
 @query("score_latest")
 def _score_latest(t):
-    rows = modeling.labelled(t)
-    model = ml.fit_model(rows, modeling.FEATS, modeling.Y, "logistic_regression", ml.CLASSIFICATION)
-    return X.score_latest(rows, model, modeling.FEATS)
+    """Trained, saved, loaded again and applied to the last row per symbol."""
+    model = _stored(t, "logistic_regression").load_latest(modeling.Y, "logistic_regression")
+    return X.score_latest(modeling.labelled_all(t), model, modeling.ALL_FEATS)
 
 
 @query("predict_proba")

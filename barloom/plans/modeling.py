@@ -15,6 +15,7 @@ from barloom.plans.core import SQL_PARTS, nudged, query, rounded, rounded_sql
 
 _K = ("timestamp", "symbol")
 FEATS = ["return_1d", "return_5d", "range_pos_20d", "vol_std_20d"]
+ALL_FEATS = [f.name for f in FT.REGISTRY.select()]
 Y, R = "target_binary_up_5d", "target_fwd_ret_5d"
 
 for _x, _bars in (("s", "bars_s"), ("n", "bars_n")):
@@ -22,7 +23,7 @@ for _x, _bars in (("s", "bars_s"), ("n", "bars_n")):
         f"{{{_bars}}}, {{feats_{_x}}}, {{targets_{_x}}}, labelled AS (SELECT * FROM {_bars} "
         "JOIN feats USING (timestamp, symbol) JOIN labels_t USING (timestamp, symbol))")
 
-_ALL = [f.name for f in FT.REGISTRY.select()] + [x.name for x in TG.REGISTRY.select()]
+_ALL = ALL_FEATS + [x.name for x in TG.REGISTRY.select()]
 query("label_dataset", "WITH {labelled_s}, p AS (SELECT timestamp, symbol, open, high, low, close, volume, "
       + ", ".join(_ALL) + " FROM labelled) " + rounded_sql("p", *_K))(
     lambda t: rounded(D.label_dataset(t.bars_s)))
@@ -40,6 +41,11 @@ def labelled(t):
     return D.label_dataset(t.bars_n, FEATS, [Y, R])
 
 
+def labelled_all(t):
+    """All features with both labels, for the models."""
+    return D.label_dataset(t.bars_n, ALL_FEATS, [Y, R])
+
+
 def dataset(t):
     return D.ModelingDataset.infer(labelled(t))
 
@@ -103,6 +109,22 @@ SELECT timestamp, symbol, CASE WHEN i < greatest(1, a - 5) THEN 'train' WHEN i >
 FROM bars_n JOIN c USING (timestamp)""")(
     lambda t: S.panel_split(t.bars_n.select("timestamp", "symbol"), gap=5))
 
+
+
+def _panel_fold(name, features):
+    """Complete rows of `labelled` with their fold on the common calendar of these rows."""
+    present = " AND ".join(f"{c} IS NOT NULL" for c in [*features, Y])
+    return f"""{name}_r AS (SELECT timestamp, symbol, {Y} AS y FROM labelled WHERE {present}),
+{name}_d AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT timestamp FROM {name}_r)),
+{name}_c AS (SELECT *, CAST(floor(n * 0.6::DOUBLE) AS BIGINT) AS a, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS z FROM {name}_d),
+{name} AS (SELECT r.*, CASE WHEN i < greatest(1, a - 5) THEN 'train' WHEN i >= z THEN 'test'
+  WHEN i >= a AND i < (CASE WHEN z - a > 5 THEN z - 5 ELSE z END) THEN 'validation' ELSE 'purged' END AS fold
+  FROM {name}_r r JOIN {name}_c USING (timestamp))"""
+
+
+SQL_PARTS["pfold"] = _panel_fold("pfold", FEATS)
+SQL_PARTS["pfold_all"] = _panel_fold("pfold_all", ALL_FEATS)
+
 WF = S.WalkForward(n_folds=3, min_train=120, gap=5)
 SQL_PARTS["wf"] = """tot AS (SELECT symbol, count(*) AS n FROM bars_n GROUP BY 1),
 sized AS (SELECT *, greatest(10, (n - 125) // 3) AS s FROM tot WHERE n >= 135),
