@@ -104,7 +104,7 @@ def round_cells(cells: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def mix(docs: DataFrame, weight=None, cap: float = CAP, source: str = "source", prior: Column | None = None, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) of every row of `docs`.
+    """(doc_id, source, size, source_size, target, rate, copies, taken, row_hash) of every row of `docs`.
 
     `size` is the text's number of white-space words; null and empty texts have none and
     take nothing. `weight` maps the number of a source (from 0, by code point, null last)
@@ -139,4 +139,20 @@ def mix(docs: DataFrame, weight=None, cap: float = CAP, source: str = "source",
     same = (F.col("_g") == F.col("_k_g")) & F.col("source").eqNullSafe(F.col("_ksource")) & (F.col("prior") == F.col("_kprior")) & (F.col("size") == F.col("_ksize"))
     ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_hash", "doc_id"))).join(groups, same)
     copies = (F.col("copies") + F.when(F.col("_r") <= F.col("_more"), 1).otherwise(0)).cast("long")
-    return ranked.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+                         F.col("_hash").alias("row_hash"))
+
+
+def mixture(docs: DataFrame, cap: float = CAP, seed: int = 0) -> DataFrame:
+    """The rows of the mix with the columns of `docs`; a document taken n times stands there n times.
+
+    Rows equal in id, source and text are one document: it stands there as often as its
+    rows are taken together, with the other columns of one of them.
+    """
+    same = ("doc_id", "source", "row_hash")
+    taken = mix(docs, cap=cap, seed=seed).filter("copies > 0").groupBy(F.struct(*same).alias("_same")).agg(F.sum("copies").alias("_copies"))
+    row_hash = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text_of())
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), row_hash.alias("row_hash"))
+    rows = docs.select(key.alias("_same"), F.struct("*").alias("_row")).dropDuplicates(["_same"])
+    joined = rows.join(taken, "_same").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return joined.select("_row.*")

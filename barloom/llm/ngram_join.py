@@ -261,14 +261,18 @@ def ngram_components(docs: DataFrame, words: int = 5, share: int = 80, id_col: s
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, share: int = 80) -> DataFrame:
-    """Keep one document of each component, the one with the least id, once.
+    """Keep one row of each component: the one with the least id, ids before none; of these one text.
 
-    Texts without words have no component and stay. A repeated row is kept once; rows
-    of one id with different texts stay if their id does. Documents without an id
-    stay only where nothing with an id is linked with them. All columns return.
+    Texts without words have no component and stay. Rows are told apart by the 64-bit
+    hash of id and text: a row repeated with both is kept once, one that repeats an id
+    with another text is judged by its own text. All columns return, whatever their names.
     """
-    found = ngram_components(docs, words, share)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_g_id")).distinct()
-    rows = docs.withColumns({"_g_id": key, "_g_text": F.xxhash64("text")})
-    return rows.join(keep, "_g_id", "left_semi").dropDuplicates(["_g_id", "_g_text"]).select(*docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    profiles, roots = linked_classes(docs.select(key.alias("doc_key"), "text"), words, share)
+    ids = docs.select(key.alias("doc_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")).distinct()
+    classes = profiles.select("doc_key", "n", "cls").distinct()
+    named = classes.filter("n > 0").join(roots, "cls", "left").join(ids, "doc_key")
+    heads = named.groupBy(F.coalesce("root", "cls").alias("top")).agg(F.min(F.struct("id", "doc_key")).alias("head"))
+    keep = heads.select("head.doc_key").unionByName(classes.filter("n = 0").select("doc_key"))
+    rows = docs.select(key.alias("doc_key"), F.struct("*").alias("row"))
+    return rows.join(keep, "doc_key", "left_semi").dropDuplicates(["doc_key"]).select("row.*")

@@ -433,6 +433,28 @@ def test_one_of_each_group_stays(docs):
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(i for i, (_, top) in brute.items() if i == top)
 
 
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    """Every row is judged by its own text, whatever its id."""
+    base, other = "one two three four five six seven eight nine ten", "a b c d e f g h i j k l"
+    rows = [(1, base), (1, other), (2, base), (None, base), (None, other), (None, "alone is this text here now"), (3, other), (3, other),
+            (None, ""), (4, None), (4, None), (None, "alone is this text here now")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, doc_key string")
+    kept = ngram_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [
+        (1, base), (1, other), (None, "alone is this text here now"), (None, ""), (4, None)]))
+
+
+def test_mixture_takes_repeated_rows_together(spark):
+    """The words of every source in the mixture are those that `mix` takes, with repeated rows and ids, null sources and clashing names."""
+    rows = [(i % 40, "w " * (3 + i % 5), f"s{i % 3}" if i % 7 else None, "x") for i in range(300)] + [(7, "same text here", "s1", "y")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    want = {r[0]: r[1] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken")).collect()}
+    out = mixing.mixture(docs)
+    got = {r[0]: r[1] for r in out.groupBy("source").agg(F.sum(mixing.word_count(mixing.text_of()))).collect()}
+    assert out.columns == docs.columns and got == want
+
+
 # --- all together
 
 def test_odd_rows_and_empty_tables(docs, empty):
@@ -458,4 +480,4 @@ def test_pipeline_stages(spark, docs):
 
 
 def test_queries_are_registered():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 14)]
