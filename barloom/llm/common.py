@@ -53,6 +53,8 @@ class Scratch:
         df.write.parquet(f"{self.home}/{name}")
         out = self.spark.read.schema(df.schema).parquet(f"{self.home}/{name}")
         # Shuffle files of finished steps go when the driver's garbage does; with a roomy heap that can be never.
+        # A plan that is still named here would keep its own until the next step.
+        del df
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return out

@@ -119,32 +119,61 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "n", "keys").mapInArrow(unpack, "t long, pos int, cls long, n long")
 
 
+def _fewest(share: int):
+    """How many prefix keys the class shares with any link of its, by its size `n`."""
+    return F.floor(F.ceil(F.col("n") * share / 100) / SLICE) + 1
+
+
 def _shared(classes: DataFrame, share: int, scratch: Scratch) -> DataFrame:
-    """(t, b, pos, cls, n, mine, df): prefix keys that `df` > 1 classes of a size bucket have.
+    """(t, pos, cls, n, own, df_own, df_next): prefix keys that several classes of about the same size have.
 
     The smaller of two linked sets has `share` percent of the larger at least, so they lie in
-    one bucket or in neighbours; a class stands in its own bucket (`mine`) and in the next, where
-    it meets only those whose own that is. A prefix is
+    one size bucket or in neighbours; a class stands in its bucket `own` and in the next, where
+    it meets only those whose own that is. `df_own` and `df_next` count the classes
+    that a key has in either; null where the class has no link under the key there. A prefix is
     longer by n / `SLICE` keys than one shared key would need; so linked sets share
     as many more, by the smaller one's size, and a class with fewer shared keys has no link.
     """
     postings = _postings(classes)
     # Most keys stand alone. Those that do not are written first, so that the shuffle of the counts is gone when postings move.
     repeated = scratch.write(postings.groupBy("t").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("t"), "repeated")
-    twice = postings.join(repeated, "t")
     width = float(np.log(100 / share) * 1.0001) if share < 100 else 1e-9
-    own = F.floor(F.log("n") / width)
-    left = twice.withColumn("b", F.explode(F.array(own, own + 1))).withColumn("mine", (F.col("b") == own).cast("int"))
-    fewest = F.floor(F.ceil(F.col("n") * share / 100) / SLICE) + 1
+    left = scratch.write(postings.join(repeated, "t").select(
+        "t", "pos", "cls", "n", F.floor(F.log("n") / width).alias("own"), F.lit(0).cast("long").alias("df_own"),
+        F.lit(0).cast("long").alias("df_next")), "twice")
+    scratch.drop("repeated")
+    none = F.lit(None).cast("long")
     for number in range(2):
-        groups = left.groupBy("t", "b").agg(F.count(F.lit(1)).alias("df"), F.max("mine").alias("_m")).filter("df > 1 and _m = 1").drop("_m")
-        left = left.select("t", "b", "pos", "cls", "n", "mine").join(groups, ["t", "b"])
-        enough = left.groupBy("cls", "b").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n")).filter(F.col("_c") >= fewest)
-        left = scratch.write(left.join(enough.select("cls", "b"), ["cls", "b"]), f"shared-{number}")
-        scratch.drop("repeated" if number == 0 else "shared-0")
+        # Counted by own bucket, then laid into both: few rows move for a key that many classes have.
+        counts = left.groupBy("t", "own").agg(F.count("df_own").alias("_o"), F.count("df_next").alias("_x"))
+        groups = counts.select("t", F.inline(F.array(
+            F.struct(F.col("own").alias("b"), F.col("_o").alias("_c"), (F.col("_o") > 0).alias("_m")),
+            F.struct((F.col("own") + 1).alias("b"), F.col("_x").alias("_c"), F.lit(False).alias("_m"))))).groupBy("t", "b").agg(
+            F.sum("_c").alias("df"), F.max("_m").alias("_m")).filter("df > 1 and _m")
+        sizes = groups.select("t", F.inline(F.array(
+            F.struct(F.col("b").alias("own"), F.col("df").alias("_o"), none.alias("_x")),
+            F.struct((F.col("b") - 1).alias("own"), none.alias("_o"), F.col("df").alias("_x"))))).groupBy("t", "own").agg(
+            F.max("_o").alias("_o"), F.max("_x").alias("_x"))
+        found = left.join(sizes, ["t", "own"]).select(
+            "t", "pos", "cls", "n", "own", F.when(F.col("df_own").isNotNull(), F.col("_o")).alias("df_own"),
+            F.when(F.col("df_next").isNotNull(), F.col("_x")).alias("df_next")).filter("df_own is not null or df_next is not null")
+        enough = found.groupBy("cls").agg(F.count("df_own").alias("_o"), F.count("df_next").alias("_x"), F.first("n").alias("n")).select(
+            "cls", (F.col("_o") >= _fewest(share)).alias("_o"), (F.col("_x") >= _fewest(share)).alias("_x")).filter("_o or _x")
+        left = scratch.write(found.join(enough, "cls").select(
+            "t", "pos", "cls", "n", "own", F.when(F.col("_o"), F.col("df_own")).alias("df_own"),
+            F.when(F.col("_x"), F.col("df_next")).alias("df_next")).filter("df_own is not null or df_next is not null"), f"shared-{number}")
+        scratch.drop("twice" if number == 0 else "shared-0")
     return left
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """One row (b, mine, df) for each size bucket in which a row of `_shared` still counts."""
+    buckets = F.filter(F.array(
+        F.struct(F.col("own").alias("b"), F.lit(1).alias("mine"), F.col("df_own").alias("df")),
+        F.struct((F.col("own") + 1).alias("b"), F.lit(0).alias("mine"), F.col("df_next").alias("df"))), lambda x: x["df"].isNotNull())
+    return rows.select(*[c for c in rows.columns if c not in ("own", "df_own", "df_next")], F.inline(buckets))
+
+
 def _meet(rows: DataFrame, share: int, first: bool, merge: bool) -> DataFrame:
     """Hits (a, b, t, bucket) among the sets (t, b, i, j, cls, root, n, keys) of each (t, b, i, j)."""
     def walk(batches):
@@ -173,11 +202,20 @@ def _blocked(rows: DataFrame, members: str) -> DataFrame:
         "*", "_p.i", "_p.j").drop("_n", "_own", "_p")
 
 
-def _open(shared: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """`shared` with the component of each class, and the keys (t, b, m, least) under which several components meet."""
-    rooted = scratch.write(shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), name)
-    return rooted, rooted.groupBy("t", "b").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("m"), F.max("mine").alias("_m"), F.min("n").alias("least")).filter(
-        "_a < _b and _m = 1").select("t", "b", "m", "least")
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """`rows` with the component of each class."""
+    return rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _open(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows under keys (t, b) where several components meet, `m` rows of size `least` or more.
+
+    Components only grow, so the other keys are done for good.
+    """
+    keys = rows.groupBy("t", "b").agg(
+        F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("m"), F.max("mine").alias("_m"),
+        F.min("n").alias("least")).filter("_a < _b and _m = 1").select("t", "b", "m", "least")
+    return scratch.write(rows.join(keys, ["t", "b"]).select("t", "b", "pos", "cls", "n", "mine", "root", "m", "least"), name)
 
 
 def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame, DataFrame]:
@@ -200,13 +238,15 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
     scratch.drop("classes")
 
     ahead = Window.partitionBy("cls").orderBy("t", "b")
-    near = shared.withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= FIRST_KEYS).select(
+    near = _bucketed(shared).withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= FIRST_KEYS).select(
         "t", "b", "cls", "n", F.col("cls").alias("root"), F.lit(0).alias("i"),
         F.pmod(F.xxhash64("cls"), F.ceil(F.col("df") / BLOCK)).cast("int").alias("j"))
     edges = scratch.write(_meet(near.join(sets, "cls"), share, False, True).select("a", "b"), "edges")
+    met = _bucketed(_rooted(shared, components(edges)))
     for number in range(ROUNDS):
-        rooted, open_keys = _open(shared, components(edges), scratch, f"rooted-{number}")
-        one = rooted.join(open_keys, ["t", "b"]).groupBy("t", "b", "root").agg(F.min_by(F.struct("cls", "n"), "cls").alias("r"))
+        met = _open(met, scratch, f"open-{number}")
+        scratch.drop("shared-1" if number == 0 else f"open-{number - 1}")
+        one = met.groupBy("t", "b", "root").agg(F.min_by(F.struct("cls", "n"), "cls").alias("r"))
         ahead = Window.partitionBy("root").orderBy("t", "b")
         heads = scratch.write(one.withColumn("_k", F.row_number().over(ahead)).filter(F.col("_k") <= ROUND_KEYS).select(
             "t", "b", "r.cls", "r.n", "root"), f"heads-{number}")
@@ -215,15 +255,21 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
         heads = heads.join(members, ["t", "b"]).select(
             "t", "b", "cls", "n", "root", F.lit(0).alias("i"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("_m") / BLOCK)).cast("int").alias("j"))
         edges = edges.union(scratch.write(_meet(heads.join(sets, "cls"), share, False, True).select("a", "b"), f"edges-{number}"))
-        scratch.drop(f"rooted-{number}", f"heads-{number}")
-
-    rooted, open_keys = _open(shared, components(edges), scratch, "rooted")
-    scratch.drop("shared-1")
+        scratch.drop(f"heads-{number}")
+        met = _rooted(met.drop("root", "m", "least"), components(edges))
+
+    met = _open(met, scratch, "open")
+    scratch.drop(f"open-{ROUNDS - 1}")
+    # All keys that two unjoined links share are open, `_fewest` at least; the first one leaves as many behind it in both.
+    # A class with fewer open keys has no link left, and its last keys are no pair's first.
+    own = Window.partitionBy("cls", "b")
+    met = met.repartition("cls").withColumns({"_c": F.count(F.lit(1)).over(own), "_k": F.row_number().over(own.orderBy("t"))}).filter(
+        F.col("_k") <= F.col("_c") - _fewest(share) + 1)
     # Keys before the first shared one are lost for an overlap; a class that has too many of them,
     # even for the smallest partner under the key, has its first shared key elsewhere.
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * share / 100))
     early = F.col("pos") <= F.col("n") - F.ceil(share * (F.col("n") + partner) / (100 + share)) + 1
-    left = _blocked(rooted.join(open_keys, ["t", "b"]).filter(early), "m").select("t", "b", "i", "j", "cls", "root", "n")
+    left = _blocked(met.filter(early), "m").select("t", "b", "i", "j", "cls", "root", "n")
     size = (F.length("keys") / 8).cast("long")
     prefix = size - F.ceil(size * share / 100) + F.floor(size / SLICE) + 1
     begun = left.join(sets.select("cls", F.substring("keys", F.lit(1), (8 * prefix).cast("int")).alias("keys")), "cls")
@@ -231,7 +277,7 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
     again = maybe.select("t", F.col("bucket").alias("b"), F.col("a").alias("cls")).union(maybe.select("t", "bucket", "b")).distinct()
     late = _meet(left.join(again, ["t", "b", "cls"], "left_semi").join(sets, "cls"), share, True, True).select("a", "b")
     links = scratch.write(edges.union(late).distinct(), "links")
-    scratch.drop("sets", "maybe", "rooted", "edges", *(f"edges-{number}" for number in range(ROUNDS)))
+    scratch.drop("sets", "maybe", "open", "edges", *(f"edges-{number}" for number in range(ROUNDS)))
     roots = components(links).select(F.col("node").alias("cls"), "root")
     scratch.drop("links")
     return ids_of, roots
