@@ -1,9 +1,9 @@
 """Data-quality rules over raw or typed bars.
 
 All row rules are columns of one plan that emits a long table of findings. The
-two order-dependent rules (earlier than the previous row, calendar gap) look at
-the previous valid row of the symbol through `panel.running`; the duplicate
-rule compares with the first sequence number of its key.
+rules that look at other rows (earlier than the previous row, calendar gap, key
+seen before) go through the same plan: records are read and parsed once, dealt
+by (symbol, block), and what a block can't know by itself is handed on in narrow rows.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.operators.normalize import ZONED, parse_time
-from barloom.panel import running
 from barloom.schema import CANONICAL, NUMERIC, PRICES, require_columns, unexpected_columns
 
 ERROR, WARNING = "error", "warning"
 GAP_DAYS, GAP_WEEKDAYS, RANGE_SLACK_DAYS = 4, 3, 7
+FAULTY_PARTS = 1024   # groups that rows without a readable key are dealt to
 
 
 def schema_issues(df: DataFrame) -> list[tuple[str, str, str]]:
@@ -97,39 +97,63 @@ def row_findings(raw: DataFrame, expected_symbol: str | None = None) -> DataFram
         F.inline(F.array_compact(F.array(*_row_rules(raw, expected_symbol)))))
 
 
-def find_issues(raw: DataFrame, block: Column, seq: str = "row_seq",
-                expected_symbol: str | None = None) -> DataFrame:
-    """All findings, one row each: seq, symbol, timestamp, code, severity, field, message.
-
-    `seq` is the input order, unique over the data; `block` cuts it into ranges
-    of bounded size.
-    """
-    typed = _typed(require_columns(raw)).withColumns({
-        "_who": F.coalesce(F.upper(F.trim("symbol")), F.lit("")),
-        "_valid_ts": F.when(F.col("_ok"), F.col("_ts")),
-        # Never null, so no null filter is inferred that would parse the row again.
-        "_at": F.coalesce(F.when(F.col("_ok"), F.col("_ts")), F.lit("0001-01-01").cast("timestamp")),
-    })
-    ordered = running(typed, ["_who"], [seq], block, {"_prev": ("prev", "_valid_ts")})
-    firsts = typed.groupBy("_who", "_at").agg(F.min(seq).alias("_first"))
-    staged = ordered.join(firsts, ["_who", "_at"], "left")
-    ok, ts, prev = F.col("_ok"), F.col("_ts"), F.col("_prev")
+def _order_rules(ts: Column, prev: Column) -> list[Column]:
+    """Findings of a valid row against the valid row before it; none without one."""
     days = F.datediff(ts, prev)
     business = weekdays_before(F.to_date(ts)) - weekdays_before(F.date_add(F.to_date(prev), 1))
-    ordered_rules = [
-        _finding(ok & (ts < prev), "ERR_UNSORTED_TIMESTAMPS", ERROR, "timestamp",
-                 "earlier than the previous row"),
-        _finding(ok & (ts > prev) & (days > GAP_DAYS) & (business >= GAP_WEEKDAYS),
+    return [
+        _finding(ts < prev, "ERR_UNSORTED_TIMESTAMPS", ERROR, "timestamp", "earlier than the previous row"),
+        _finding((ts > prev) & (days > GAP_DAYS) & (business >= GAP_WEEKDAYS),
                  "WARN_TRADING_SESSION_GAP", WARNING, "timestamp",
                  F.concat(days.cast("string"), F.lit(" calendar days, "),
                           business.cast("string"), F.lit(" business days"))),
-        _finding(ok & (F.col(seq) > F.col("_first")), "ERR_DUPLICATE_TIMESTAMP", ERROR,
-                 "timestamp", "key was seen before"),
     ]
-    rules = _row_rules(raw, expected_symbol) + ordered_rules
-    return staged.select(
-        F.col(seq).alias("row_seq"), "symbol", F.col("_ts").alias("timestamp"),
-        F.inline(F.array_compact(F.array(*rules))))
+
+
+def find_issues(raw: DataFrame, block: Column, seq: str = "row_seq",
+                expected_symbol: str | None = None) -> DataFrame:
+    """All findings, one row each: seq, symbol, timestamp, code, severity, field, message.
+
+    `seq` is the input order, unique over the data; `block` cuts it into ranges
+    of bounded size. Each record is read and parsed once. Inside (symbol, block) a row sees the
+    row before it and earlier rows of its timestamp. A block's first and last row
+    meet those of the symbol's other blocks, and the first row of a timestamp in a block meets
+    that of other blocks, so a key repeated any number of times is one row per block there.
+    Rows without a readable key take no part in either and are dealt by their number.
+    """
+    def dealt(number):
+        return F.pmod(F.xxhash64(number), F.lit(FAULTY_PARTS)).cast("int")
+
+    rows = _typed(require_columns(raw)).select(
+        F.col(seq).alias("row_seq"), "symbol", F.col("_ts"), "_ok",
+        F.when(F.col("_ok"), F.upper(F.trim("symbol"))).alias("_who"),
+        F.when(F.col("_ok"), F.lit(-1)).otherwise(dealt(seq)).alias("_part"), block.alias("_blk"),
+        F.array_compact(F.array(*_row_rules(raw, expected_symbol))).alias("_found"))
+    place = ["_who", "_part", "_blk"]
+    inside = Window.partitionBy(*place).orderBy("row_seq")
+    local = rows.withColumns({"_prev": F.lag("_ts").over(inside), "_last": F.lead("row_seq").over(inside).isNull()}).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(*place, "_ts").orderBy("row_seq")))
+
+    def duplicate(when):
+        return _finding(when, "ERR_DUPLICATE_TIMESTAMP", ERROR, "timestamp", "key was seen before")
+
+    def onward(who, at, part, start, found):
+        return F.struct(who.alias("_who"), at.alias("_at"), part.alias("_part"), start.alias("_start"), found.alias("_found"))
+
+    ok, ts, prev, first = F.col("_ok"), F.col("_ts"), F.col("_prev"), F.col("_rank") == 1
+    here = F.concat("_found", F.array_compact(F.array(*[F.when(ok, r) for r in (*_order_rules(ts, prev), duplicate(~first))])))
+    no, asks = F.lit(None), ok & first
+    own = F.when(asks | (F.size(here) > 0), onward(
+        F.when(asks, F.col("_who")), F.when(asks, ts), F.when(asks, F.lit(-1)).otherwise(dealt("row_seq")), F.lit(False), here))
+    edge = F.when(ok & (prev.isNull() | F.col("_last")), onward(
+        F.col("_who"), no.cast(rows.schema["_ts"].dataType), F.lit(-1), prev.isNull(), F.slice("_found", 1, 0)))
+    passed = local.select("row_seq", "symbol", "_ts", F.inline(F.array_compact(F.array(own, edge))))
+    before = F.lag("_ts").over(Window.partitionBy("_who", "_at", "_part").orderBy("row_seq"))
+    met = passed.withColumn("_before", before)
+    seen = F.col("_before").isNotNull() & F.col("_who").isNotNull()
+    across = [F.when(F.col("_start") & seen, r) for r in _order_rules(ts, F.col("_before"))] + [duplicate(seen & F.col("_at").isNotNull())]
+    return met.select("row_seq", "symbol", F.col("_ts").alias("timestamp"),
+                      F.inline(F.concat("_found", F.array_compact(F.array(*across)))))
 
 
 def invalid_records(raw: DataFrame, column: str = "_corrupt_record") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -73,6 +74,52 @@ def test_each_fault_gives_its_codes(spark, name, codes, width):
         assert len(got) == 1 and got[0].message == "14 calendar days, 9 business days"
 
 
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_findings_read_and_parse_the_records_once(spark, tmp_path):
+    spark.createDataFrame(_fault("gap"), RAW).write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    found = Q.find_issues(raw, F.floor(F.col("row_seq") / 3))
+    assert _scans(found) == 1 and _scans(Q.summary(found)) == 1
+    assert _scans(Q.quarantine(raw, found)[0]) == 2  # the rows themselves once more
+
+
+@pytest.mark.parametrize("width", [1, 7, 10_000])
+def test_order_rules_equal_a_plain_loop(spark, width):
+    """Hot symbol, repeated keys, faulty rows and blocks that a symbol leaves out."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        symbol = rng.choice(["spy", " SPY", "SPY ", "B", "C", None])
+        day = f"2024-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T00:00:00Z" if rng.random() < 0.6 else "2024-03-01T00:00:00Z"
+        rows.append([i, rng.choice([day, day, day, "never", None]), symbol, rng.choice(["100", "100", "x"]), "102", "99", "101", "5"])
+    want, last, seen = set(), {}, set()
+    for i, day, symbol, price, *_ in rows:
+        if symbol is None or day in (None, "never") or price == "x":
+            continue
+        who, at = symbol.strip().upper(), datetime.fromisoformat(day)
+        before = last.get(who)
+        if before and at < before:
+            want.add((i, "ERR_UNSORTED_TIMESTAMPS"))
+        if before and (at - before).days > 4:
+            between = sum((before + timedelta(days=d)).weekday() < 5 for d in range(1, (at - before).days))
+            if between >= 3:
+                want.add((i, "WARN_TRADING_SESSION_GAP"))
+        if (who, at) in seen:
+            want.add((i, "ERR_DUPLICATE_TIMESTAMP"))
+        last[who] = at
+        seen.add((who, at))
+    found = Q.find_issues(spark.createDataFrame(rows, RAW), F.floor(F.col("row_seq") / width)).filter(
+        F.col("code").isin("ERR_UNSORTED_TIMESTAMPS", "WARN_TRADING_SESSION_GAP", "ERR_DUPLICATE_TIMESTAMP")).collect()
+    assert len(found) == len(want) and {(r.row_seq, r.code) for r in found} == want
+
+
+def test_findings_of_an_empty_table(spark):
+    assert Q.find_issues(spark.createDataFrame([], RAW), F.lit(0)).count() == 0
+
+
 def test_schema_issues_and_unexpected_symbol(spark):
     df = spark.createDataFrame(base(), RAW)
     assert ("ERR_MISSING_COLUMN", "error", "close") in Q.schema_issues(df.drop("close"))
