@@ -114,8 +114,8 @@ def find_issues(raw: DataFrame, block: Column, seq: str = "row_seq",
                 expected_symbol: str | None = None) -> DataFrame:
     """All findings, one row each: seq, symbol, timestamp, code, severity, field, message.
 
-    `seq` is the input order, unique over the data; `block` cuts it into ranges
-    of bounded size. Each record is read and parsed once. Inside (symbol, block) a row sees the
+    `seq` is the input order; rows of a symbol that share a number stand in the order of
+    their timestamps. `block` cuts it into ranges of bounded size. Each record is read and parsed once. Inside (symbol, block) a row sees the
     row before it and earlier rows of its timestamp. A block's first and last row
     meet those of the symbol's other blocks, and the first row of a timestamp in a block meets
     that of other blocks, so a key repeated any number of times is one row per block there.
@@ -130,7 +130,7 @@ def find_issues(raw: DataFrame, block: Column, seq: str = "row_seq",
         F.when(F.col("_ok"), F.lit(-1)).otherwise(dealt(seq)).alias("_part"), block.alias("_blk"),
         F.array_compact(F.array(*_row_rules(raw, expected_symbol))).alias("_found"))
     place = ["_who", "_part", "_blk"]
-    inside = Window.partitionBy(*place).orderBy("row_seq")
+    inside = Window.partitionBy(*place).orderBy("row_seq", "_ts")
     local = rows.withColumns({"_prev": F.lag("_ts").over(inside), "_last": F.lead("row_seq").over(inside).isNull()}).withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*place, "_ts").orderBy("row_seq")))
 
@@ -148,7 +148,7 @@ def find_issues(raw: DataFrame, block: Column, seq: str = "row_seq",
     edge = F.when(ok & (prev.isNull() | F.col("_last")), onward(
         F.col("_who"), no.cast(rows.schema["_ts"].dataType), F.lit(-1), prev.isNull(), F.slice("_found", 1, 0)))
     passed = local.select("row_seq", "symbol", "_ts", F.inline(F.array_compact(F.array(own, edge))))
-    before = F.lag("_ts").over(Window.partitionBy("_who", "_at", "_part").orderBy("row_seq"))
+    before = F.lag("_ts").over(Window.partitionBy("_who", "_at", "_part").orderBy("row_seq", "_ts", F.desc("_start")))
     met = passed.withColumn("_before", before)
     seen = F.col("_before").isNotNull() & F.col("_who").isNotNull()
     across = [F.when(F.col("_start") & seen, r) for r in _order_rules(ts, F.col("_before"))] + [duplicate(seen & F.col("_at").isNotNull())]
@@ -206,7 +206,10 @@ def report(findings: DataFrame, rows: int = 10) -> DataFrame:
 
 
 def quarantine(raw: DataFrame, findings: DataFrame, seq: str = "row_seq"):
-    """(clean rows, offending rows); warnings do not quarantine."""
+    """(clean rows, offending rows); warnings do not quarantine.
+
+    `seq` is all that names a row, so rows that share a number are clean or offending together.
+    """
     offending = findings.filter(F.col("severity") == ERROR).select(
         F.col("row_seq").alias(seq)).distinct()
     return raw.join(offending, seq, "left_anti"), raw.join(offending, seq, "left_semi")

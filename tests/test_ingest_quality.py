@@ -1,12 +1,14 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import normalize as N
 from barloom.operators import quality as Q
 from barloom.panel import running
+from barloom.plans import ORACLES, QUERIES
 from barloom.sources import catalog as C
 from barloom.sources import readers as R
 from barloom.sources import writers as W
@@ -116,6 +118,35 @@ def test_order_rules_equal_a_plain_loop(spark, width):
     assert len(found) == len(want) and {(r.row_seq, r.code) for r in found} == want
 
 
+@pytest.mark.parametrize("width", [1, 4, 10_000])
+def test_rows_of_one_number_stand_in_time_order(spark, width):
+    """Whatever order they arrive in, and also where they are the first or last of a block."""
+    times = {0: [5], 1: [20, 3, 3], 4: [30, 30], 5: [9, 2], 8: [28, 28, 1]}
+    rows = [[i, f"2024-01-{d:02d}T00:00:00Z", "SPY", "100", "102", "99", "101", "5"] for i, days in times.items() for d in days]
+    ordered = [(i, d) for i, days in times.items() for d in sorted(days)]
+    want = sorted((i, d) for (_, before), (i, d) in zip(ordered, ordered[1:]) if d < before)
+    for given in (rows, rows[::-1]):
+        found = Q.find_issues(spark.createDataFrame(given, RAW), F.floor(F.col("row_seq") / width)).collect()
+        assert sorted((r.row_seq, r.timestamp.day) for r in found if r.code == "ERR_UNSORTED_TIMESTAMPS") == want
+        assert sum(r.code == "ERR_DUPLICATE_TIMESTAMP" for r in found) == 3
+
+
+def test_quality_queries_equal_their_sql_where_line_items_share_a_number(spark, tmp_path):
+    """Other part and supplier, or part and day, and yet the same number."""
+    rows = [(o, p + dp, s + ds, 1 + o % 3, 2.0, 20.0, datetime(2000, 1, 1) + timedelta(days=o * 7 % 300 + dd))
+            for o in range(300) for p, s in [(10 + o % 2, 1010 + o % 4)]
+            for dp, ds, dd in [(0, 0, 0)] + [(9176, -1009, 0)] * (o % 3 == 0) + [(1, 0, -1009)] * (o % 4 == 0)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                          "l_extendedprice double, l_shipdate timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("dq_findings", "dq_report", "dq_summary", "dq_warn_trading_session_gap", "quarantine", "quarantine_offenders",
+                 "code_counts", "dq_err_duplicate_timestamp", "dq_err_unexpected_symbol", "dq_err_unsorted_timestamps"):
+        mine = QUERIES[name](spark, str(tmp_path))
+        got = sorted(repr(tuple(r)) for r in mine.collect())
+        assert got == sorted(repr(r) for r in db.execute(f"SELECT {', '.join(mine.columns)} FROM ({ORACLES[name]})").fetchall()), name
+
+
 def test_findings_of_an_empty_table(spark):
     assert Q.find_issues(spark.createDataFrame([], RAW), F.lit(0)).count() == 0
 
