@@ -1,5 +1,8 @@
 import math
+import random
+import re
 import statistics
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import Window
@@ -9,7 +12,7 @@ from barloom.functions import features as FT
 from barloom.functions import targets as TG
 from barloom.functions.indicators import candles
 from barloom.operators.dataset import ModelingDataset, label_dataset
-from barloom.panel import CHUNK_ROWS
+from barloom.panel import CHUNK_ROWS, open_frame
 
 
 def near(got, want, tol=1e-9):
@@ -221,3 +224,27 @@ def test_ema_is_exact_over_many_blocks(bars, column, span):
     for c, g in zip(closes, got, strict=True):
         value = value if c is closes[0] else alpha * c + (1 - alpha) * value
         assert abs(g - value) < 1e-9
+
+
+def test_long_frames_are_put_together_from_frames_of_ten(spark):
+    """The same values as plain frames, missing ones and long flat stretches included; no frame over 21 bars in the plan."""
+    rng = random.Random(3)
+    rows = [(datetime(2024, 1, 1) + timedelta(days=i), s, None if rng.random() < 0.1 or (s == "B" and 20 < i < 45) else
+             0.1 if s == "C" else rng.uniform(-1, 1) * 10 ** rng.randint(0, 6)) for s in "ABC" for i in range(150)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, symbol string, x double")
+    frame = open_frame(df, 61)
+    b = FT.Builder(frame)
+    got = {f"{kind}_{k}": b.roll(kind, "x", k, 2 if kind == "std" else 1) for kind in ("avg", "std", "max", "min") for k in (10, 20, 50, 60)}
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    aggs = {"avg": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
+    want = {f"w_{n}": F.when(F.col("n") >= int(n[4:]), aggs[n[:3]]("x").over(w.rowsBetween(1 - int(n[4:]), 0))) for n in got}
+    both = b.apply(frame.df).select("symbol", "timestamp", "n", "x", *[c.alias(n) for n, c in got.items()]).withColumns(want).collect()
+    for r in both:
+        for n in got:
+            assert (r[n] is None) == (r["w_" + n] is None)
+            assert r[n] is None or r[n] == pytest.approx(r["w_" + n], rel=1e-9, abs=1e-12)
+            assert r.symbol != "C" or n[:3] != "std" or not r[n]
+    plan = FT.compute_features(df.select("timestamp", "symbol", *[F.col("x").alias(c) for c in ("open", "high", "low", "close", "volume")]))
+    frames = re.findall(r"RowFrame, -(\d+), currentrow", plan._jdf.queryExecution().executedPlan().toString())
+    assert frames and max(map(int, frames)) == 20
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
