@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+import uuid
+
+import _hashlib
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.normalize import latest_per_key
 from barloom.schema import SCHEMA_VERSION
+from barloom.session import checkpoint_dir, importable
+
+HASH_STEP = 128 << 20      # bytes of a file that one task hashes before it hands the state on
+HASH_PIECE = 1 << 20       # bytes of a row of file content
+BOM = b"\xef\xbb\xbf"
+# Spark's readers of lines decompress files with these endings.
+COMPRESSED = r"\.(gz|bz2|deflate|lz4|lzo|snappy|zst|zstd)$"
 
 
 def bars_by_symbol(bars: DataFrame) -> DataFrame:
@@ -37,11 +50,102 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
             .select("path", "modificationTime", "length"))
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length",
-        F.sha2("content", 256).alias("sha256"))
+class Sha256:
+    """SHA-256 whose inner state can be kept as bytes and taken up in another process.
+
+    hashlib hides the state; this is the same function of the library that hashlib is linked with.
+    """
+
+    def __init__(self, state: bytes | None = None):
+        self.lib = ctypes.CDLL(_hashlib.__file__)
+        self.own = ctypes.create_string_buffer(state, 112) if state else ctypes.create_string_buffer(112)
+        if not state:
+            self.lib.SHA256_Init(self.own)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.own, data, ctypes.c_size_t(len(data)))
+
+    @property
+    def state(self) -> bytes:
+        return self.own.raw
+
+    def hexdigest(self) -> str:
+        out, copy = ctypes.create_string_buffer(32), ctypes.create_string_buffer(self.state, 112)
+        self.lib.SHA256_Final(out, copy)
+        return out.raw.hex()
+
+
+def _pieces(batches):
+    """Rows (path, size, at, value) of lines in file order as rows (path, size, at, no, content) of about `HASH_PIECE` bytes."""
+    here, held, n, no = None, [], 0, 0
+
+    def row():
+        values = [[here[0]], [here[1]], [here[2]], [no], [b"\n".join([*held, b""])]]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["path", "size", "at", "no", "content"])
+
+    for batch in batches:
+        for *place, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and (place != here or n >= HASH_PIECE):
+                yield row()
+                held, n, no = [], 0, no + 1 if place == here else 0
+            here = place
+            held.append(value)
+            n += len(value) + 1
+    if held:
+        yield row()
+
+
+def _advance(rows: pa.Table) -> pa.Table:
+    """Pieces (path, size, total, state, seen, at, no, content) of one path, in any order, as one row (path, state, seen, sha256)."""
+    path, size, total, state, seen = (rows.column(c)[0].as_py() for c in ("path", "size", "total", "state", "seen"))
+    hasher, seen = Sha256(state), seen or 0
+    if state is None and size - total >= len(BOM) - 1:      # readers of lines leave the mark out
+        hasher.update(BOM)
+        seen = len(BOM)
+    for _, _, i in sorted(zip(rows.column("at").to_pylist(), rows.column("no").to_pylist(), range(len(rows)), strict=True)):
+        content = rows.column("content")[i].as_py()[:size - seen]            # the last line may have no end
+        hasher.update(content)
+        seen += len(content)
+    return pa.Table.from_pylist([{"path": path, "state": hasher.state, "seen": seen, "sha256": hasher.hexdigest()}])
+
+
+def file_fingerprints(spark: SparkSession, path: str, step: int = HASH_STEP) -> DataFrame:
+    """SHA-256 per file, of any size; Spark's readers leave empty files out.
+
+    The hash of a file can only be taken from its start to its end. Files are split at line feeds by Spark's reader
+    and laid into the shared folder in pieces; then, `step` bytes of each file at a time, tasks take up the state
+    of the hash where others left it. So no task reads a whole file; the steps of one file follow one another.
+    Only a stretch without any line feed is one row. Compressed files are read whole (2 GB at most).
+    """
+    importable(spark)
+    own = F.col("_metadata.file_path").alias("path")
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    whole = spark.read.format("binaryFile").load(path)
+    home = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    lines = spark.read.text(path, lineSep="\n").select(
+        own, F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("at"),
+        F.col("value").cast("binary").alias("value")).filter(~F.col("_metadata.file_path").rlike(COMPRESSED))
+    laid = "path string, size long, at long, no int, content binary"
+    lines.mapInArrow(_pieces, laid).withColumn("step", F.floor(F.col("at") / step).cast("int")).write.partitionBy("step").parquet(f"{home}/pieces")
+    pieces = spark.read.schema(f"{laid}, step int").parquet(f"{home}/pieces")
+    states = "path string, state binary, seen long, sha256 string"
+    totals = pieces.groupBy("path").agg(F.sum(F.length("content")).alias("total"))
+    reached = spark.createDataFrame([], states)
+    for k in range((pieces.agg(F.max("step")).first()[0] or 0) + 1):
+        due = pieces.filter(F.col("step") == k).join(totals, "path").join(reached.select("path", "state", "seen"), "path", "left")
+        due.groupBy("path").applyInArrow(_advance, states).write.parquet(f"{home}/states/{k}")
+        reached = spark.read.schema(states).parquet(*[f"{home}/states/{i}" for i in range(k + 1)]).groupBy("path").agg(
+            F.max_by(F.struct("state", "seen", "sha256"), "seen").alias("r")).select("path", "r.*")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{home}/pieces")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    files = whole.select(name, own.alias("_of"), "length").filter(~F.col("_of").rlike(COMPRESSED))
+    # Only a file of the mark alone has no line.
+    digest = F.when(F.col("length") == F.col("seen"), F.col("sha256")).when(
+        F.col("seen").isNull() & (F.col("length") == len(BOM)), hashlib.sha256(BOM).hexdigest())
+    hashed = files.join(reached, F.col("_of") == F.col("path"), "left").select("file", "length", digest.otherwise(
+        F.raise_error(F.concat(F.lit("file changed while it was read: "), "file"))).alias("sha256"))
+    return hashed.unionAll(whole.filter(F.col("_metadata.file_path").rlike(COMPRESSED)).select(name, "length", F.sha2("content", 256).alias("sha256")))
 
 
 def list_datasets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
