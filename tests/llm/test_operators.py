@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import bpe, interleave, lexicon, licenses, line_frequency, mixing, ngram_join, order_minhash, pseudonyms, rollups, urls
+from barloom.llm import bpe, common, components, interleave, lexicon, licenses, line_frequency, mixing, ngram_join, order_minhash, pseudonyms, rollups, urls
 from barloom.llm.common import importable
 from barloom.llm.prefix_tree import PrefixTree
 from barloom.llm.queries import QUERIES, VOCABULARY
@@ -416,6 +416,30 @@ def test_no_group_of_unlinked_texts_is_much_larger_than_a_block(spark, monkeypat
     assert len(sizes) == 4 and 6 < max(sizes) < 30, sizes
 
 
+def test_components_keep_one_table(spark, monkeypatch, tmp_path):
+    """Chains, stars, repeated edges and circles; of all turns one table stays, and no checkpoint."""
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(components, "HELD", 40)
+    rnd, top = random.Random(13), {}
+    edges = [(i, i + 1) for i in range(300)] + [(400, 400 + i) for i in range(1, 200)] * 2 + [(-5, -9), (-9, -5), (-5, -5)]
+    edges += [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(220)]
+    rnd.shuffle(edges)
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert sorted(map(tuple, components.components(rows).collect())) == sorted((x, find(x)) for x in top)
+    assert len(list(tmp_path.glob("components-*/pairs-*"))) == 1 and not list(tmp_path.glob("**/rdd-*"))
+    assert components.components(rows.limit(0)).count() == 0
+
+
 def test_tree_finds_every_overlap():
     rnd = random.Random(10)
     sets = [sorted(rnd.sample(range(60), rnd.randint(20, 40))) for _ in range(20)]
