@@ -12,7 +12,8 @@ threshold share some of their first keys (the prefix), so sets meet by prefix ke
 4. keys whose classes are one component by now are done. Under the others one class of each
    component meets the others' ones, in blocks as before, which joins what step 3 left in parts;
 5. all classes under keys that are still open meet again, block against block, first with
-   prefixes alone, then, if they may link into another component, with whole sets.
+   prefixes alone, then, if they may link into another component, with whole sets; as many
+   passes are made, each over a part of the groups, as keep what moves in proportion to the sets.
 
 Step 5 makes the result complete: a link joins two classes that share a prefix key,
 and under every such key either both are in one component already or they are compared.
@@ -40,6 +41,8 @@ ROUNDS = 1            # times that one class of each component meets the others'
 ROUND_KEYS = 2        # keys under which it does
 SLICE = 40            # a prefix is longer by this part of its set
 BROADCAST_IDS = 1_000_000
+PASS_BYTES = 1 << 26  # prefixes that step 5 moves at once, or
+PASS_PART = 4         # this part of all sets, if that is more
 # Documents without an id come last in the order of ids.
 NO_ID = (1 << 63) - 1
 
@@ -227,6 +230,7 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
                             .select("cls", "r.doc_key", "r.n", "r.keys"), "classes")
     ids_of = scratch.write(profiles.select("doc_key", "n", "cls"), "ids")
     scratch.drop("profiles")
+    total = classes.agg(F.sum("n")).first()[0] or 0
     shared = _shared(classes, share, scratch)
 
     wanted = classes.select("cls", "doc_key").join(shared.select("cls").distinct(), "cls", "left_semi")
@@ -269,17 +273,23 @@ def linked_classes(docs: DataFrame, words: int, share: int) -> tuple[DataFrame,
     # even for the smallest partner under the key, has its first shared key elsewhere.
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * share / 100))
     early = F.col("pos") <= F.col("n") - F.ceil(share * (F.col("n") + partner) / (100 + share)) + 1
-    left = _blocked(met.filter(early), "m").select("t", "b", "i", "j", "cls", "root", "n")
+    left = scratch.write(_blocked(met.filter(early), "m").select("t", "b", "i", "j", "cls", "root", "n"), "left")
+    scratch.drop("open")
     size = (F.length("keys") / 8).cast("long")
     prefix = size - F.ceil(size * share / 100) + F.floor(size / SLICE) + 1
-    begun = left.join(sets.select("cls", F.substring("keys", F.lit(1), (8 * prefix).cast("int")).alias("keys")), "cls")
-    maybe = scratch.write(_meet(begun, share, True, False), "maybe")
-    again = maybe.select("t", F.col("bucket").alias("b"), F.col("a").alias("cls")).union(maybe.select("t", "bucket", "b")).distinct()
-    late = _meet(left.join(again, ["t", "b", "cls"], "left_semi").join(sets, "cls"), share, True, True).select("a", "b")
-    links = scratch.write(edges.union(late).distinct(), "links")
-    scratch.drop("sets", "maybe", "open", "edges", *(f"edges-{number}" for number in range(ROUNDS)))
-    roots = components(links).select(F.col("node").alias("cls"), "root")
-    scratch.drop("links")
+    begun = sets.select("cls", F.substring("keys", F.lit(1), (8 * prefix).cast("int")).alias("keys"))
+    # A class moves once per key and pair of blocks; passes over whole groups bound what moves at once.
+    moved = left.agg(F.sum(F.col("n") - F.ceil(F.col("n") * share / 100) + F.floor(F.col("n") / SLICE) + 1)).first()[0] or 0
+    passes = -(-8 * moved // max(PASS_BYTES, 8 * total // PASS_PART)) or 1
+    for number in range(passes):
+        some = left.filter(F.pmod(F.xxhash64("t", "b", "i", "j"), F.lit(passes)) == number)
+        maybe = scratch.write(_meet(some.join(begun, "cls"), share, True, False), f"maybe-{number}")
+        again = maybe.select("t", F.col("bucket").alias("b"), F.col("a").alias("cls")).union(maybe.select("t", "bucket", "b")).distinct()
+        late = _meet(some.join(again, ["t", "b", "cls"], "left_semi").join(sets, "cls"), share, True, True).select("a", "b")
+        edges = edges.union(scratch.write(late, f"late-{number}"))
+        scratch.drop(f"maybe-{number}")
+    roots = components(edges).select(F.col("node").alias("cls"), "root")
+    scratch.drop("sets", "left", "edges", *(f"edges-{number}" for number in range(ROUNDS)), *(f"late-{number}" for number in range(passes)))
     return ids_of, roots
 
 

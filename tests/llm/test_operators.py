@@ -416,6 +416,30 @@ def test_no_group_of_unlinked_texts_is_much_larger_than_a_block(spark, monkeypat
     assert len(sizes) == 4 and 6 < max(sizes) < 30, sizes
 
 
+def test_last_step_moves_a_bounded_part_at_once(spark, monkeypatch):
+    """Texts that share a template meet under many keys; what moves at once stays below the bound, the result is whole."""
+    importable(spark)
+    moved, meet = [], ngram_join._meet
+
+    def measured(rows, *args):
+        moved.append(rows.agg(F.sum(F.length("keys"))).first()[0] or 0)
+        return meet(rows, *args)
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "PASS_BYTES", 16_000)
+    monkeypatch.setattr(ngram_join, "PASS_PART", 1000)
+    monkeypatch.setattr(ngram_join, "_meet", measured)
+    rnd = random.Random(12)
+    template = [f"t{i}" for i in range(96)]
+    texts = [[*template, *[f"own{rnd.random()}" for _ in range(6)]] for _ in range(60)]
+    texts += [[*t[:-1], "changed"] for t in texts[::4]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 90)
+    prefixes = moved[2::2]
+    assert len(prefixes) > 2 and sum(prefixes) > 32_000 > max(prefixes), moved
+
+
 def test_components_keep_one_table(spark, monkeypatch, tmp_path):
     """Chains, stars, repeated edges and circles; of all turns one table stays, and no checkpoint."""
     monkeypatch.setattr(common, "checkpoint_dir", lambda _: str(tmp_path))
