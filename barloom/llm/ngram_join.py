@@ -42,7 +42,7 @@ ROUND_KEYS = 2        # keys under which it does
 SLICE = 40            # a prefix is longer by this part of its set
 BROADCAST_IDS = 1_000_000
 PASS_BYTES = 1 << 26  # prefixes that step 5 moves at once, or
-PASS_PART = 4         # this part of all sets, if that is more
+PASS_PART = 2         # this part of all sets, if that is more
 # Documents without an id come last in the order of ids.
 NO_ID = (1 << 63) - 1
 
