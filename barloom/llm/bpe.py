@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import shared_file
+from barloom.llm.common import held, shared_file
 from barloom.llm.lexicon import Lexicon, compile_lexicon
 from barloom.llm.words import word_hashes
 
@@ -213,14 +213,8 @@ def build_lexicon(docs: DataFrame, bpe: Bpe, text_col: str = "text", most: int =
     return compile_lexicon(entries)
 
 
-_ready: dict = {}
-
-
 def _encoder(name: str, spec) -> Encoder:
-    if name not in _ready:
-        _ready.clear()
-        _ready[name] = Encoder(Bpe(spec.value), Lexicon(SparkFiles.get(name)))
-    return _ready[name]
+    return held(name, lambda: Encoder(Bpe(spec.value), Lexicon(SparkFiles.get(name))))
 
 
 def publish_lexicon(spark: SparkSession, automaton: bytes) -> str:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Scratch
+from barloom.llm.common import Scratch, unburdened
 
 HELD = 1 << 17   # nodes that a task joins up at once
 
@@ -37,7 +37,7 @@ def _contracted(pairs: DataFrame) -> DataFrame:
         if parent:
             yield edges()
 
-    return pairs.select("a", "b").mapInArrow(contract, "a long, b long")
+    return pairs.select("a", "b").mapInArrow(unburdened(contract), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from barloom.llm.common import written
+from barloom.llm.common import unburdened, written
 from barloom.llm.words import ngram_hashes, word_hashes
 
 MIN_WORDS = 50          # fixed by the base rule
@@ -99,7 +99,7 @@ def _profile(batches):
 def profile(docs: DataFrame, host: str = "source") -> DataFrame:
     """The written profile of `docs`, one row per row, numbered by `row_id`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
-    return written(rows.mapInArrow(_profile, _PROFILE).withColumn("row_id", F.monotonically_increasing_id()), "line-profile")
+    return written(rows.mapInArrow(unburdened(_profile), _PROFILE).withColumn("row_id", F.monotonically_increasing_id()), "line-profile")
 
 
 def frequent_lines(profiles: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, enough: int | None = None) -> DataFrame:
@@ -176,9 +176,9 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
             texts = batch.column("text").to_pylist()
             yield batch.append_column("_q_own", pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) >> 1 for t in texts], pa.int64()))
 
-    rows = docs.mapInArrow(hashed, StructType([*docs.schema.fields, StructField("_q_own", LongType())]))
+    rows = docs.mapInArrow(unburdened(hashed), StructType([*docs.schema.fields, StructField("_q_own", LongType())]))
     joined = rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_q_doc")) & F.col(host).cast("string").eqNullSafe(
         F.col("_q_host")) & (F.col("_q_own") == F.col("_q_text"))).select(*docs.columns, "_q_removed")
-    clean = joined.mapInArrow(_strip, joined.schema).drop("_q_removed")
+    clean = joined.mapInArrow(unburdened(_strip), joined.schema).drop("_q_removed")
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import Scratch, text_of
+from barloom.llm.common import Scratch, text_of, unburdened
 from barloom.llm.components import components
 from barloom.llm.prefix_tree import PrefixTree
 from barloom.llm.words import ngram_hashes, word_hashes
@@ -78,7 +78,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
             total += np.frombuffer(value.as_py(), np.int32)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    sums = docs.select(text_of()).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(
+    sums = docs.select(text_of()).mapInArrow(unburdened(count), "part int, counts binary").groupBy("part").applyInArrow(
         add, "part int, counts binary").collect()
     out = np.zeros((parts, cells // parts), np.int64)
     for row in sums:
@@ -106,7 +106,7 @@ def _profiles(docs: DataFrame, words: int, share: int, rank: bytes, whole: bool)
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.binary())],
                 ["doc_key", "n", "cls", "keys"])
 
-    return docs.select("doc_key", "text").mapInArrow(profile, "doc_key long, n long, cls long, keys binary")
+    return docs.select("doc_key", "text").mapInArrow(unburdened(profile), "doc_key long, n long, cls long, keys binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _postings(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths])), *[
                     pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in ("cls", "n")]], ["t", "pos", "cls", "n"])
 
-    return classes.select("cls", "n", "keys").mapInArrow(unpack, "t long, pos int, cls long, n long")
+    return classes.select("cls", "n", "keys").mapInArrow(unburdened(unpack), "t long, pos int, cls long, n long")
 
 
 def _fewest(share: int):
@@ -192,7 +192,7 @@ def _meet(rows: DataFrame, share: int, first: bool, merge: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "t", "bucket"])
 
     return (rows.select("t", "b", "i", "j", "cls", "root", "n", "keys").repartition("t", "b", "i", "j")
-            .sortWithinPartitions("t", "b", "i", "j", "cls").mapInArrow(walk, "a long, b long, t long, bucket long"))
+            .sortWithinPartitions("t", "b", "i", "j", "cls").mapInArrow(unburdened(walk), "a long, b long, t long, bucket long"))
 
 
 def _blocked(rows: DataFrame, members: str) -> DataFrame:

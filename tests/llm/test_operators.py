@@ -1,9 +1,11 @@
 """Each operator against a plain version, and on rows that are odd in every way."""
 
+import gc
 import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -440,6 +442,25 @@ def test_last_step_moves_a_bounded_part_at_once(spark, monkeypatch):
     assert len(prefixes) > 2 and sum(prefixes) > 32_000 > max(prefixes), moved
 
 
+def test_workers_let_encoders_go_in_other_steps(spark, docs):
+    """Workers live on from stage to stage; an encoder that stays in them stands beside all the n-gram join moves."""
+    importable(spark)
+
+    def encoders(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(o).__name__ == "Encoder" and hasattr(o, "spaced") for o in gc.get_objects())])], ["n"])
+
+    def left():
+        return spark.range(64).repartition(64).mapInArrow(encoders, "n long").agg(F.sum("n")).first()[0]
+
+    bpe.encode_documents(docs.select("doc_id", "text").limit(40).repartition(8), VOCABULARY).count()
+    assert left() > 0
+    for step in (ngram_join.drop_near_copies, line_frequency.keep_good):
+        step(docs).count()
+        assert left() == 0
+        bpe.encode_documents(docs.select("doc_id", "text").limit(40).repartition(8), VOCABULARY).count()
+
+
 def test_components_keep_one_table(spark, monkeypatch, tmp_path):
     """Chains, stars, repeated edges and circles; of all turns one table stays, and no checkpoint."""
     monkeypatch.setattr(common, "checkpoint_dir", lambda _: str(tmp_path))
