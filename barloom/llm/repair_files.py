@@ -38,7 +38,6 @@ LEAST_GAIN = 0.02        # a round that shortens the sequence by less is the las
 CACHED_UNITS = 600_000   # units of a generation with their ids; a worker remembers two
 BATCH_CHARS = 1 << 18    # characters of the texts that are encoded together
 _BUCKETS = 1 << 20
-_FAR = np.int32(1 << 30)
 _MARKS, _PLAIN_LETTERS = ".,;:!?", "\u0250"
 _ODD_SPACE = re.compile(r" (?<=\s )")
 _SPACE_BEHIND_WORD = re.compile(r"(?<=\S) ")
@@ -154,8 +153,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         a, b, inside = seq[:-1], seq[1:], ~ends[:-1]
         bucket = _bucket(a, b)
         hot = np.bincount(bucket[inside], minlength=_BUCKETS)[bucket] >= LEAST
-        hot &= inside
-        pairs, times = np.unique(a[hot].astype(np.uint64) << np.uint64(32) | b[hot], return_counts=True)
+        place = np.flatnonzero(hot & inside)
+        both, bucket = a[place].astype(np.uint64) << np.uint64(32) | b[place], bucket[place]
+        pairs, times = np.unique(both, return_counts=True)
         order = np.argsort(-times, kind="stable")[:ROUND_RULES]
         pairs = pairs[order[times[order] >= LEAST]]
         if not len(pairs):
@@ -164,19 +164,21 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         owner = np.full(_BUCKETS, -1, np.int32)
         owner[_bucket(left, right)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         rank = owner[bucket]
-        match = (rank >= 0) & hot & (left[rank] == a) & (right[rank] == b)
-        rank = np.where(match, rank, _FAR)
-        again = np.concatenate([[False], match[1:] & (rank[1:] == rank[:-1])])
+        match = (rank >= 0) & (pairs[rank] == both)
+        at, rank = place[match], rank[match]
+        beside = at[1:] == at[:-1] + 1
+        again = np.concatenate([[False], beside & (rank[1:] == rank[:-1])]) if len(at) else np.zeros(0, bool)
         if again.any():                                  # every other pair of a run of one symbol
-            place = np.arange(len(rank))
-            match &= (place - np.maximum.accumulate(np.where(again, 0, place)) & 1) == 0
-            rank = np.where(match, rank, _FAR)
-        chosen = match.copy()
-        chosen[1:] &= rank[1:] < rank[:-1]
-        chosen[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(chosen)
-        pays = np.bincount(rank[at], minlength=len(pairs)) >= LEAST // 2
-        at = at[pays[rank[at]]]
+            count = np.arange(len(at))
+            other = (count - np.maximum.accumulate(np.where(again, 0, count)) & 1) == 0
+            at, rank = at[other], rank[other]
+            beside = at[1:] == at[:-1] + 1
+        chosen = np.ones(len(at), bool)
+        chosen[1:] &= ~(beside & (rank[1:] >= rank[:-1]))
+        chosen[:-1] &= ~(beside & (rank[:-1] > rank[1:]))
+        at, rank = at[chosen], rank[chosen]
+        pays = np.bincount(rank, minlength=len(pairs)) >= LEAST // 2
+        at, rank = at[pays[rank]], rank[pays[rank]]
         if len(at) < LEAST_GAIN * len(seq):
             break
         number = next_symbol + np.cumsum(pays, dtype=np.uint32) - 1
@@ -184,7 +186,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray,
         rules.append(np.stack([left[pays], right[pays]], 1))
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq[at] = number[rank[at]]
+        seq[at] = number[rank]
         ends[at] = ends[at + 1]
         seq, ends = seq[stay], ends[stay]
     known = np.ones(next_symbol, np.uint32)
