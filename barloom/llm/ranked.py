@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Scratch
+from barloom.llm.common import LARGE_ROWS, Scratch
 
 BLOCK_DOCS = 4096          # documents of a block
 BLOCK_BYTES = 1 << 23      # text after which a block is closed, too
@@ -52,7 +52,7 @@ def _block(number: int, ids: list, docs: list[list[bytes]]) -> pa.RecordBatch:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of the inverted index over every row of `docs`, without a shuffle; write them to reuse them.
+    """Blocks of the inverted index over every row of `docs`, without a shuffle; write them to reuse them, with `LARGE_ROWS`.
 
     A row without an id is indexed with a null id, repeated rows are all indexed, null texts hold no
     term. A text beyond the block's size makes a block of its own; it needs about 150 bytes of memory a term.
@@ -226,7 +226,7 @@ def search(index: DataFrame, items: DataFrame, k: int, item_col: str = "item_id"
 def search_documents(docs: DataFrame, items: DataFrame, k: int, item_col: str = "item_id") -> DataFrame:
     """Index all rows of `docs` in the shared folder, search the items, and delete the index again."""
     scratch = Scratch(docs.sparkSession, "ranked-index")
-    index = scratch.write(build_index(docs), "index")
+    index = scratch.write(build_index(docs), "index", **LARGE_ROWS)
     out = scratch.write(search(index, items, k, item_col), "found")
     scratch.drop("index")
     return out

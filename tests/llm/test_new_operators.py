@@ -7,14 +7,16 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barloom.llm import ranked, repair_files, runs, words
-from barloom.llm.common import importable
+from barloom.llm.common import LARGE_ROWS, importable
 from barloom.llm.queries import QUERIES, VOCABULARY
 
 SCHEMA = "doc_id long, text string, runs string, term string, item string, _text string, _id long, block long, score double"
@@ -151,6 +153,22 @@ def test_search_of_empty_tables(spark, odd_rows):
     assert ranked.search_documents(docs.withColumn("text", F.lit(None).cast("string")), items, 5).collect() == []
 
 
+def test_index_is_written_and_read_a_few_blocks_at_once(spark, monkeypatch):
+    """Spark reads up to 4096 rows of a row group at once, so a row group must not hold whatever a task indexes."""
+    importable(spark)
+    text = F.expr("array_join(transform(sequence(1, 50000), x -> hex(xxhash64(x, id))), ' ')")
+    docs = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    items = docs.limit(1).select(F.lit(7).alias("item_id"), F.substring("text", 1, 40).alias("text"))
+    kept = []
+    monkeypatch.setattr(ranked, "BLOCK_BYTES", 1 << 19)
+    monkeypatch.setattr(ranked.Scratch, "drop", lambda self, *names: kept.extend(f"{self.home}/{n}" for n in names))
+    found = ranked.search_documents(docs, items, 5)
+    files = [f for d in kept for f in Path(d.removeprefix("file:")).glob("*.parquet")]
+    groups = [m.row_group(i) for f in files for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert found.count() == 1 and sum(g.num_rows for g in groups) == 40
+    assert max(g.total_byte_size for g in groups) < 3 * LARGE_ROWS["parquet.block.size"] < sum(g.total_byte_size for g in groups)
+
+
 # --- token files
 
 def test_encoder_equals_library():
