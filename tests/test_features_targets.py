@@ -201,6 +201,33 @@ def test_labelled_features_share_one_symbol_exchange(spark):
     assert "l_tax" not in plan and "Python" not in plan
 
 
+@pytest.mark.parametrize("name", ["label_dataset"])
+def test_ticks_move_once_in_the_queries_of_all_suppliers(spark, name):
+    from __spark_entry__ import queries
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("hot_ticks, task_ticks", [(1 << 18, 1 << 19), (60, 100), (0, 1 << 19)])
+def test_series_equal_bars(spark, hot_ticks, task_ticks):
+    from barloom.sources.bars import named, resample_bars, resample_series
+    # Symbol 0 and the missing one have 200 ticks, symbols 1 to 20 have 10; some prices and volumes are missing.
+    ticks = spark.range(0, 600, 1, 3).select(
+        F.expr("case when id < 200 then 0L when id < 400 then null else 1 + id % 20 end").alias("sym"),
+        F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id * 7 % 40 as int), cast(id % 24 as int))").alias("ts"),
+        F.expr("if(id % 11 = 0, null, 100 + id * 37 % 101 / 7.0)").alias("p"), F.expr("if(id % 13 = 0, null, cast(id % 5 as double))").alias("v"),
+        F.expr("id * 7919 % 600").alias("seq"))
+    args = (ticks, F.col("sym"), F.col("ts"), F.col("p"), F.col("v"), F.col("seq"))
+    bars, parts = resample_series(*args, hot_ticks=hot_ticks, task_ticks=task_ticks)
+    assert parts == (6 if task_ticks == 100 else 4)
+    assert sorted(map(str, named(bars, "S").collect())) == sorted(map(str, resample_bars(*args, prefix="S").collect()))
+    places = bars.select("symbol", F.spark_partition_id().alias("part")).distinct().groupBy("symbol").count().collect()
+    assert len(places) == 22 and all(r["count"] == 1 for r in places)
+    plan = FT.compute_features(bars, ["return_1d"], parts=parts)._jdf.queryExecution().executedPlan().toString()
+    # Hot symbols: their bars, once more by symbol, and the counts for either side.
+    assert plan.count("Exchange hashpartitioning") == (1 if hot_ticks == 1 << 18 else 5)
+
+
 def test_candles(bars, column):
     closes = _walk(900)
     df = candles(bars(closes), digits=None)
