@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from barloom.functions import features as FT
@@ -95,12 +97,17 @@ for _part in ("bars_s", "bars_n", "bars_e"):
     SQL_PARTS[f"feats_{_part[-1]}"] = feature_sql(_part)
 
 
+def _over(t, part, grain, use):
+    """`use` of the bars; suppliers' daily ones, which are the largest, lie by symbol already."""
+    return t.over_bars_s(use) if (part, grain) == ("bars_s", "day") else use(getattr(t, part))
+
+
 def _features(name, columns, part="bars_s", grain="day"):
     cols = ", ".join(columns)
     sql = (f"WITH {{{part}}}, {{feats_{part[-1]}}}, picked AS (SELECT {KEYS}, {cols} FROM feats) "
            + rounded_sql("picked", *_K))
-    query(name, sql)(lambda t: rounded(
-        FT.compute_features(getattr(t, part), columns, grain=grain)))
+    use = partial(FT.compute_features, names=columns, grain=grain)
+    query(name, sql)(lambda t: rounded(_over(t, part, grain, use)))
 
 
 for _f in FT.REGISTRY.select():
@@ -143,7 +150,7 @@ query("nan_policy_error", "WITH {bars_n}, p AS (SELECT timestamp, symbol, close,
 query("feature_report", "WITH {bars_s}, {feats_s} " + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count(*) AS rows, count(*) - count({c}) AS missing, "
     f"count(*) FILTER (WHERE isinf({c})) AS infinite FROM feats" for c in ALL_FEATURES))(
-    lambda t: FT.feature_report(FT.compute_features(t.bars_s), ALL_FEATURES))
+    lambda t: FT.feature_report(t.over_bars_s(FT.compute_features), ALL_FEATURES))
 
 query("missing_counts", "WITH {bars_n}, {feats_n} SELECT " + ", ".join(
     f"count(*) - count({c}) AS {c}" for c in ALL_FEATURES) + " FROM feats")(
@@ -171,13 +178,13 @@ query("sma", "WITH {bars_s}, p AS (SELECT timestamp, symbol, " + ", ".join(
     f"CASE WHEN row_number() OVER w >= {k} THEN avg(close) OVER (w ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) END AS sma_{k}"
     for k in (10, 20, 50)) + " FROM bars_s WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)) "
       + rounded_sql("p", *_K))(
-    lambda t: rounded(FT.compute_features(t.bars_s, features=[
+    lambda t: rounded(t.over_bars_s(partial(FT.compute_features, features=[
         FT.Feature(f"sma_{k}", "MOMENTUM", ("close",), k, lambda b, k=k: b.roll("avg", "close", k))
-        for k in (10, 20, 50)])))
+        for k in (10, 20, 50)]))))
 query("true_range", "WITH {bars_s}, {feats_s}, p AS (SELECT timestamp, symbol, tr AS true_range FROM valued) "
       + rounded_sql("p", *_K))(
-    lambda t: rounded(FT.compute_features(t.bars_s, features=[FT.Feature(
-        "true_range", "VOLATILITY", ("high", "low", "close"), 1, lambda b: b.true_range())])))
+    lambda t: rounded(t.over_bars_s(partial(FT.compute_features, features=[FT.Feature(
+        "true_range", "VOLATILITY", ("high", "low", "close"), 1, lambda b: b.true_range())]))))
 
 _CANDLE_SQL = """, steps AS (SELECT *, row_number() OVER w AS n, close - lag(close) OVER w AS d FROM bars_n
   WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
@@ -266,8 +273,8 @@ ALL_TARGETS = [x.name for x in TG.REGISTRY.select()]
 def _targets(name, columns, part="bars_s", grain="day", targets=None):
     sql = (f"WITH {{{part}}}, {{targets_{part[-1]}}}, p AS (SELECT {KEYS}, {', '.join(columns)} FROM labels_t) "
            + rounded_sql("p", *_K))
-    query(name, sql)(lambda t: rounded(TG.compute_targets(
-        getattr(t, part), columns, targets=targets, grain=grain, keep_bars=False)))
+    use = partial(TG.compute_targets, names=columns, targets=targets, grain=grain, keep_bars=False)
+    query(name, sql)(lambda t: rounded(_over(t, part, grain, use)))
 
 
 for _t in ALL_TARGETS:
@@ -282,7 +289,7 @@ _targets("target_shorthand", [TG.resolve_target("binary_up", 5), TG.resolve_targ
 query("target_report", "WITH {bars_s}, {targets_s} " + " UNION ALL ".join(
     f"SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, '{c}' AS target, "
     f"count(*) - count({c}) AS missing FROM labels_t" for c in ALL_TARGETS))(
-    lambda t: TG.target_report(TG.compute_targets(t.bars_s, keep_bars=False), ALL_TARGETS))
+    lambda t: TG.target_report(t.over_bars_s(partial(TG.compute_targets, keep_bars=False)), ALL_TARGETS))
 query("drop_unavailable", "WITH {bars_n}, {targets_n}, p AS (SELECT timestamp, symbol, target_fwd_ret_5d, target_fwd_vol_21d "
       "FROM labels_t WHERE target_fwd_ret_5d IS NOT NULL AND target_fwd_vol_21d IS NOT NULL) " + rounded_sql("p", *_K))(
     lambda t: rounded(TG.compute_targets(t.bars_n, ["target_fwd_ret_5d", "target_fwd_vol_21d"], keep_bars=False)

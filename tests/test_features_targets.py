@@ -201,7 +201,7 @@ def test_labelled_features_share_one_symbol_exchange(spark):
     assert "l_tax" not in plan and "Python" not in plan
 
 
-@pytest.mark.parametrize("name", ["label_dataset"])
+@pytest.mark.parametrize("name", ["label_dataset", "feature_matrix", "target_matrix"])
 def test_ticks_move_once_in_the_queries_of_all_suppliers(spark, name):
     from __spark_entry__ import queries
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
